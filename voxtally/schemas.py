@@ -25,19 +25,6 @@ def chunk_schema(element: T.DataType) -> T.StructType:
     )
 
 
-EVENT = T.StructType(
-    [
-        T.StructField("run", T.StringType()),
-        T.StructField("name", T.StringType()),
-        T.StructField("start", T.DoubleType()),
-        T.StructField("end", T.DoubleType()),
-        T.StructField("node", T.StringType()),
-        T.StructField("filename", T.StringType()),
-        T.StructField("executor", T.LongType()),
-        T.StructField("_corrupt", T.StringType()),
-    ]
-)
-
 # Experiment numbers and delays mix integer and decimal literals in the JSON.
 CONDITION = T.StructType(
     [
@@ -50,9 +37,13 @@ CONDITION = T.StructType(
     ]
 )
 
-MANIFEST = T.StructType(
+COPIED = T.StructType(
     [
         T.StructField("out_path", T.StringType()),
         T.StructField("status", T.StringType()),
+        T.StructField("start", T.DoubleType()),
+        T.StructField("end", T.DoubleType()),
+        T.StructField("node", T.StringType()),
+        T.StructField("executor", T.LongType()),
     ]
 )

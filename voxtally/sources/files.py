@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import socket
+import threading
+import time
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from voxtally.functions import fixed
 from voxtally.functions.arrays import ELEMENT_OF_DTYPE
 from voxtally.operators.ordering import with_dense_index
-from voxtally.schemas import chunk_schema
+from voxtally.schemas import COPIED, chunk_schema
 from voxtally.sources.nifti import NiftiDataSource, filesystem, read_blocks, to_batch
 
 
@@ -85,31 +90,36 @@ def decode_images(files: DataFrame, dtype: str, max_block_bytes: int = 64 * 1024
 
 
 def copy_files(paths: DataFrame, target: str) -> DataFrame:
-    """Copy files in the tasks; gives ``(out_path, status)`` per file.
+    """Copy files in the tasks: ``(out_path, status)`` and when, where and by
+    which thread.
 
     ``paths`` has ``path`` and ``name``, the name under ``target``. A missing
-    file fails its task, with the folder's listing in the message.
+    file fails its task, with names from its folder in the message.
     """
 
+    def copy_one(path: str, folder: str, name: str, out_fs: pafs.FileSystem) -> str:
+        fs, inner = filesystem(path)
+        if not fs.get_file_info(inner).is_file:
+            parent = pafs.FileSelector(inner.rsplit("/", 1)[0], allow_not_found=True)
+            near = sorted(i.base_name for i in fs.get_file_info(parent))
+            raise FileNotFoundError(f"{path}; its folder has {near[:20]}")
+        temp = f"{folder}/._{name}-{uuid.uuid4().hex}"
+        with fs.open_input_stream(inner) as source, out_fs.open_output_stream(temp) as sink:
+            while piece := source.read(8 * 1024 * 1024):
+                sink.write(piece)
+        out_fs.move(temp, f"{folder}/{name}")
+        return f"{folder}/{name}"
+
     def copy(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out_fs, folder = filesystem(target)
         out_fs.create_dir(folder, recursive=True)
+        node, executor = socket.gethostname(), threading.get_ident()
         for pdf in batches:
-            done = []
+            rows = []
             for path, name in zip(pdf["path"], pdf["name"]):
-                fs, inner = filesystem(path)
-                if not fs.get_file_info(inner).is_file:
-                    import pyarrow.fs as pafs
-
-                    parent = pafs.FileSelector(inner.rsplit("/", 1)[0], allow_not_found=True)
-                    near = [i.base_name for i in fs.get_file_info(parent)]
-                    raise FileNotFoundError(f"{path}; the folder has {near[:20]}")
-                pieces = fs.open_input_stream(inner)
-                with pieces, out_fs.open_output_stream(f"{folder}/._{name}") as sink:
-                    while piece := pieces.read(8 * 1024 * 1024):
-                        sink.write(piece)
-                out_fs.move(f"{folder}/._{name}", f"{folder}/{name}")
-                done.append(f"{folder}/{name}")
-            yield pd.DataFrame({"out_path": done, "status": "SUCCESS"})
-
-    return paths.select("path", "name").mapInPandas(copy, "out_path string, status string")
+                began = time.time()
+                out = copy_one(path, folder, name, out_fs)
+                rows.append((out, "SUCCESS", began, time.time(), node, executor))
+            yield pd.DataFrame(rows, columns=COPIED.names)
+
+    return paths.select("path", "name").mapInPandas(copy, COPIED)

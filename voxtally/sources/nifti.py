@@ -304,7 +304,10 @@ class ImageAssembler:
             self.stream.write(header)
         elif path != self.path or block != self.next_block:
             raise ValueError(f"{path}: block {block} of {n_blocks} came out of order")
-        self.stream.write(np.ascontiguousarray(voxels, parse_header(header).file_dtype).tobytes())
+        stored = np.ascontiguousarray(voxels, parse_header(header).file_dtype)
+        if stored.dtype.kind in "iu" and not np.array_equal(stored, voxels):
+            raise ValueError(f"{path}: voxels do not fit {stored.dtype}")
+        self.stream.write(stored.tobytes())
         self.next_block = block + 1
         if self.next_block == n_blocks:
             self.stream.close()
