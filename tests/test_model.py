@@ -128,7 +128,7 @@ def test_reports(runs):
 
 
 def test_axis_positions_keep_gaps(runs):
-    rows = {(r.series, r.label): r for r in reports.axis_positions(runs, 2).collect()}
+    rows = {(r.series, r.label): r for r in reports.axis_positions(runs, [2]).collect()}
     assert len(rows) == 7 * 3
     assert rows["sp_mem", "30"].makespan is None and rows["sp_mem", "125"].pos == 1
     assert all(r.makespan is None for (_, label), r in rows.items() if label == "750")

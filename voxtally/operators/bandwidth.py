@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -35,22 +36,37 @@ def io_bandwidths(events: DataFrame) -> DataFrame:
 
 
 def exact_quantiles(
-    df: DataFrame, group: list[str], value: str, points: dict[str, float]
+    df: DataFrame,
+    group: list[str],
+    value: str,
+    points: dict[str, float],
+    sums: Sequence[str] = (),
 ) -> DataFrame:
-    """Exact, linearly interpolated quantiles per group.
+    """Exact, linearly interpolated quantiles per group, with the group's
+    ``n``, ``low`` and ``high``, and the sums of some integer columns.
 
     ``percentile()`` would hold a whole group's distinct values in one task.
     Here equal values are counted on the map side first; the distinct values
     are range-sorted, and their running count tells which of them sit at the
-    wanted ranks. Only those reach the last aggregate.
+    wanted ranks. Only those reach the last aggregate. ``df`` is read once.
     """
-    counted = df.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("_c"))
+    counted = (
+        df.filter(F.col(value).isNotNull())
+        .groupBy(*group, value)
+        .agg(F.count(F.lit(1)).alias("_c"), *[F.sum(s).alias(s) for s in sums])
+    )
     ranked = with_running_total(counted, [*group, value], "_c", "_upto")
-    # One row per group: its size, and the running count just before it.
-    sizes = ranked.groupBy(*group).agg(
-        F.sum("_c").alias("n"), F.min(F.col("_upto") - F.col("_c")).alias("_base")
+    # One row per group, with the running count just before the group.
+    whole = ranked.groupBy(*group).agg(
+        F.sum("_c").alias("n"),
+        F.min(value).alias("low"),
+        F.max(value).alias("high"),
+        F.min(F.col("_upto") - F.col("_c")).alias("_base"),
+        *[F.sum(s).alias(s) for s in sums],
     )
-    placed = ranked.join(materialize(sizes, "sizes"), group).withColumn("_hi", F.col("_upto") - F.col("_base") - 1)
+    whole = materialize(whole, "groups")
+    placed = ranked.select(*group, value, "_c", "_upto").join(whole, group)
+    placed = placed.withColumn("_hi", F.col("_upto") - F.col("_base") - 1)
     placed = placed.withColumn("_lo", F.col("_hi") - F.col("_c") + 1)
 
     def rank(p: float) -> Column:
@@ -59,35 +75,27 @@ def exact_quantiles(
     def holds(r: Column) -> Column:
         return (F.col("_lo") <= r) & (r <= F.col("_hi"))
 
-    wanted = [holds(edge(rank(p))) for p in points.values() for edge in (F.floor, F.ceil)]
-    at_ranks = placed.filter(reduce(Column.__or__, wanted))
-
     def at(r: Column) -> Column:
         return F.max(F.when(holds(r), F.col(value)))
 
-    out = at_ranks.groupBy(*group, "n").agg(
-        *[
-            (
-                at(F.floor(rank(p)))
-                + (at(F.ceil(rank(p))) - at(F.floor(rank(p))))
-                * F.max(rank(p) - F.floor(rank(p)))
-            ).alias(name)
-            for name, p in points.items()
-        ]
+    def quantile(p: float) -> Column:
+        below, above = at(F.floor(rank(p))), at(F.ceil(rank(p)))
+        return below + (above - below) * F.max(rank(p) - F.floor(rank(p)))
+
+    wanted = [holds(edge(rank(p))) for p in points.values() for edge in (F.floor, F.ceil)]
+    return (
+        placed.filter(reduce(Column.__or__, wanted))
+        .groupBy(*group, "n", "low", "high", *sums)
+        .agg(*[quantile(p).alias(name) for name, p in points.items()])
     )
-    return out.drop("n")
 
 
 def distribution(bandwidths: DataFrame) -> DataFrame:
     """Count, floored count, extrema and quartiles per engine, file system, op."""
-    plain = bandwidths.groupBy(*GROUP).agg(
-        F.count("mb_s").alias("n"),
-        F.sum("floored").alias("n_floored"),
-        F.min("mb_s").alias("min_mb_s"),
-        F.max("mb_s").alias("max_mb_s"),
-    )
     points = {"p25_mb_s": 0.25, "median_mb_s": 0.5, "p75_mb_s": 0.75}
-    return plain.join(exact_quantiles(bandwidths, GROUP, "mb_s", points), GROUP)
+    out = exact_quantiles(bandwidths, GROUP, "mb_s", points, sums=["floored"])
+    names = {"floored": "n_floored", "low": "min_mb_s", "high": "max_mb_s"}
+    return out.withColumnsRenamed(names)
 
 
 def histogram(bandwidths: DataFrame, width: float) -> DataFrame:

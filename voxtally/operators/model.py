@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from voxtally.functions import fixed
 from voxtally.functions.modeling import (
@@ -58,25 +58,29 @@ def with_rate(runs: DataFrame) -> DataFrame:
     return runs.withColumn("rate", write_rate(*(F.col(n) for n in names)))
 
 
-def baselines(runs: DataFrame, engine: str = "sp") -> DataFrame:
-    """Makespan in memory per condition. Run names are unique, so there is
-    one per condition; the aggregate keeps it that way for the join."""
-    return (
-        runs.filter((F.col("engine") == engine) & (F.col("fs") == fixed.BASELINE_FS))
-        .groupBy(*CONDITION)
-        .agg(F.min("makespan").alias("baseline"))
+def with_baseline(runs: DataFrame, engine: str = "sp") -> DataFrame:
+    """Runs with the in-memory makespan of their condition, null where none.
+
+    This is the join of the runs with themselves, done in one pass over them.
+    ``runs`` has one row per run name, so a condition has at most one row per
+    engine and file system, and the window's partitions stay that small.
+    """
+    own = F.when(
+        (F.col("engine") == engine) & (F.col("fs") == fixed.BASELINE_FS), F.col("makespan")
     )
+    return runs.withColumn("baseline", F.min(own).over(Window.partitionBy(*CONDITION)))
 
 
 def speedups(runs: DataFrame, engine: str = "sp") -> DataFrame:
     """Runs of one engine over their in-memory counterpart.
 
     Runs without counterpart drop out, and the in-memory runs themselves.
-    The join is one-to-many from the baseline side, so it never multiplies.
     """
-    others = runs.filter((F.col("engine") == engine) & (F.col("fs") != fixed.BASELINE_FS))
-    return others.join(baselines(runs, engine), CONDITION).withColumn(
-        "speedup", F.col("makespan") / F.col("baseline")
+    return (
+        with_baseline(runs, engine)
+        .filter((F.col("engine") == engine) & (F.col("fs") != fixed.BASELINE_FS))
+        .filter(F.col("baseline").isNotNull())
+        .withColumn("speedup", F.col("makespan") / F.col("baseline"))
     )
 
 
@@ -102,13 +106,17 @@ def linear_fit(curve: DataFrame) -> DataFrame:
 
 def average_slowdown(runs: DataFrame, baseline_engine: str = "sp") -> DataFrame:
     """Makespan averaged over the engines, over the in-memory makespan."""
-    mean = (
-        runs.filter(F.col("fs") != fixed.BASELINE_FS)
-        .groupBy("fs", *CONDITION)
-        .agg(F.avg("makespan").alias("mean_makespan"), F.count(F.lit(1)).alias("n_runs"))
+    others = with_baseline(runs, baseline_engine).filter(
+        (F.col("fs") != fixed.BASELINE_FS) & F.col("baseline").isNotNull()
     )
-    return mean.join(baselines(runs, baseline_engine), CONDITION).withColumn(
-        "slowdown", F.col("mean_makespan") / F.col("baseline")
+    return (
+        others.groupBy("fs", *CONDITION)
+        .agg(
+            F.avg("makespan").alias("mean_makespan"),
+            F.max("baseline").alias("baseline"),
+            F.count(F.lit(1)).alias("n_runs"),
+        )
+        .withColumn("slowdown", F.col("mean_makespan") / F.col("baseline"))
     )
 
 

@@ -144,7 +144,7 @@ def chk_zero_pad_grid(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def src_binary_scan(spark: SparkSession, sf: str) -> DataFrame:
-    found = files.scan_binary(spark, f"{sf}/*.parquet", partitions=spark.sparkContext.defaultParallelism)
+    found = files.scan_binary(spark, f"{sf}/*.parquet")
     return found.select(
         naming.basename(F.col("path")).alias("file"), "length", F.md5("content").alias("md5")
     )
@@ -593,14 +593,8 @@ for _exp in (1, 2, 3, 4):
 
 @query
 def rpt_axis_position(spark: SparkSession, sf: str) -> DataFrame:
-    runs = tables.measured_runs(spark, sf)
-    per_exp = [
-        reports.axis_positions(runs, exp).select(
-            F.lit(exp).alias("exp"), "series", "label", "pos", r6("makespan").alias("makespan")
-        )
-        for exp in (1, 2, 3, 4)
-    ]
-    return reduce(DataFrame.unionByName, per_exp)
+    table = reports.axis_positions(tables.measured_runs(spark, sf))
+    return table.select("exp", "series", "label", "pos", r6("makespan").alias("makespan"))
 
 
 # -- assignment ---------------------------------------------------------------------------

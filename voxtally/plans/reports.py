@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from voxtally.functions import fixed
@@ -33,22 +35,35 @@ def experiment_label(exp: int) -> Column:
     return delay_text(F.col("delay"))
 
 
-def axis_dim(spark: SparkSession, exp: int) -> DataFrame:
-    """The fixed axis of an experiment: three or four labels."""
-    return spark.createDataFrame(list(enumerate(fixed.AXES[exp])), "pos int, label string")
+def axis_dim(spark: SparkSession, exps: Sequence[int]) -> DataFrame:
+    """The fixed axes of some experiments: three or four labels each."""
+    rows = [(exp, pos, label) for exp in exps for pos, label in enumerate(fixed.AXES[exp])]
+    return spark.createDataFrame(rows, "exp int, pos int, label string")
 
 
-def series_of(runs: DataFrame, exp: int, condition: float | None = None) -> DataFrame:
-    """Runs of an experiment as ``(series, label, makespan)``."""
-    names = [f"{engine}_{fs}" for engine, fs in fixed.SERIES]
-    return (
-        runs.filter(experiment_filter(exp, condition))
-        .select(
-            F.concat_ws("_", "engine", "fs").alias("series"),
+def series_names() -> list[str]:
+    return [f"{engine}_{fs}" for engine, fs in fixed.SERIES]
+
+
+def series_of(
+    runs: DataFrame, exps: Sequence[int], conditions: dict[int, float] | None = None
+) -> DataFrame:
+    """Runs as ``(exp, series, label, makespan)``, once for each of the
+    experiments they belong to: a map over the runs, whatever the number."""
+    conditions = conditions or {}
+    places = [
+        F.struct(
+            F.lit(exp).alias("exp"),
             experiment_label(exp).alias("label"),
-            "makespan",
+            experiment_filter(exp, conditions.get(exp)).alias("_in"),
         )
-        .filter(F.col("series").isin(names))
+        for exp in exps
+    ]
+    belongs = F.filter(F.array(*places), lambda p: p["_in"])
+    return (
+        runs.select(F.concat_ws("_", "engine", "fs").alias("series"), "makespan", F.inline(belongs))
+        .filter(F.col("series").isin(series_names()))
+        .drop("_in")
     )
 
 
@@ -57,20 +72,27 @@ def comparison(runs: DataFrame, exp: int, condition: float | None = None) -> Dat
 
     Several runs of a series at one label are averaged.
     """
-    names = [f"{engine}_{fs}" for engine, fs in fixed.SERIES]
-    axis = axis_dim(runs.sparkSession, exp)
-    table = series_of(runs, exp, condition).groupBy("label").pivot("series", names).agg(F.avg("makespan"))
-    return F.broadcast(axis).join(table, "label").orderBy("pos")
+    conditions = {} if condition is None else {exp: condition}
+    table = (
+        series_of(runs, [exp], conditions)
+        .groupBy("label")
+        .pivot("series", series_names())
+        .agg(F.avg("makespan"))
+    )
+    axis = axis_dim(runs.sparkSession, [exp]).drop("exp")
+    return table.join(F.broadcast(axis), "label").orderBy("pos")
 
 
-def axis_positions(runs: DataFrame, exp: int, condition: float | None = None) -> DataFrame:
+def axis_positions(
+    runs: DataFrame, exps: Sequence[int] = (1, 2, 3, 4), conditions: dict[int, float] | None = None
+) -> DataFrame:
     """For each series, where its labels sit on the axis; labels it has no
     run for stay as gaps (null makespan)."""
-    names = [f"{engine}_{fs}" for engine, fs in fixed.SERIES]
-    axis = axis_dim(runs.sparkSession, exp).withColumn(
-        "series", F.explode(F.array(*[F.lit(n) for n in names]))
+    axis = axis_dim(runs.sparkSession, exps).withColumn(
+        "series", F.explode(F.array(*[F.lit(n) for n in series_names()]))
     )
-    means = series_of(runs, exp, condition).groupBy("series", "label").agg(
+    means = series_of(runs, exps, conditions).groupBy("exp", "series", "label").agg(
         F.avg("makespan").alias("makespan")
     )
-    return axis.join(means, ["series", "label"], "left")
+    # Grouping by the axis bounds both sides to some ninety rows.
+    return axis.join(means, ["exp", "series", "label"], "left")

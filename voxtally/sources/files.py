@@ -25,10 +25,13 @@ def scan_binary(spark: SparkSession, path: str | list[str], partitions: int | No
     """Every file under ``path`` as ``(path, modificationTime, length, content)``.
 
     Spark packs small files into few tasks, which leaves a CPU-heavy step on
-    them nearly serial; ``partitions`` spreads the rows out again.
+    them nearly serial. So a scan of fewer tasks than there are cores (or
+    than ``partitions``) is spread out. Larger input, whose tasks are many
+    anyway, is never shuffled.
     """
     files = spark.read.format("binaryFile").load(path)
-    return files.repartition(partitions) if partitions else files
+    wanted = partitions or spark.sparkContext.defaultParallelism
+    return files.repartition(wanted) if files.rdd.getNumPartitions() < wanted else files
 
 
 def list_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
