@@ -6,33 +6,35 @@ from pyspark.sql import Column, functions as F
 
 from voxtally.functions import fixed
 
-_NUMBER = r"-?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?"
-EVENT_LINE = rf"^(Read file|Write file|[^ ]+) ({_NUMBER}) ({_NUMBER}) ([^ ]+) ([^ ]+) (-?[0-9]+)$"
 FIELDS = ["name", "start", "end", "node", "filename", "executor"]
 
 
-def phase_name(raw: Column) -> Column:
-    out = raw
+def normalize_phase(line: Column) -> Column:
+    """The line with an irregular phase name in its regular form."""
+    out = line
     for odd, name in fixed.IRREGULAR_PHASES.items():
-        out = F.when(raw == odd, F.lit(name)).otherwise(out)
+        rest = F.substring(line, len(odd) + 1, 2**31 - 1)
+        out = F.when(F.startswith(line, F.lit(odd + " ")), F.concat(F.lit(name), rest)).otherwise(out)
     return out
 
 
 def parse_event(line: Column) -> list[Column]:
     """Typed fields of an event line; other lines go to ``_corrupt`` whole."""
-    ok = F.rlike(line, F.lit(EVENT_LINE))
-
-    def field(i: int) -> Column:
-        return F.when(ok, F.regexp_extract(line, EVENT_LINE, i))
-
+    parts = F.split(normalize_phase(line), " ")
+    name, start, end, node, filename, executor = (F.get(parts, F.lit(i)) for i in range(6))
+    start, end = start.try_cast("double"), end.try_cast("double")
+    executor = executor.try_cast("bigint")
+    ok = (
+        (F.size(parts) == 6)
+        & ~F.array_contains(parts, "")
+        & start.isNotNull()
+        & end.isNotNull()
+        & executor.isNotNull()
+    )
+    values = [name, start, end, node, filename, executor]
     return [
-        phase_name(field(1)).alias("name"),
-        field(2).try_cast("double").alias("start"),
-        field(3).try_cast("double").alias("end"),
-        field(4).alias("node"),
-        field(5).alias("filename"),
-        field(6).try_cast("bigint").alias("executor"),
-        F.when(~ok, line).alias("_corrupt"),
+        *[F.when(ok, v).alias(n) for n, v in zip(FIELDS, values)],
+        F.when(~F.coalesce(ok, F.lit(False)), line).alias("_corrupt"),
     ]
 
 

@@ -13,23 +13,24 @@ from voxtally.functions.modeling import (
     write_rate,
 )
 from voxtally.operators.ordering import with_running_total
+from voxtally.session import literal_table
 
 #: What a run and its in-memory counterpart have in common, besides engine.
 CONDITION = ["iterations", "blocks", "image", "delay"]
 
 
 def image_dim(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(fixed.IMAGE_MIB.items()), "image string, image_mib double")
+    return literal_table(spark, list(fixed.IMAGE_MIB.items()), ["image", "image_mib"])
 
 
 def fs_dim(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(fixed.FS_MIB_PER_S.items()), "fs string, fs_mib_s double")
+    return literal_table(spark, list(fixed.FS_MIB_PER_S.items()), ["fs", "fs_mib_s"])
 
 
 def concurrency_dim(spark: SparkSession, cluster: dict[int, int] | None = None) -> DataFrame:
     cluster = cluster or fixed.CLUSTER_CONCURRENCY
     rows = [(blocks, node, cluster[blocks]) for blocks, node in fixed.NODE_CONCURRENCY.items()]
-    return spark.createDataFrame(rows, "blocks int, gamma int, gamma_cluster int")
+    return literal_table(spark, rows, ["blocks", "gamma", "gamma_cluster"])
 
 
 def with_dims(runs: DataFrame, cluster: dict[int, int] | None = None) -> DataFrame:

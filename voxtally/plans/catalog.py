@@ -61,11 +61,10 @@ def chk_iterate_n(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def chk_iterate_all_steps(spark: SparkSession, sf: str) -> DataFrame:
-    v = tables.voxel_rows(spark, sf)
+    """How often each value occurs in each slab after each step."""
+    v = tables.voxel_rows(spark, sf).select("z", "v")
     steps = chunks.all_steps(v, ITERATIONS, "v", "int")
-    return steps.groupBy("id", "iteration").agg(
-        F.count(F.lit(1)).alias("n_voxels"), F.sum("v").alias("total")
-    )
+    return steps.groupBy("z", "iteration", "v").agg(F.count(F.lit(1)).alias("n_voxels"))
 
 
 @query

@@ -3,11 +3,18 @@
 from __future__ import annotations
 
 from voxtally.functions import fixed
-from voxtally.functions.events import EVENT_LINE
-from voxtally.functions.naming import CHUNK_NAME
-from voxtally.functions.runs import RUN_NAME
 from voxtally.plans.tables import DELAYS, FS, ITERATIONS, PHASES, PRIORITY_TAG, SEGMENT_FS, TAGS
 
+# Patterns of the three formats, as an independent check of the splits.
+RUN_NAME = r"^(sp|np)_([a-z]+)_(\d+)it(\d+)(HBB|BB|MRI)_([0-9]+(?:\.[0-9]+)?)delay(?:\.out)?$"
+NUMBER = r"-?[0-9]+(?:\.[0-9]+)?"
+EVENT_LINE = rf"^(Read file|Write file|[^ ]+) ({NUMBER}) ({NUMBER}) ([^ ]+) ([^ ]+) (-?[0-9]+)$"
+CHUNK_NAME = r"^(?:inc\d*-)*(.+)_(\d+)_(\d+)_(\d+)\.nii$"
+WHITESPACE = (
+    r"[\x{09}-\x{0d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
+    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+)
+
 
 def _list(values: list[str]) -> str:
     return "[" + ", ".join(f"'{v}'" for v in values) + "]"
@@ -206,8 +213,8 @@ def oracle_sql() -> dict[str, str]:
         "chk_increment": _voxels("vec_id", "list_transform(embedding, lambda x: x + 1::FLOAT)"),
         "chk_iterate_n": _voxels("vec_id", f"list_transform(embedding, lambda x: {_TEN})"),
         "chk_iterate_all_steps": """
-          SELECT l_orderkey AS id, iteration::INT AS iteration, count(*) AS n_voxels,
-            sum(l_quantity::INT + iteration)::BIGINT AS total
+          SELECT l_linenumber - 1 AS z, iteration::INT AS iteration, (l_quantity::INT + iteration)::INT AS v,
+            count(*) AS n_voxels
           FROM lineitem, generate_series(1, 10) AS g(iteration) GROUP BY ALL""",
         "chk_user_fn": """
           SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 6) AS total
@@ -251,7 +258,7 @@ def oracle_sql() -> dict[str, str]:
           SELECT conv_id, turn, unnest(string_split(text, ',')) AS path FROM conversations""",
         "src_legend_tokens": f"""
           SELECT doc_id, unnest(range(len(t)))::INT AS pos, unnest(t) AS token
-          FROM (SELECT doc_id, list_filter(string_split_regex(text, '{fixed.WHITESPACE}'),
+          FROM (SELECT doc_id, list_filter(string_split_regex(text, '{WHITESPACE}'),
             lambda x: x <> '') AS t FROM documents)""",
         "src_conditions_json": f"""WITH {_CONDITIONS}
           SELECT p_partkey, experiment, framework, filesystem, delay, dataset, iterations FROM cn""",

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from voxtally.functions import fixed
 from voxtally.functions.runs import delay_text
+from voxtally.session import literal_table
 
 
 def experiment_filter(exp: int, condition: float | None = None) -> Column:
@@ -38,7 +39,7 @@ def experiment_label(exp: int) -> Column:
 def axis_dim(spark: SparkSession, exps: Sequence[int]) -> DataFrame:
     """The fixed axes of some experiments: three or four labels each."""
     rows = [(exp, pos, label) for exp in exps for pos, label in enumerate(fixed.AXES[exp])]
-    return spark.createDataFrame(rows, "exp int, pos int, label string")
+    return literal_table(spark, rows, ["exp", "pos", "label"])
 
 
 def series_names() -> list[str]:

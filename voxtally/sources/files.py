@@ -51,8 +51,9 @@ def split_path_list(paths: Column) -> Column:
 
 def legend_tokens(text: Column) -> Column:
     """Whitespace-separated names of a legend as ``(pos, token)`` rows."""
-    tokens = F.split(text, fixed.WHITESPACE)
-    return F.posexplode(F.filter(tokens, lambda t: t != ""))
+    # one kind of blank first: cutting at a single character needs no pattern
+    blanks = F.translate(text, fixed.WHITESPACE, " " * len(fixed.WHITESPACE))
+    return F.posexplode(F.array_remove(F.split(blanks, " "), ""))
 
 
 def read_legend(spark: SparkSession, path: str) -> DataFrame:
