@@ -6,35 +6,41 @@ from pyspark.sql import Column, functions as F
 
 from voxtally.functions import fixed
 
+_NUMBER = r"-?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?"
+EVENT_LINE = rf"^(Read file|Write file|[^ ]+) {_NUMBER} {_NUMBER} [^ ]+ [^ ]+ -?[0-9]+$"
 FIELDS = ["name", "start", "end", "node", "filename", "executor"]
 
 
-def normalize_phase(line: Column) -> Column:
-    """The line with an irregular phase name in its regular form."""
-    out = line
+def phase_name(first: Column) -> Column:
+    """Name of a phase from the first word of its line."""
+    out = first
     for odd, name in fixed.IRREGULAR_PHASES.items():
-        rest = F.substring(line, len(odd) + 1, 2**31 - 1)
-        out = F.when(F.startswith(line, F.lit(odd + " ")), F.concat(F.lit(name), rest)).otherwise(out)
+        out = F.when(first == odd.split(" ")[0], F.lit(name)).otherwise(out)
     return out
 
 
 def parse_event(line: Column) -> list[Column]:
-    """Typed fields of an event line; other lines go to ``_corrupt`` whole."""
-    parts = F.split(normalize_phase(line), " ")
-    name, start, end, node, filename, executor = (F.get(parts, F.lit(i)) for i in range(6))
-    start, end = start.try_cast("double"), end.try_cast("double")
-    executor = executor.try_cast("bigint")
-    ok = (
-        (F.size(parts) == 6)
-        & ~F.array_contains(parts, "")
-        & start.isNotNull()
-        & end.isNotNull()
-        & executor.isNotNull()
-    )
-    values = [name, start, end, node, filename, executor]
+    """Typed fields of an event line; other lines go to ``_corrupt`` whole.
+
+    Only the first field can hold a blank, so the others are counted from
+    the end of the line.
+    """
+    ok = F.rlike(line, F.lit(EVENT_LINE))
+
+    def from_end(n: int) -> Column:
+        return F.substring_index(F.substring_index(line, " ", -n), " ", 1)
+
+    values = [
+        phase_name(F.substring_index(line, " ", 1)),
+        from_end(5).try_cast("double"),
+        from_end(4).try_cast("double"),
+        from_end(3),
+        from_end(2),
+        from_end(1).try_cast("bigint"),
+    ]
     return [
         *[F.when(ok, v).alias(n) for n, v in zip(FIELDS, values)],
-        F.when(~F.coalesce(ok, F.lit(False)), line).alias("_corrupt"),
+        F.when(~ok, line).alias("_corrupt"),
     ]
 
 

@@ -4,8 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+#: Base name ``<image>_<x>_<y>_<z>.nii``, with ``inc-`` / ``inc<n>-`` or not.
+CHUNK_NAME = r"^(?:inc\d*-)*(.+)_\d+_\d+_\d+\.nii$"
+#: The same seen from its end, which is all that the offsets need.
+CHUNK_TAIL = r"[^/]_\d+_\d+_\d+\.nii$"
+
+
 def basename(path: Column) -> Column:
-    return F.element_at(F.split(path, "/"), -1)
+    return F.substring_index(path, "/", -1)
 
 
 def dirname(path: Column) -> Column:
@@ -62,30 +68,19 @@ def final_name(path: Column, iterations: int | Column) -> Column:
     return F.concat(F.lit("inc"), n.cast("string"), F.lit("-"), bare)
 
 
-def _chunk_parts(path: Column) -> tuple[Column, Column]:
-    """``<image>_<x>_<y>_<z>.nii`` cut at its underscores, and whether the
-    name is one. ``inc-`` and ``inc<n>-`` in front do not count."""
-    name = basename(path)
-    parts = F.split(strip_suffix(name, ".nii"), "_")
-    numbers = [F.try_element_at(parts, F.lit(-i)).try_cast("int") for i in (1, 2, 3)]
-    ok = F.endswith(name, F.lit(".nii")) & (F.size(parts) >= 4)
-    for n in numbers:
-        ok = ok & n.isNotNull()
-    return parts, ok
-
-
 def chunk_image(path: Column) -> Column:
     """Image part of a chunk name, null when the name is not a chunk's."""
-    parts, ok = _chunk_parts(path)
-    image = F.array_join(F.slice(parts, F.lit(1), F.size(parts) - 3), "_")
-    bare = F.when(F.startswith(image, F.lit("inc")), F.regexp_replace(image, r"^(?:inc\d*-)+", ""))
-    return F.when(ok, F.coalesce(bare, image))
+    return F.nullif(F.regexp_extract(basename(path), CHUNK_NAME, 1), F.lit(""))
 
 
 def chunk_offsets(path: Column) -> list[Column]:
     """``x0, y0, z0`` of a chunk, null when the name is not a chunk's."""
-    parts, ok = _chunk_parts(path)
+    ok = F.rlike(path, F.lit(CHUNK_TAIL))
+    stem = F.rtrim(path, F.lit(".ni"))
+
+    def from_end(n: int) -> Column:
+        return F.substring_index(F.substring_index(stem, "_", -n), "_", 1)
+
     return [
-        F.when(ok, F.try_element_at(parts, F.lit(i - 3)).try_cast("int")).alias(f"{axis}0")
-        for i, axis in enumerate("xyz")
+        F.when(ok, from_end(3 - i)).try_cast("int").alias(f"{axis}0") for i, axis in enumerate("xyz")
     ]

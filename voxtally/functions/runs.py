@@ -5,52 +5,38 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from voxtally.functions import fixed
-from voxtally.functions.naming import strip_suffix
 
-#: Columns a run name carries, with their types.
-FIELDS = [
-    ("engine", "string"),
-    ("fs", "string"),
-    ("iterations", "int"),
-    ("blocks", "int"),
-    ("image", "string"),
-    ("delay", "double"),
-]
+RUN_NAME = r"^(sp|np)_[a-z]+_\d+it\d+(HBB|BB|MRI)_[0-9]+(\.[0-9]+)?delay(\.out)?$"
 
 
 def parse_run_name(run: Column) -> list[Column]:
     """Typed columns of a run name, all null for a name of another shape.
 
-    Plain splits, because filters on these columns are pushed to the scan and
-    so run once per row there; a pattern match per field costs many times more.
+    Filters on these columns are pushed to the scan, where nothing is shared
+    between expressions. So each column is one pattern check, which a select
+    of several shares, and plain string functions.
     """
-    parts = F.split(run, "_")
-    count = F.split(F.get(parts, F.lit(2)), "it")
-    chunks = F.get(count, F.lit(1))
-    # HBB ends in BB too, so the longer tag comes first
-    image = F.lit(None).cast("string")
-    for tag in sorted(fixed.IMAGES, key=len):
-        image = F.when(F.endswith(chunks, F.lit(tag)), F.lit(tag)).otherwise(image)
-    blocks = F.substring(chunks, F.lit(1), F.length(chunks) - F.length(image))
-    delay = strip_suffix(strip_suffix(F.get(parts, F.lit(3)), ".out"), "delay")
-    values = {
-        "engine": F.get(parts, F.lit(0)),
-        "fs": F.get(parts, F.lit(1)),
-        "iterations": F.get(count, F.lit(0)).try_cast("int"),
-        "blocks": blocks.try_cast("int"),
+    ok = F.rlike(run, F.lit(RUN_NAME))
+
+    def between(text: Column, mark: str, n: int) -> Column:
+        return F.substring_index(F.substring_index(text, mark, n), mark, -1)
+
+    count = between(run, "_", 3)
+    chunks = F.substring_index(count, "it", -1)
+    image = (
+        F.when(F.endswith(chunks, F.lit("HBB")), "HBB")
+        .when(F.endswith(chunks, F.lit("BB")), "BB")
+        .otherwise("MRI")
+    )
+    fields = {
+        "engine": F.substring_index(run, "_", 1),
+        "fs": between(run, "_", 2),
+        "iterations": F.substring_index(count, "it", 1).try_cast("int"),
+        "blocks": F.rtrim(chunks, F.lit("HBMRI")).try_cast("int"),
         "image": image,
-        "delay": delay.try_cast("double"),
+        "delay": F.substring_index(between(run, "_", 4), "delay", 1).try_cast("double"),
     }
-    ok = (
-        (F.size(parts) == 4)
-        & values["engine"].isin(fixed.ENGINES)
-        & F.contains(run, F.lit("delay"))
-        & (F.size(count) == 2)
-        & values["iterations"].isNotNull()
-        & values["blocks"].isNotNull()
-        & values["delay"].isNotNull()
-    )
-    return [F.when(ok, values[name]).alias(name) for name, _ in FIELDS]
+    return [F.when(ok, value).alias(name) for name, value in fields.items()]
 
 
 def delay_text(delay: Column) -> Column:

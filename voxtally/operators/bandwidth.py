@@ -50,10 +50,9 @@ def exact_quantiles(
     are range-sorted, and their running count tells which of them sit at the
     wanted ranks. Only those reach the last aggregate. ``df`` is read once.
     """
-    counted = (
-        df.filter(F.col(value).isNotNull())
-        .groupBy(*group, value)
-        .agg(F.count(F.lit(1)).alias("_c"), *[F.sum(s).alias(s) for s in sums])
+    # a null counts 0 and so holds no rank
+    counted = df.groupBy(*group, value).agg(
+        F.count(value).alias("_c"), *[F.sum(s).alias(s) for s in sums]
     )
     ranked = with_running_total(counted, [*group, value], "_c", "_upto")
     # One row per group, with the running count just before the group.

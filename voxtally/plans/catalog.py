@@ -260,8 +260,11 @@ def nam_strip_scheme(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def nam_chunk_offsets(spark: SparkSession, sf: str) -> DataFrame:
     name = F.concat_ws("_", F.lit("/data/img"), F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber"))
-    path = F.concat(name, F.lit(".nii"))
-    return tables.read(spark, sf, "lineitem").select(
+    named = tables.read(spark, sf, "lineitem").select(
+        "l_orderkey", F.concat(name, F.lit(".nii")).alias("path")
+    )
+    path = F.col("path")
+    return named.select(
         "l_orderkey", naming.chunk_image(path).alias("image"), *naming.chunk_offsets(path)
     )
 
