@@ -124,3 +124,8 @@ def write_time_by_count(writes: DataFrame, chunks: str, seconds: str) -> DataFra
 def realized(writes: DataFrame, group: list[str], size: str, seconds: str) -> DataFrame:
     """Bandwidth over all writes of a group: sum of sizes over sum of times."""
     return writes.groupBy(*group).agg((F.sum(size) / F.sum(seconds)).alias("mb_s"))
+
+
+def write_times(times: DataFrame, path: str) -> None:
+    """Write times per number of chunks as JSON, one object per number."""
+    times.write.mode("overwrite").json(path)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -185,9 +186,7 @@ def snk_result_manifest(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def snk_image_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     """Embeddings saved as image files, read back, incremented ten times."""
-    import uuid
-
-    folder = f"{scratch_dir(spark)}/voxtally/images-{uuid.uuid4().hex}"
+    folder = f"{scratch_dir(spark)}/images-{uuid.uuid4().hex}"
     header = F.lit(build_header(tables.SHAPE, "float32"))
     c = tables.embedding_chunks(spark, sf).select(
         "path", header.alias("header"), F.lit(0).alias("block"), F.lit(1).alias("n_blocks"), "voxels"

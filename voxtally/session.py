@@ -30,19 +30,19 @@ def build_session(app: str = "voxtally", master: str | None = None, **conf: str)
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables.
+    """The shared folder for intermediate tables, one per application.
 
-    It is the one the cluster names in ``spark.checkpoint.dir``. Only a local
-    session may fall back to a temporary folder of this machine.
+    It lies in the folder the cluster names in ``spark.checkpoint.dir``. Only
+    a local session may fall back to a temporary folder of this machine.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.conf.get("spark.master", "").startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    fallback = tempfile.mkdtemp(prefix="voxtally-")
-    spark.conf.set("spark.checkpoint.dir", fallback)
-    return fallback
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not named:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="voxtally-"))
+        named = context.getCheckpointDir()
+    return f"{named.rstrip('/')}/voxtally/{context.applicationId}"
 
 
 def literal_table(spark: SparkSession, rows: list[tuple], columns: list[str]) -> DataFrame:
@@ -67,6 +67,6 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     when it is known to be small, and is a shuffle join otherwise.
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/voxtally/{tag}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
