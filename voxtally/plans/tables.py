@@ -60,8 +60,9 @@ def _div(column: Column, by: int) -> Column:
 
 
 def micros(ts: str) -> Column:
-    """Microseconds since the epoch; the tables' times have no zone."""
-    return F.unix_micros(F.col(ts).cast("timestamp"))
+    """Microseconds since the epoch; the tables' times have no zone, so the
+    session's zone is taken out again."""
+    return F.unix_micros(F.from_utc_timestamp(F.col(ts).cast("timestamp"), F.current_timezone()))
 
 
 def task_events(spark: SparkSession, sf_dir: str) -> DataFrame:
