@@ -106,3 +106,22 @@ def test_concurrency_per_node_and_cluster(spark):
 def test_back_to_back_tasks_do_not_overlap(spark):
     df = spark.createDataFrame([("a", 0.0, 5.0), ("a", 5.0, 9.0)], "node string, start double, end double")
     assert max_concurrency(df, ["node"]).first().max_tasks == 1
+
+
+def test_a_hot_key_is_split_over_partitions(spark):
+    from voxtally.operators.ordering import _ranged
+
+    df = spark.range(0, 9000, 1, 16).withColumn("k", F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")))
+    hot = _ranged(df, ["k"]).filter("k = 7").groupBy("_part").count().collect()
+    assert len(hot) >= 3 and sum(r["count"] for r in hot) == 3000 + 1
+    got = with_dense_index(df, ["k"], "idx")
+    assert sorted(r.idx for r in got.collect()) == list(range(9000))
+    ordered = [r.k for r in sorted(got.collect(), key=lambda r: r.idx)]
+    assert ordered == sorted(ordered)
+
+
+def test_concurrency_of_copies(spark):
+    df = spark.range(0, 3000, 1, 8).select(
+        F.lit("a").alias("node"), F.lit(1.0).alias("start"), F.lit(2.0).alias("end")
+    )
+    assert max_concurrency(df, ["node"]).first().max_tasks == 3000

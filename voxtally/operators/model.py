@@ -12,7 +12,7 @@ from voxtally.functions.modeling import (
     region,
     write_rate,
 )
-from voxtally.operators.ordering import with_running_total
+from voxtally.operators.ordering import max_running_total
 from voxtally.session import literal_table
 
 #: What a run and its in-memory counterpart have in common, besides engine.
@@ -144,21 +144,16 @@ def max_concurrency(
     """Largest number of tasks at a time per group (no group: the cluster).
 
     Sweep line: +1 at each start and -1 at each end, ends first where they
-    coincide. Equal points add up on the map side before the sort. As every
-    group's points sum to zero, the running total over the whole table in
-    (group, time) order is also each group's own, so no group has to fit in a
-    task.
+    coincide, and the largest running total. One range shuffle of the points;
+    no group has to fit in a task.
     """
-    keys = [F.col(g) for g in group]
     points = tasks.select(
-        *keys,
+        *group,
         F.inline(
             F.array(
-                F.struct(F.col(start).alias("t"), F.lit(1).alias("delta")),
-                F.struct(F.col(end).alias("t"), F.lit(-1).alias("delta")),
+                F.struct(F.col(start).alias("t"), F.lit(1).alias("step")),
+                F.struct(F.col(end).alias("t"), F.lit(-1).alias("step")),
             )
         ),
     )
-    points = points.groupBy(*group, "t", "delta").agg(F.sum("delta").alias("step"))
-    running = with_running_total(points, [*group, "t", "delta"], "step", "tasks")
-    return running.groupBy(*group).agg(F.max("tasks").alias("max_tasks"))
+    return max_running_total(points, group, ["t", "step"], "step", "max_tasks")

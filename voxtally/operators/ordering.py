@@ -3,8 +3,9 @@
 A window with no partition key, or with one hot key, puts all its rows into
 one task. Here the table is range-partitioned by the order instead, each
 partition counts (or sums) on its own, and the few per-partition totals say
-where each partition starts. The order should be total (end it with a unique
-column): equal keys stay in one partition.
+where each partition starts. Rows with equal keys are told apart by the task
+they came from, so a hot key is split too; their positions among each other
+are arbitrary, unless the order ends with a unique column.
 """
 
 from __future__ import annotations
@@ -17,19 +18,39 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from voxtally.session import materialize
 
-_PART, _LOCAL = "_part", "_local"
+_PART, _LOCAL, _TIE = "_part", "_local", "_tie"
 
 
 def _ranged(df: DataFrame, order: Sequence[str | Column]) -> DataFrame:
     # With the number given, AQE neither merges nor splits the partitions.
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [*order, _TIE]
     return (
-        df.repartitionByRange(n, *order)
-        .sortWithinPartitions(*order)
+        df.withColumn(_TIE, F.spark_partition_id())
+        .repartitionByRange(n, *keys)
+        .sortWithinPartitions(*keys)
+        .drop(_TIE)
         .withColumn(_PART, F.spark_partition_id())
     )
 
 
+def _summed_locally(df: DataFrame, order: Sequence[str | Column], value: str) -> DataFrame:
+    """Ranged rows, with the sum of ``value`` since the partition's start."""
+    ranged = _ranged(df, order).withColumn(_LOCAL, F.col(value).cast("bigint"))
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carry = 0
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            at = batch.schema.get_field_index(_LOCAL)
+            sums = pc.cumulative_sum(batch.column(at), start=carry)
+            carry = sums[-1].as_py()
+            yield batch.set_column(at, batch.schema.field(at), sums)
+
+    return ranged.mapInArrow(add_up, ranged.schema)
+
+
 def _with_start(table: DataFrame, amount: Column) -> DataFrame:
     """Join each row with the amount in all partitions before its own.
 
@@ -68,24 +89,29 @@ def with_running_total(
     df: DataFrame, order: Sequence[str | Column], value: str, name: str = "running"
 ) -> DataFrame:
     """Add the sum of bigint ``value`` over all rows up to and with this one."""
-    ranged = _ranged(df, order).withColumn(_LOCAL, F.col(value).cast("bigint"))
-
-    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carry = 0
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            at = batch.schema.get_field_index(_LOCAL)
-            sums = pc.cumulative_sum(batch.column(at), start=carry)
-            carry = sums[-1].as_py()
-            yield batch.set_column(at, batch.schema.field(at), sums)
-
-    table = materialize(ranged.mapInArrow(add_up, ranged.schema), "running")
+    table = materialize(_summed_locally(df, order, value), "running")
     out = _with_start(table, F.sum(value))
     out = out.withColumn(name, F.col("_start") + F.col(_LOCAL))
     return out.drop(_PART, _LOCAL, "_start", "_total")
 
 
+def max_running_total(
+    df: DataFrame, group: Sequence[str], order: Sequence[str | Column], value: str, name: str
+) -> DataFrame:
+    """The largest running total of each group, where each group's values sum
+    to zero, so that the total over the whole table is also the group's own.
+
+    Only the maxima leave a partition: a row for each of its groups, and a
+    group's rows lie in neighbouring partitions.
+    """
+    local = _summed_locally(df, [*group, *order], value)
+    maxima = local.groupBy(*group, _PART).agg(
+        F.max(_LOCAL).alias("_max"), F.sum(value).alias("_sum")
+    )
+    out = _with_start(materialize(maxima, "maxima"), F.sum("_sum"))
+    return out.groupBy(*group).agg(F.max(F.col("_start") + F.col("_max")).alias(name))
+
+
 def balanced_group(idx: Column, total: Column, groups: int) -> Column:
     """Group (from 0) of position ``idx`` when ``total`` rows are cut into
     ``groups`` contiguous runs, the first ``total mod groups`` one longer."""
