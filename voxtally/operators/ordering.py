@@ -34,9 +34,11 @@ def _ranged(df: DataFrame, order: Sequence[str | Column]) -> DataFrame:
     )
 
 
-def _summed_locally(df: DataFrame, order: Sequence[str | Column], value: str) -> DataFrame:
+def _summed_locally(
+    df: DataFrame, order: Sequence[str | Column], value: str, keep: Sequence[str]
+) -> DataFrame:
     """Ranged rows, with the sum of ``value`` since the partition's start."""
-    ranged = _ranged(df, order).withColumn(_LOCAL, F.col(value).cast("bigint"))
+    ranged = _ranged(df, order).select(*keep, _PART, F.col(value).cast("bigint").alias(_LOCAL))
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carry = 0
@@ -89,7 +91,7 @@ def with_running_total(
     df: DataFrame, order: Sequence[str | Column], value: str, name: str = "running"
 ) -> DataFrame:
     """Add the sum of bigint ``value`` over all rows up to and with this one."""
-    table = materialize(_summed_locally(df, order, value), "running")
+    table = materialize(_summed_locally(df, order, value, df.columns), "running")
     out = _with_start(table, F.sum(value))
     out = out.withColumn(name, F.col("_start") + F.col(_LOCAL))
     return out.drop(_PART, _LOCAL, "_start", "_total")
@@ -104,7 +106,7 @@ def max_running_total(
     Only the maxima leave a partition: a row for each of its groups, and a
     group's rows lie in neighbouring partitions.
     """
-    local = _summed_locally(df, [*group, *order], value)
+    local = _summed_locally(df, [*group, *order], value, [*group, value])
     maxima = local.groupBy(*group, _PART).agg(
         F.max(_LOCAL).alias("_max"), F.sum(value).alias("_sum")
     )
