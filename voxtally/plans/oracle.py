@@ -172,7 +172,8 @@ def _report(exp: int) -> str:
         4: "CASE WHEN delay = 320 THEN '320' ELSE delay::VARCHAR END",
     }[exp]
     return f"""
-      SELECT engine || '_' || fs AS series, {label} AS label, avg(makespan) AS makespan
+      SELECT engine || '_' || fs AS series, {label} AS label,
+        round(avg(makespan::DECIMAL(20,5)), 9) AS makespan
       FROM mr WHERE {keep} GROUP BY ALL"""
 
 
@@ -186,7 +187,7 @@ _SERIES = [f"{engine}_{fs}" for engine, fs in fixed.SERIES]
 
 def _comparison(exp: int) -> str:
     columns = ", ".join(
-        f"round(max(CASE WHEN series = '{s}' THEN makespan END), 6) AS {s}" for s in _SERIES
+        f"max(CASE WHEN series = '{s}' THEN makespan END) AS {s}" for s in _SERIES
     )
     listed = ", ".join(f"'{s}'" for s in _SERIES)
     return f"""WITH {_DRIVERS}, s AS ({_report(exp)})
@@ -196,7 +197,7 @@ def _comparison(exp: int) -> str:
 
 def _positions() -> str:
     parts = [
-        f"""SELECT {exp} AS exp, names.series, axis.label, axis.pos, round(s.makespan, 6) AS makespan
+        f"""SELECT {exp} AS exp, names.series, axis.label, axis.pos, s.makespan
           FROM {_axis(exp)} CROSS JOIN (SELECT unnest({_list(_SERIES)}) AS series) AS names
           LEFT JOIN ({_report(exp)}) AS s ON s.label = axis.label AND s.series = names.series"""
         for exp in (1, 2, 3, 4)
