@@ -4,9 +4,10 @@ import pytest
 
 import __spark_entry__ as entry_point
 from compare import connect, mismatch
+from voxtally.plans import catalog, oracle
 
 SF = "/root/testdata/sf0.001"
-QUERIES, ORACLE = entry_point.queries(), entry_point.oracle_sql()
+QUERIES, ORACLE = catalog.queries(), oracle.oracle_sql()
 
 
 @pytest.fixture(scope="module")
