@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from voxtally.llm import bpe
+from voxtally.llm import bpe, packing, warc
 from voxtally.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,19 @@ def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
 
+@query
+def op3_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack(table(spark, sf, "documents"))
+
+
+@query
+def op7_warc(spark: SparkSession, sf: str) -> DataFrame:
+    index = warc.write_archives(table(spark, sf, "pages"))
+    return warc.read_records(index).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
 @query
 def op10_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     done = bpe.decode(bpe.encode(table(spark, sf, "documents")))
