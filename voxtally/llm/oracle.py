@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from voxtally.llm import mixing
+
 OP7 = """
 WITH p AS (
   SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages
@@ -17,6 +19,73 @@ SELECT page_id, payload_bytes,
 FROM f
 """
 
+OP6 = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+    list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2]))::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
+def _op2(sweeps: int, budget_steps: int, budget: float, powers: dict[str, float]) -> str:
+    """The sweeps as one step after another."""
+    parts = ["""d AS MATERIALIZED (
+  SELECT doc_id, coalesce(source, '(null)') AS source, coalesce(lang, '(null)') AS lang,
+    coalesce(text, '') AS t, length(coalesce(text, '')) AS n,
+  FROM documents
+), f AS MATERIALIZED (
+  SELECT doc_id, source, lang,
+    (n - length(replace(replace(t, ' ', ''), chr(10), '')) + 1)::BIGINT AS n_tokens,
+    CASE WHEN (n - length(translate(t, '#$%&*{}[]<>=;|~^', ''))) * 50 > n THEN 'symbols'
+      WHEN (n - length(translate(t, '0123456789', ''))) * 50 > n THEN 'figures'
+      WHEN (n - length(replace(t, chr(10), ''))) * 400 > n THEN 'lines'
+      WHEN n < 400 THEN 'short' ELSE 'prose' END AS topic
+  FROM d
+), c0 AS MATERIALIZED (
+  SELECT source, lang, topic, sum(n_tokens)::BIGINT AS tokens, sum(n_tokens)::DOUBLE AS w FROM f GROUP BY ALL
+)"""]
+    for dim, power in powers.items():
+        parts.append(f"""t_{dim} AS MATERIALIZED (
+  SELECT {dim}, p / sum(p) OVER () AS share
+  FROM (SELECT {dim}, pow(sum(tokens)::DOUBLE, {power}) AS p FROM c0 GROUP BY {dim})
+)""")
+    step = 0
+    for _ in range(sweeps):
+        for dim in powers:
+            parts.append(f"""c{step + 1} AS MATERIALIZED (
+  SELECT source, lang, topic, tokens, w * share / sum(w) OVER (PARTITION BY {dim}) AS w
+  FROM c{step} JOIN t_{dim} USING ({dim})
+)""")
+            step += 1
+    parts.append(f"""x AS MATERIALIZED (
+  SELECT *, w * (SELECT sum(tokens) FROM c0)::DOUBLE / tokens AS weight FROM c{step}
+), l0 AS (SELECT {budget}::DOUBLE AS z)""")
+    for i in range(budget_steps):
+        parts.append(f"""l{i + 1} AS MATERIALIZED (
+  SELECT greatest(z, ({budget}::DOUBLE * sum(tokens)::DOUBLE - sum(CASE WHEN weight * z >= 1 THEN tokens ELSE 0 END)::DOUBLE)
+    / sum(CASE WHEN weight * z >= 1 THEN 0 ELSE tokens * weight END)) AS z
+  FROM x, l{i} GROUP BY z
+)""")
+    return "WITH " + ", ".join(parts) + f"""
+SELECT doc_id, source, lang, topic, n_tokens, round(weight, 6) AS weight, round(least(1, weight * z), 6) AS probability,
+  ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE
+    < round(least(1, weight * z), 6) AS sampled
+FROM f JOIN x USING (source, lang, topic), l{budget_steps}
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_warc": OP7}
+    return {
+        "op2_mixing": _op2(mixing.SWEEPS, mixing.BUDGET_STEPS, mixing.BUDGET, mixing.TARGETS),
+        "op6_topk": OP6,
+        "op7_warc": OP7,
+    }

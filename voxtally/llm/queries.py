@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from voxtally.llm import bpe, packing, warc
+from voxtally.llm import bpe, mixing, packing, topk, warc
 from voxtally.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,11 +22,21 @@ def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
 
+@query
+def op2_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mix(table(spark, sf, "documents"))
+
+
 @query
 def op3_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(table(spark, sf, "documents"))
 
 
+@query
+def op6_topk(spark: SparkSession, sf: str) -> DataFrame:
+    return topk.top_products(table(spark, sf, "embeddings"), F.pmod(F.col("vec_id"), F.lit(50)) == 0, k=5)
+
+
 @query
 def op7_warc(spark: SparkSession, sf: str) -> DataFrame:
     index = warc.write_archives(table(spark, sf, "pages"))
