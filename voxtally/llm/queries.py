@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from voxtally.llm import bpe, mixing, packing, topk, warc
+from voxtally.llm import bpe, mixing, packing, pii, topk, warc
 from voxtally.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,6 +45,22 @@ def op7_warc(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def op8_pii(spark: SparkSession, sf: str) -> DataFrame:
+    found = pii.find_private(table(spark, sf, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id",
+        *[count(kind) for kind in pii.KINDS],
+        F.sha2(pii.spans_text(base), 256).alias("base_sha256"),
+        pii.spans_text(F.col("spans")).alias("spans"),
+    )
+
+
 @query
 def op10_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     done = bpe.decode(bpe.encode(table(spark, sf, "documents")))
