@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from voxtally.llm import bpe, mixing, packing, pii, topk, warc
-from voxtally.llm.common import table
+from voxtally.llm import bpe, langid, mixing, packing, pii, topk, toxicity, warc
+from voxtally.llm.common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -32,6 +32,20 @@ def op3_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(table(spark, sf, "documents"))
 
 
+@query
+def op4_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query
+def op5_language(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    found = langid.identify(docs, langid.learn(docs))
+    return found.select(
+        "doc_id", held_out(F.col("doc_id"), langid.FOLDS, langid.HELD_OUT).alias("held_out"), "lang_pred", "score"
+    )
+
+
 @query
 def op6_topk(spark: SparkSession, sf: str) -> DataFrame:
     return topk.top_products(table(spark, sf, "embeddings"), F.pmod(F.col("vec_id"), F.lit(50)) == 0, k=5)
