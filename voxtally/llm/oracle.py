@@ -4,6 +4,27 @@ from __future__ import annotations
 
 from voxtally.llm import mixing
 
+OP1 = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), l AS MATERIALIZED (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98
+), r AS (
+  SELECT vec_id AS a, vec_id AS b FROM embeddings
+  UNION
+  SELECT r.a, l.b FROM r JOIN l ON r.b = l.a
+), c AS (
+  SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY a
+)
+SELECT vec_id, (SELECT count(*) FROM l WHERE l.a = c.vec_id)::BIGINT AS n_links, component_id,
+  vec_id = component_id AS kept
+FROM c
+"""
+
 OP7 = """
 WITH p AS (
   SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages
@@ -85,6 +106,7 @@ FROM f JOIN x USING (source, lang, topic), l{budget_steps}
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_near_vectors": OP1,
         "op2_mixing": _op2(mixing.SWEEPS, mixing.BUDGET_STEPS, mixing.BUDGET, mixing.TARGETS),
         "op6_topk": OP6,
         "op7_warc": OP7,

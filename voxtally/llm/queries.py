@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from voxtally.llm import bpe, langid, mixing, packing, pii, topk, toxicity, warc
+from voxtally.llm import bpe, langid, mixing, packing, pii, topk, toxicity, vectors, warc
 from voxtally.llm.common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,11 @@ def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
 
+@query
+def op1_near_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf, "embeddings"), cosine=0.98, label_col="label")
+
+
 @query
 def op2_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix(table(spark, sf, "documents"))
