@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from voxtally.llm import bpe, langid, mixing, packing, pii, topk, toxicity, vectors, warc
+from voxtally.llm import bpe, langid, minhash, mixing, packing, pii, topk, toxicity, vectors, warc
 from voxtally.llm.common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,6 +80,11 @@ def op8_pii(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def op9_near_documents(spark: SparkSession, sf: str) -> DataFrame:
+    return minhash.near_documents(table(spark, sf, "documents"))
+
+
 @query
 def op10_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     done = bpe.decode(bpe.encode(table(spark, sf, "documents")))
