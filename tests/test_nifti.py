@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 import images
 from voxtally.sources import files
-from voxtally.sources.nifti import NiftiReader, build_header, list_images, parse_header
-from voxtally.schemas import chunk_schema
-from voxtally.functions.arrays import ELEMENT_OF_DTYPE
+from voxtally.operators.chunks import Steps, pad_chunks, split_chunks
+from voxtally.session import qualified
+from voxtally.sources.nifti import build_header, filesystem, parse_header
 
 
 def rows_by_name(df):
@@ -33,8 +33,8 @@ def test_input_is_a_folder_a_file_or_a_list(spark, tmp_path):
     some = files.read_images(spark, ",".join(map(str, paths[:3])))
     star = files.read_images(spark, f"{tmp_path}/*")
     assert (one.count(), some.count(), star.count()) == (1, 3, 8)
-    with pytest.raises(FileNotFoundError):
-        list_images(str(tmp_path / "none.nii"))
+    with pytest.raises(Exception, match="not exist"):
+        files.read_images(spark, str(tmp_path / "none.nii"))
 
 
 @pytest.mark.parametrize("dtype", ["uint8", "int8", "int16", "uint16", "int32", "uint32", "int64", "float32", "float64"])
@@ -52,7 +52,7 @@ def test_large_file_comes_in_slabs_and_goes_back_whole(spark, tmp_path):
     (tmp_path / "in").mkdir()
     data = images.voxels((6, 5, 40))
     p = images.write(tmp_path / "in", "b_0_0_100.nii", data)
-    df = files.read_images(spark, str(tmp_path / "in"), maxBlockBytes=6 * 5 * 2 * 7)
+    df = files.read_images(spark, str(tmp_path / "in"), max_block_bytes=6 * 5 * 2 * 7)
     rows = sorted(df.collect(), key=lambda r: r.block)
     assert [r.shape[2] for r in rows] == [7, 7, 7, 7, 7, 5]
     assert [r.z0 for r in rows] == [100, 107, 114, 121, 128, 135]
@@ -64,33 +64,90 @@ def test_large_file_comes_in_slabs_and_goes_back_whole(spark, tmp_path):
 def test_one_file_over_several_tasks(spark, tmp_path):
     data = images.voxels((6, 5, 40))
     p = images.write(tmp_path, "b_0_0_0.nii", data)
-    options = dict(maxBlockBytes=600, maxPartitionBytes=500, splitFiles="true")
+    options = dict(max_block_bytes=600, max_partition_bytes=500, split_files=True)
     df = files.read_images(spark, str(p), **options)
-    assert df.rdd.getNumPartitions() == 6
+    assert len({r.part for r in df.select(F.spark_partition_id().alias("part")).collect()}) > 1
     rows = sorted(df.collect(), key=lambda r: r.block)
     assert np.array_equal(np.concatenate([r.voxels for r in rows]), data.ravel(order="F"))
     with pytest.raises(Exception, match="out of order|only .* blocks"):
-        files.write_images(df, str(tmp_path / "out"))
-    together = df.repartition(3, "path").sortWithinPartitions("path", "block")
-    files.write_images(together, str(tmp_path / "out"))
+        files.write_images(df, str(tmp_path / "out"), in_order=True)
+    assert not (tmp_path / "out" / "b_0_0_0.nii").exists()
+    files.write_images(df, str(tmp_path / "out"))
     assert (tmp_path / "out" / "b_0_0_0.nii").read_bytes() == p.read_bytes()
 
 
-def test_small_files_spread_over_tasks():
-    def tasks(n, **options):
-        reader = NiftiReader(chunk_schema(ELEMENT_OF_DTYPE["int16"]), {"path": "x", **options})
-        import voxtally.sources.nifti as nifti
+def test_small_files_spread_over_tasks(spark, tmp_path):
+    images.grid(tmp_path, parts=4)
+    df = files.read_images(spark, str(tmp_path), min_partitions=32)
+    per_task = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(per_task) == 32 and max(per_task) == 2
+
+
+def test_plain_paths_and_uris_mean_the_same(spark, tmp_path):
+    p = images.grid(tmp_path, parts=1)[0]
+    assert qualified(spark, str(tmp_path)) == f"file:{tmp_path}"
+    for spec in (str(p), f"file:{p}", f"file://{p}"):
+        assert filesystem(spec)[1] == str(p)
+        assert files.read_images(spark, spec).count() == 1
+    assert filesystem("dbfs:/a/b")[1] == "/dbfs/a/b"
 
-        keep, nifti.list_images = nifti.list_images, lambda spec: [(str(i), 100_000) for i in range(n)]
-        try:
-            parts = reader.partitions()
-        finally:
-            nifti.list_images = keep
-        assert sum(len(p.pieces) for p in parts) == n
-        return len(parts)
 
-    assert tasks(125) < 8  # packed by size and opening cost alone
-    assert tasks(125, minpartitions="64") >= 60
+def test_split_images_keep_all_cells(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    data = images.voxels((8, 8, 8))
+    images.write(tmp_path / "in", "b_16_0_8.nii", data)
+    parts = split_chunks(files.read_images(spark, str(tmp_path / "in")), (2, 2, 2))
+    saved = files.write_images(parts, str(tmp_path / "out")).collect()
+    assert len(saved) == 8
+    for x, y, z in np.ndindex(2, 2, 2):
+        part = images.load(tmp_path / "out" / f"b_{16 + 4 * x}_{4 * y}_{8 + 4 * z}.nii")
+        assert np.array_equal(part, data[4 * x : 4 * x + 4, 4 * y : 4 * y + 4, 4 * z : 4 * z + 4])
+    back = files.read_images(spark, str(tmp_path / "out"))
+    assert {(r.x0, r.y0, r.z0) for r in back.collect()} == {(16 + 4 * x, 4 * y, 8 + 4 * z) for x, y, z in np.ndindex(2, 2, 2)}
+    slabs = files.read_images(spark, str(tmp_path / "in"), max_block_bytes=128)
+    with pytest.raises(Exception, match="one block"):
+        split_chunks(slabs, (2, 2, 2)).collect()
+
+
+def test_padded_images_can_be_saved(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    data = images.voxels((3, 4, 5))
+    images.write(tmp_path / "in", "b_0_0_0.nii", data)
+    padded = pad_chunks(files.read_images(spark, str(tmp_path / "in")), (2, 2, 2))
+    files.write_images(padded, str(tmp_path / "out"))
+    assert np.array_equal(images.load(tmp_path / "out" / "b_0_0_0.nii"), np.pad(data, [(0, 1), (0, 0), (0, 1)]))
+
+
+def test_the_writer_refuses_broken_and_doubled_images(spark, tmp_path):
+    images.grid(tmp_path / "in", parts=1)
+    df = files.read_images(spark, str(tmp_path / "in"))
+    half = df.withColumn("voxels", F.slice("voxels", 1, 32))
+    with pytest.raises(Exception, match="32 voxels, and a header for 64"):
+        files.write_images(half, str(tmp_path / "a"))
+    with pytest.raises(Exception, match="two images are named"):
+        files.write_images(df.unionByName(df.withColumn("path", F.lit("x/dummy_0_0_0.nii"))), str(tmp_path / "b"))
+    with pytest.raises(Exception, match="two images are named"):
+        files.write_images(df.unionByName(df), str(tmp_path / "c"), in_order=True)
+    assert not [f for f in (tmp_path / "a").iterdir() if f.suffix == ".nii"]
+
+
+def test_user_steps_see_whole_images(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    data = images.voxels((4, 4, 10))
+    images.write(tmp_path / "in", "b_0_0_0.nii", data)
+    slabs = files.read_images(spark, str(tmp_path / "in"), max_block_bytes=64)
+    with pytest.raises(Exception, match="whole image"):
+        Steps().step(np.flip, axis=2).apply(slabs).collect()
+    whole = files.read_images(spark, str(tmp_path / "in"), max_block_bytes=None)
+    got = Steps().step(np.flip, axis=2).apply(whole).first().voxels
+    assert np.array_equal(np.reshape(got, data.shape, order="F"), data[:, :, ::-1])
+    with pytest.raises(Exception, match="do not fit"):
+        Steps().step(lambda b: b / 3).apply(whole).collect()
+    with pytest.raises(Exception, match="made 32 voxels"):
+        Steps().step(lambda b: b[:2]).apply(slabs.where("false").unionByName(files.read_images(spark, str(images.write(tmp_path, "c_0_0_0.nii", images.voxels()))))).collect()
+    thirds = Steps().pointwise(lambda b: b / 3).apply(slabs, element="double")
+    files.write_images(thirds, str(tmp_path / "out"))
+    assert np.array_equal(images.load(tmp_path / "out" / "b_0_0_0.nii"), data / 3)
 
 
 def test_big_endian_and_scaled_images(spark, tmp_path):
@@ -136,10 +193,8 @@ def test_bad_files_are_refused(spark, tmp_path):
 
 def test_decode_from_binary_scan_equals_data_source(spark, tmp_path):
     images.grid(tmp_path, parts=2)
-    scanned = files.scan_binary(spark, str(tmp_path), partitions=20)
-    assert scanned.rdd.getNumPartitions() == 20
-    enough = files.scan_binary(spark, str(tmp_path), partitions=1)
-    assert "Exchange" not in enough._jdf.queryExecution().executedPlan().toString()
+    scanned = files.scan_binary(spark, str(tmp_path))
+    assert "Exchange" not in scanned._jdf.queryExecution().executedPlan().toString()
     a = files.decode_images(scanned, "uint16").select(F.element_at(F.split("path", "/"), -1), "voxels", "shape", "header")
     b = files.read_images(spark, str(tmp_path)).select(F.element_at(F.split("path", "/"), -1), "voxels", "shape", "header")
     assert sorted(a.collect()) == sorted(b.collect())

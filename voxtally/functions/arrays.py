@@ -1,9 +1,9 @@
 """Voxel-array expressions.
 
-Voxels are a flat array column in file order (x fastest). Integers stay on the
-JVM. Float arrays that need many steps, and reshaping, go through Arrow UDFs:
-array lambdas are interpreted per element, while one Arrow batch is a single
-numpy operation and carries only the array columns to Python.
+Voxels are a flat array column in file order (x fastest). Steps and reshaping
+go through Arrow UDFs: array lambdas are interpreted per element, while one
+Arrow batch is a single numpy operation and carries only the array columns to
+Python.
 """
 
 from __future__ import annotations
@@ -27,7 +27,6 @@ ELEMENT_OF_DTYPE = {
     "float32": T.FloatType(),
     "float64": T.DoubleType(),
 }
-_INTEGER_NAMES = [d for d in ELEMENT_OF_DTYPE if "int" in d]
 _OWN_DTYPE = {"tinyint": "int8", "smallint": "int16", "int": "int32", "bigint": "int64"}
 
 
@@ -36,62 +35,60 @@ def list_values(column: pa.ListArray) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False)
 
 
-def like_lists(column: pa.ListArray, values: np.ndarray) -> pa.ListArray:
+def like_lists(column: pa.ListArray, values: np.ndarray | pa.Array) -> pa.ListArray:
     """Lists of ``values`` with the lengths and nulls of ``column``."""
     lengths = np.asarray(column.value_lengths().fill_null(0), dtype=np.int64)
     return to_lists(lengths, values, column.is_null() if column.null_count else None)
 
 
-def to_lists(lengths: np.ndarray, values: np.ndarray, mask: pa.Array | None = None) -> pa.ListArray:
+def to_lists(lengths: np.ndarray, values: np.ndarray | pa.Array, mask: pa.Array | None = None) -> pa.ListArray:
     offsets = np.zeros(len(lengths) + 1, dtype=np.int32)
     np.cumsum(lengths, out=offsets[1:])
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values), mask=mask)
 
 
-def _add_ones(element: str, steps: int) -> Callable[[Column], Column]:
-    @F.arrow_udf(f"array<{element}>")
-    def add(voxels: pa.Array) -> pa.Array:
-        values = list_values(voxels).copy()
-        one = values.dtype.type(1)
-        for _ in range(steps):
-            values += one
-        return like_lists(voxels, values)
+def add_steps(values: np.ndarray, dtype: str, steps: int, overflow: str = "raise") -> np.ndarray:
+    """``values`` plus one, ``steps`` times, within the range of ``dtype``.
 
-    return add
+    ``dtype`` is the voxel type; the array may be of a wider one. Integers
+    past their range raise, or start over at the low end.
+    """
+    if values.dtype.kind == "f":
+        out = values.copy()
+        one = out.dtype.type(1)
+        for _ in range(steps):
+            out += one
+        return out
+    own = np.iinfo(dtype)
+    if overflow == "wrap":
+        # adding n times 1 is adding n, and whole turns of the type change nothing
+        n = np.array(steps % (int(own.max) - int(own.min) + 1), dtype=np.uint64).astype(dtype)
+        return (values.astype(dtype) + n).astype(values.dtype)
+    if values.size and int(values.max()) > int(own.max) - steps:
+        raise OverflowError("voxel overflow")
+    if steps <= np.iinfo(values.dtype).max:
+        return values + values.dtype.type(steps)
+    return (values.astype(np.int64) + steps).astype(values.dtype)
 
 
-def _integer_increment(
-    voxels: Column, element: str, steps: int, dtype: Column | None, overflow: str
-) -> Column:
-    """Adding 1 n times to an integer is adding n, apart from the range."""
-    own = _OWN_DTYPE[element]
-    name = F.lit(own) if dtype is None else dtype
-
-    def by_dtype(value: Callable[[np.iinfo], int]) -> Column:
-        out = F.lit(value(np.iinfo(own)))
-        for d in _INTEGER_NAMES:
-            out = F.when(name == d, F.lit(value(np.iinfo(d)))).otherwise(out)
-        return out.cast("bigint")
-
-    low = by_dtype(lambda i: int(i.min))
-    high = by_dtype(lambda i: int(i.max))
-    if overflow == "wrap":
-        # a whole turn of the type changes nothing
-        n = by_dtype(lambda i: steps % (int(i.max) - int(i.min) + 1))
-    else:
-        n = F.lit(steps).cast("bigint")
-
-    def add(v: Column) -> Column:
-        room = high - n
-        v = v.cast("bigint")
-        if overflow == "wrap":
-            # back to the low end by as much as the sum is past the high end
-            past = low + (v - room - F.lit(1).cast("bigint"))
+def _add(element: str, steps: int, overflow: str) -> Callable[[Column, Column], Column]:
+    @F.arrow_udf(f"array<{element}>")
+    def add(voxels: pa.Array, dtype: pa.Array) -> pa.Array:
+        flat = voxels.flatten()
+        missing = flat.is_null().to_numpy(zero_copy_only=False) if flat.null_count else None
+        values = (flat.fill_null(0) if flat.null_count else flat).to_numpy(zero_copy_only=False)
+        names = dtype.to_pylist()
+        if len(set(names)) <= 1:
+            done = add_steps(values, names[0] if names else "int8", steps, overflow)
         else:
-            past = F.raise_error(F.lit("voxel overflow")).cast("bigint")
-        return F.when(v > room, past).otherwise(v + n).cast(element)
+            lengths = np.asarray(voxels.value_lengths().fill_null(0), dtype=np.int64)
+            ends = np.cumsum(lengths)
+            done = np.concatenate([
+                add_steps(values[e - n : e], name, steps, overflow) for n, e, name in zip(lengths, ends, names)
+            ])
+        return like_lists(voxels, done if missing is None else pa.array(done, mask=missing))
 
-    return F.transform(voxels, add)
+    return add
 
 
 def increment(
@@ -113,13 +110,13 @@ def increment(
         raise ValueError("at least one step is needed")
     if overflow not in ("raise", "wrap"):
         raise ValueError(f"unknown overflow rule {overflow!r}")
-    if element in _OWN_DTYPE:
-        return _integer_increment(voxels, element, steps, dtype, overflow)
-    if element not in ("float", "double"):
+    if element not in _OWN_DTYPE and element not in ("float", "double"):
         raise ValueError(f"cannot increment array<{element}>")
-    if steps == 1:
+    if steps == 1 and element in ("float", "double"):
         return F.transform(voxels, lambda v: v + F.lit(1).cast(element))
-    return _add_ones(element, steps)(voxels)
+    own = F.lit(_OWN_DTYPE.get(element, element))
+    name = own if dtype is None else F.coalesce(dtype, own)
+    return _add(element, steps, overflow)(voxels, name)
 
 
 def pad_to_multiple(voxels: Column, width: int, element: str) -> Column:
@@ -128,12 +125,6 @@ def pad_to_multiple(voxels: Column, width: int, element: str) -> Column:
     return F.concat(voxels, F.array_repeat(F.lit(0).cast(element), short))
 
 
-def padded_extent(size: Column | int, parts: int) -> Column:
-    """Smallest multiple of ``parts`` that is not below ``size``."""
-    size = size if isinstance(size, Column) else F.lit(size)
-    return (F.ceil(size / F.lit(parts)) * F.lit(parts)).cast("int")
-
-
 def pad_to_grid(voxels: Column, shape: Column, grid: tuple[int, ...], element: str) -> Column:
     """Zeros at the far end of each axis, so that the grid divides it."""
 

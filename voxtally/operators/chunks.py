@@ -8,9 +8,14 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from voxtally.functions.arrays import increment, to_lists
+from voxtally.functions.arrays import increment, pad_to_grid, to_lists
+from voxtally.sources.nifti import parse_header, resized
+
+_NUMPY_OF_ELEMENT = {
+    "tinyint": "int8", "smallint": "int16", "int": "int32", "bigint": "int64", "float": "float32", "double": "float64",
+}
 
 
 def element_of(chunks: DataFrame, voxels: str = "voxels") -> str:
@@ -41,43 +46,74 @@ def all_steps(rows: DataFrame, steps: int, value: str, element: str) -> DataFram
     )
 
 
+@F.arrow_udf(T.BinaryType())
+def _resized_header(header: pa.Array, shape: pa.Array, dtype: pa.Array) -> pa.Array:
+    """Headers with other dimensions (null: their own) and another voxel type (null: their own)."""
+    return pa.array([
+        None if h is None else resized(h, dims or parse_header(h).shape, name)
+        for h, dims, name in zip(header.to_pylist(), shape.to_pylist(), dtype.to_pylist())
+    ], pa.binary())
+
+
 @dataclass(frozen=True)
 class Steps:
     """User functions applied to each chunk, one after the other.
 
-    A function takes the chunk as an n-d array and its parameters by name,
-    and returns an array of the same size. All steps run in one Arrow UDF, so
-    a chunk goes to Python and back once, whatever their number.
+    A function takes the whole chunk as an n-d array and its parameters by
+    name, and returns an array of the same size. Only steps added by
+    ``pointwise``, which look at each voxel alone, may run on the slabs of an
+    image that is read in several blocks; any other refuses them. All steps
+    run in one Arrow UDF, so a chunk goes to Python and back once.
     """
 
     steps: tuple[tuple[Callable[..., np.ndarray], dict[str, Any]], ...] = field(default=())
+    whole: bool = False
 
     def step(self, fn: Callable[..., np.ndarray], **params: Any) -> Steps:
+        return replace(self, steps=(*self.steps, (fn, params)), whole=True)
+
+    def pointwise(self, fn: Callable[..., np.ndarray], **params: Any) -> Steps:
         return replace(self, steps=(*self.steps, (fn, params)))
 
-    def column(self, voxels: Column, shape: Column, element: str) -> Column:
-        steps = self.steps
+    def column(self, voxels: Column, shape: Column, element: str, n_blocks: Column | None = None) -> Column:
+        steps, whole = self.steps, self.whole
 
         @F.arrow_udf(f"array<{element}>")
-        def run(voxels: pa.Array, shape: pa.Array) -> pa.Array:
+        def run(voxels: pa.Array, shape: pa.Array, n_blocks: pa.Array) -> pa.Array:
             parts = []
-            for v, dims in zip(voxels, shape):
+            for v, dims, blocks in zip(voxels, shape, n_blocks.to_pylist()):
+                if whole and blocks != 1:
+                    raise ValueError(f"a step needs the whole image, and this one came in {blocks} blocks")
                 # a copy: Arrow buffers are read-only, user code may write
                 block = v.values.to_numpy(zero_copy_only=False).copy()
                 block = block.reshape(dims.as_py(), order="F")
-                kind = block.dtype
+                size = block.size
                 for fn, params in steps:
-                    block = fn(block, **params)
-                parts.append(np.asarray(block, kind).reshape(-1, order="F"))
-            flat = np.concatenate(parts) if parts else np.array([])
+                    block = np.asarray(fn(block, **params))
+                    if block.size != size:
+                        raise ValueError(f"a step made {block.size} voxels of {size}")
+                kept = block.astype(kind, copy=False)
+                if kept.dtype != block.dtype and not np.array_equal(kept, block, equal_nan=block.dtype.kind == "f"):
+                    raise ValueError(f"values of type {block.dtype} do not fit array<{element}>; name another type")
+                parts.append(kept.reshape(-1, order="F"))
+            flat = np.concatenate(parts) if parts else np.array([], kind)
             return to_lists(np.array([len(p) for p in parts], dtype=np.int64), flat)
 
-        return run(voxels, shape)
+        kind = np.dtype(_NUMPY_OF_ELEMENT[element])
+        return run(voxels, shape, F.lit(1) if n_blocks is None else n_blocks)
 
-    def apply(self, chunks: DataFrame, voxels: str = "voxels") -> DataFrame:
-        return chunks.withColumn(
-            voxels, self.column(F.col(voxels), F.col("shape"), element_of(chunks, voxels))
-        )
+    def apply(self, chunks: DataFrame, voxels: str = "voxels", element: str | None = None) -> DataFrame:
+        """``element`` names another type for the results (double, say); then
+        ``dtype`` and ``header``, where the chunks have them, follow it."""
+        target = element or element_of(chunks, voxels)
+        blocks = F.col("n_blocks") if "n_blocks" in chunks.columns else None
+        done = chunks.withColumn(voxels, self.column(F.col(voxels), F.col("shape"), target, blocks))
+        if element and "dtype" in chunks.columns:
+            done = done.withColumn("dtype", F.lit(_NUMPY_OF_ELEMENT[element]))
+            if "header" in chunks.columns:
+                # the header's dimensions are those of the image, not of one of its blocks
+                done = done.withColumn("header", _resized_header(F.col("header"), F.lit(None).cast("array<int>"), F.col("dtype")))
+        return done
 
 
 def map_chunks(
@@ -158,9 +194,17 @@ def split_chunks(chunks: DataFrame, grid: tuple[int, ...], voxels: str = "voxels
     """Each chunk array into a regular grid of smaller ones.
 
     Adds the grid position ``cell`` and replaces shape and voxels. The grid
-    has to divide the shape; pad first where it does not.
+    has to divide the shape; pad first where it does not. Of image chunks, each
+    part becomes an image of its own: offsets, name, header and block number
+    are those of the part, so that it can be saved. Images in several blocks
+    are refused.
     """
     element = element_of(chunks, voxels)
+    if "n_blocks" in chunks.columns:
+        whole = F.when(F.col("n_blocks") == 1, F.col(voxels))
+        chunks = chunks.withColumn(
+            voxels, whole.otherwise(F.raise_error(F.lit("only images in one block can be split")).cast(f"array<{element}>"))
+        )
 
     @F.arrow_udf(f"array<struct<cell:array<int>,shape:array<int>,voxels:array<{element}>>>")
     def cut(voxels: pa.Array, shape: pa.Array) -> pa.Array:
@@ -192,6 +236,35 @@ def split_chunks(chunks: DataFrame, grid: tuple[int, ...], voxels: str = "voxels
 
     rest = [c for c in chunks.columns if c not in (voxels, "shape")]
     parts = chunks.select(*rest, F.explode(cut(F.col(voxels), F.col("shape"))).alias("_part"))
-    return parts.select(
-        *rest, "_part.cell", "_part.shape", F.col("_part.voxels").alias(voxels)
-    )
+    parts = parts.select(*rest, "_part.cell", "_part.shape", F.col("_part.voxels").alias(voxels))
+    return _as_images(parts) if {"path", "image", "x0", "y0", "z0", "header", "block", "n_blocks"} <= set(rest) else parts
+
+
+def _as_images(parts: DataFrame) -> DataFrame:
+    """Parts of images under their own offsets and names."""
+    offsets = {
+        f"{a}0": (F.coalesce(f"{a}0", F.lit(0)) + F.coalesce(F.get("cell", i) * F.get("shape", i), F.lit(0))).cast("int")
+        for i, a in enumerate("xyz")
+    }
+    named = parts.withColumns(offsets)
+    name = F.concat_ws("_", "image", *[F.col(a).cast("string") for a in offsets])
+    return named.withColumns({
+        "path": F.concat(name, F.lit(".nii")),
+        "header": _resized_header(F.col("header"), F.col("shape"), F.lit(None).cast("string")),
+        "block": F.lit(0),
+        "n_blocks": F.lit(1),
+    })
+
+
+def pad_chunks(chunks: DataFrame, grid: tuple[int, ...], voxels: str = "voxels") -> DataFrame:
+    """Zeros at the far end of each axis, so that the grid divides it; shape and header follow."""
+    if "n_blocks" in chunks.columns:
+        shape = F.when(F.col("n_blocks") == 1, F.col("shape"))
+        refused = F.raise_error(F.lit("only images in one block can be padded")).cast("array<int>")
+        chunks = chunks.withColumn("shape", shape.otherwise(refused))
+    padded = pad_to_grid(F.col(voxels), F.col("shape"), grid, element_of(chunks, voxels))
+    sides = [(F.ceil(F.get("shape", i) / g) * g).cast("int") for i, g in enumerate(grid)]
+    done = chunks.withColumns({voxels: padded, "shape": F.array(*sides)})
+    if "header" in chunks.columns:
+        done = done.withColumn("header", _resized_header(F.col("header"), F.col("shape"), F.lit(None).cast("string")))
+    return done

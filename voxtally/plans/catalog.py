@@ -60,6 +60,31 @@ def chk_iterate_n(spark: SparkSession, sf: str) -> DataFrame:
     return voxel_table(done, "vec_id")
 
 
+def _quantity_chunks(spark: SparkSession, sf: str, dtype: Column) -> DataFrame:
+    """Line-item quantities of each order as integer voxels, by line number."""
+    rows = tables.read(spark, sf, "lineitem")
+    voxel = F.struct("l_linenumber", F.col("l_quantity").cast("int").alias("q"), "l_partkey")
+    # an order has a handful of lines
+    lines = rows.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(voxel)).alias("v"))
+    return lines.select("l_orderkey", dtype.alias("dtype"), F.col("v.q").alias("voxels"))
+
+
+@query
+def chk_increment_int(spark: SparkSession, sf: str) -> DataFrame:
+    """Ten increments of integer voxels of two types."""
+    dtype = F.when(F.pmod("l_orderkey", F.lit(2)) == 0, "uint16").otherwise("int32")
+    done = chunks.increment_chunks(_quantity_chunks(spark, sf, dtype), ITERATIONS)
+    return voxel_table(done, "l_orderkey", "dtype")
+
+
+@query
+def chk_increment_wrap(spark: SparkSession, sf: str) -> DataFrame:
+    """Increments past the range of bytes, which start over at its low end."""
+    dtype = F.when(F.pmod("l_orderkey", F.lit(2)) == 0, "uint8").otherwise("int8")
+    done = chunks.increment_chunks(_quantity_chunks(spark, sf, dtype), 220, overflow="wrap")
+    return voxel_table(done, "l_orderkey", "dtype")
+
+
 @query
 def chk_iterate_all_steps(spark: SparkSession, sf: str) -> DataFrame:
     """How often each value occurs in each slab after each step."""
@@ -186,15 +211,45 @@ def snk_result_manifest(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def snk_image_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     """Embeddings saved as image files, read back, incremented ten times."""
+    back = files.read_images(spark, _saved_images(spark, sf), dtype="float32")
+    done = chunks.increment_chunks(back, ITERATIONS)
+    return voxel_table(done, "image", "x0", "y0", "z0", "dtype")
+
+
+def _saved_images(spark: SparkSession, sf: str, spacing: int = 1) -> str:
+    """Embeddings as image files in a new folder, along x by id times spacing."""
     folder = f"{scratch_dir(spark)}/images-{uuid.uuid4().hex}"
     header = F.lit(build_header(tables.SHAPE, "float32"))
+    at = (F.col("vec_id") * spacing).cast("string")
+    path = F.concat(F.lit("img"), F.col("label").cast("string"), F.lit("_"), at, F.lit("_0_0.nii"))
     c = tables.embedding_chunks(spark, sf).select(
-        "path", header.alias("header"), F.lit(0).alias("block"), F.lit(1).alias("n_blocks"), "voxels"
+        path.alias("path"), header.alias("header"), F.lit(0).alias("block"), F.lit(1).alias("n_blocks"), "voxels"
     )
     files.write_images(c, folder)
+    return folder
+
+
+@query
+def chk_split_saved(spark: SparkSession, sf: str) -> DataFrame:
+    """Images split into eight parts each, the parts saved as images, and all of them read back."""
+    parts = chunks.split_chunks(files.read_images(spark, _saved_images(spark, sf, 4), dtype="float32"), (2, 2, 2))
+    folder = f"{scratch_dir(spark)}/parts-{uuid.uuid4().hex}"
+    files.write_images(parts, folder)
     back = files.read_images(spark, folder, dtype="float32")
-    done = chunks.increment_chunks(back, ITERATIONS)
-    return voxel_table(done, "image", "x0", "y0", "z0", "dtype")
+    return voxel_table(back, "image", "x0", "y0", "z0")
+
+
+@query
+def chk_user_steps_slabs(spark: SparkSession, sf: str) -> DataFrame:
+    """User steps on images that are read in blocks of one layer: the pointwise
+    step runs on the blocks, the other on the whole images that are saved from them."""
+    layers = files.read_images(spark, _saved_images(spark, sf), dtype="float32", max_block_bytes=4 * 4 * 4)
+    scaled = chunks.Steps().pointwise(lambda block: block * np.float32(2)).apply(layers)
+    folder = f"{scratch_dir(spark)}/scaled-{uuid.uuid4().hex}"
+    files.write_images(scaled, folder)
+    whole = files.read_images(spark, folder, dtype="float32", max_block_bytes=None)
+    done = chunks.Steps().step(np.flip, axis=2).apply(whole)
+    return voxel_table(done.withColumn("vec_id", F.col("x0").cast("bigint")), "vec_id")
 
 
 @query

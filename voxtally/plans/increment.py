@@ -12,20 +12,23 @@ import socket
 import threading
 import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from voxtally.functions import fixed
-from voxtally.functions.naming import basename, final_name, intermediate_name, join_path
+from voxtally.functions.arrays import add_steps
+from voxtally.functions.naming import basename, final_name, intermediate_name
 from voxtally.operators.chunks import Steps, increment_chunks
 from voxtally.operators.events import merge, render
-from voxtally.session import materialize as write_once
-from voxtally.sources.files import copy_files, list_files, read_images, write_images
-from voxtally.sources.nifti import ImageAssembler, filesystem, read_blocks
+from voxtally.session import materialize as write_once, qualified
+from voxtally.sources.files import copy_files, image_files, read_files, saved_names, write_images
+from voxtally.sources.nifti import MIB, ImageAssembler, filesystem, read_blocks
+
+#: Images above this size are read and processed by several tasks.
+LARGE_FILE = 128 * MIB
 
 
 @dataclass(frozen=True)
@@ -36,30 +39,39 @@ class Outcome:
     events: DataFrame | None = None
 
 
-def _inputs(spark: SparkSession, spec: str) -> DataFrame:
-    return list_files(spark, [p.strip().removesuffix("/*") for p in spec.split(",")]).select("path")
-
-
-def _save(chunks: DataFrame, name: Column, folder: str) -> None:
+def _save(chunks: DataFrame, name: Column, folder: str, in_order: bool) -> DataFrame:
     columns = ("header", "block", "n_blocks", "voxels")
-    write_images(chunks.select(name.alias("path"), *columns), folder)
+    return write_images(chunks.select(name.alias("path"), *columns), folder, in_order=in_order)
 
 
-def _manifest(spark: SparkSession, inputs: DataFrame, output: str, iterations: int) -> DataFrame:
-    """The expected results that are there, by listing the output."""
-    wanted = inputs.select(final_name(F.col("path"), iterations).alias("_name"))
-    there = list_files(spark, output).withColumn("_name", basename(F.col("path")))
-    found = there.join(wanted, "_name", "left_semi")
-    out = join_path(F.lit(output.rstrip("/")), F.col("_name"))
-    return found.select(out.alias("out_path"), F.lit("SUCCESS").alias("status"))
+def _checked(manifest: DataFrame, inputs: DataFrame) -> DataFrame:
+    """The manifest of this run, which has to have one result for each input."""
+    there, wanted = manifest.count(), inputs.count()
+    if there != wanted:
+        raise RuntimeError(f"{there} images were saved for {wanted} inputs")
+    return manifest
 
 
-def plus_one(voxels: np.ndarray, overflow: str = "raise") -> np.ndarray:
-    """One step on the voxels of a file, in the file's own type."""
-    if overflow == "raise" and voxels.dtype.kind in "iu" and voxels.size:
-        if voxels.max() == np.iinfo(voxels.dtype).max:
-            raise OverflowError("voxel overflow")
-    return voxels + voxels.dtype.type(1)
+def _process(
+    files: DataFrame, step: Callable[[DataFrame], DataFrame], name: Column, folder: str
+) -> DataFrame:
+    """Read, process and save; a file larger than a task's input is shared by several tasks.
+
+    Files of ordinary size never leave their task. The slabs of larger ones
+    are brought together by name, in order, when they are saved.
+    """
+    dtype = None
+    saved = None
+    large = F.col("length") > LARGE_FILE
+    for part, split in ((files.where(~large), False), (files.where(large), True)):
+        if part.isEmpty():
+            continue
+        chunks = read_files(part, dtype, split_files=split, max_partition_bytes=LARGE_FILE)
+        done = _save(step(chunks), name, folder, in_order=not split)
+        saved = done if saved is None else saved.unionByName(done)
+    if saved is None:
+        raise FileNotFoundError("there is no image to read")
+    return _checked(saved, files)
 
 
 def _timed_job(
@@ -76,10 +88,11 @@ def _timed_job(
     are the event names of reading, one step, and saving.
     """
     reading, stepping, saving = phases
+    target = qualified(files.sparkSession, folder)
 
     def job(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         node, executor = socket.gethostname(), threading.get_ident()
-        out = ImageAssembler(folder)
+        out = ImageAssembler(target)
         rows: list[tuple] = []
 
         def stamp(phase: str, began: float, file: str) -> float:
@@ -98,7 +111,7 @@ def _timed_job(
                             now = stamp(reading, now, base)
                             voxels = block["voxels"]
                             for _ in range(steps):
-                                voxels = plus_one(voxels, overflow)
+                                voxels = add_steps(voxels, block["dtype"], 1, overflow)
                                 now = stamp(stepping, now, base)
                             out.add(name, block["header"], block["block"], block["n_blocks"], voxels)
                             now = stamp(saving, now, posixpath.basename(name))
@@ -114,8 +127,9 @@ def _timed_job(
 
 
 def _spread(files: DataFrame) -> DataFrame:
-    """Only names move: so many tasks that a few files each keep all busy."""
-    return files.repartition(files.sparkSession.sparkContext.defaultParallelism * 3, "path")
+    """Only names move, in order, the same number to each of the tasks."""
+    tasks = min(files.count(), files.sparkSession.sparkContext.defaultParallelism * 3)
+    return files.repartitionByRange(max(1, tasks), "path")
 
 
 def increment_pipeline(
@@ -141,35 +155,39 @@ def increment_pipeline(
         raise ValueError("at least one iteration is needed")
     started = time.time()
     run = run or uuid.uuid4().hex
-    inputs = _inputs(spark, input)
+    inputs = image_files(spark, input)
     final = final_name(F.col("path"), iterations)
     tasks: list[DataFrame] = []
 
     if not materialize and not events:
-        done = increment_chunks(read_images(spark, input), iterations, overflow=overflow)
-        _save(done, final, output)
+        manifest = _process(
+            inputs, lambda c: increment_chunks(c, iterations, overflow=overflow), final, output
+        )
     elif not materialize:
         phases = (fixed.READ_IMG, fixed.INCREMENT, fixed.SAVE)
         named = _spread(inputs).select("path", final.alias("name"))
         job = _timed_job(named, output, iterations, phases, started, overflow)
         tasks.append(write_once(job, "events"))
+        saved = tasks[0].where(F.col("name") == fixed.SAVE).select(F.col("filename").alias("name"))
+        manifest = _checked(saved_names(saved.distinct(), output), inputs)
     else:
         work = f"{(work_dir or output).rstrip('/')}/app-{run}"
-        source = input
+        source = inputs
         for i in range(iterations):
             folder = f"{work}/iteration-{i}"
             name = intermediate_name(F.col("path"))
             if events:
                 phases = (fixed.READ_FILE, fixed.INCREMENT, fixed.WRITE_FILE)
-                named = _spread(_inputs(spark, source)).select("path", name.alias("name"))
+                named = _spread(source).select("path", name.alias("name"))
                 job = _timed_job(named, folder, 1, phases, started, overflow)
                 tasks.append(write_once(job, "events"))
             else:
-                step = increment_chunks(read_images(spark, source), 1, overflow=overflow)
-                _save(step, name, folder)
-            source = folder
-        last = _spread(_inputs(spark, source)).select("path", final.alias("name"))
+                _process(source, lambda c: increment_chunks(c, 1, overflow=overflow), name, folder)
+            source = image_files(spark, folder)
+        last = _spread(source).select("path", final.alias("name"))
         copied = write_once(copy_files(last, output), "copied")
+        names = copied.select(basename(F.col("out_path")).alias("name"))
+        manifest = _checked(saved_names(names, output), inputs)
         tasks.append(
             copied.select(
                 F.lit(fixed.SAVE).alias("name"),
@@ -183,7 +201,6 @@ def increment_pipeline(
             )
         )
 
-    manifest = _manifest(spark, inputs, output, iterations)
     if not events:
         return Outcome(manifest)
     driver = spark.createDataFrame(
@@ -207,9 +224,18 @@ def increment_pipeline(
     return Outcome(manifest, log)
 
 
-def steps_pipeline(spark: SparkSession, input: str, output: str, steps: Steps) -> Outcome:
-    """User functions on each chunk of each image; results keep their names."""
-    done = steps.apply(read_images(spark, input))
-    _save(done, basename(F.col("path")), output)
-    found = list_files(spark, output)
-    return Outcome(found.select(F.col("path").alias("out_path"), F.lit("SUCCESS").alias("status")))
+def steps_pipeline(
+    spark: SparkSession, input: str, output: str, steps: Steps, element: str | None = None
+) -> Outcome:
+    """User functions on each whole image; results keep their names.
+
+    Each image is one row, whatever its size up to that of a cell; only if all
+    steps are pointwise are large images read and processed in slabs.
+    ``element`` names the type of the results, by default that of the images.
+    """
+    files = image_files(spark, input)
+    name = basename(F.col("path"))
+    if not steps.whole:
+        return Outcome(_process(files, lambda c: steps.apply(c, element=element), name, output))
+    done = steps.apply(read_files(files, max_block_bytes=None), element=element)
+    return Outcome(_checked(_save(done, name, output, in_order=True), files))

@@ -148,6 +148,9 @@ def _voxels(keys: str, expression: str, source: str = "embeddings") -> str:
       FROM (SELECT *, {expression} AS v FROM {source})"""
 
 
+_QUANTITIES = """(
+    SELECT l_orderkey, list(l_quantity::INT ORDER BY l_linenumber, l_quantity::INT, l_partkey) AS q
+    FROM lineitem GROUP BY l_orderkey)"""
 _GRID = "(l_partkey // 500)::INT AS cx, (l_suppkey // 20)::INT AS cy, ((l_linenumber - 1) // 2)::INT AS cz"
 _IMAGE_NAMES = """
 im AS (
@@ -213,6 +216,26 @@ def oracle_sql() -> dict[str, str]:
     sql = {
         "chk_increment": _voxels("vec_id", "list_transform(embedding, lambda x: x + 1::FLOAT)"),
         "chk_iterate_n": _voxels("vec_id", f"list_transform(embedding, lambda x: {_TEN})"),
+        "chk_increment_int": _voxels(
+            "l_orderkey, CASE WHEN l_orderkey % 2 = 0 THEN 'uint16' ELSE 'int32' END AS dtype",
+            "list_transform(q, lambda x: x + 10)", _QUANTITIES),
+        "chk_increment_wrap": _voxels(
+            "l_orderkey, CASE WHEN l_orderkey % 2 = 0 THEN 'uint8' ELSE 'int8' END AS dtype",
+            "list_transform(q, lambda x: CASE WHEN l_orderkey % 2 = 0 THEN (x + 220) % 256"
+            " ELSE (x + 220 + 128) % 256 - 128 END)", _QUANTITIES),
+        "chk_split_saved": """
+          WITH v AS (
+            SELECT 'img' || label AS image, vec_id, unnest(range(len(embedding)))::INT AS p, unnest(embedding)::DOUBLE AS voxel
+            FROM embeddings
+          ), c AS (
+            SELECT *, p % 4 AS x, (p // 4) % 4 AS y, p // 16 AS z FROM v
+          )
+          SELECT image, (vec_id * 4 + x // 2 * 2)::INT AS x0, (y // 2 * 2)::INT AS y0, (z // 2 * 2)::INT AS z0,
+            (x % 2 + 2 * (y % 2) + 4 * (z % 2))::INT AS pos, voxel FROM c""",
+        "chk_user_steps_slabs": _voxels(
+            "vec_id",
+            "list_transform(range(64), lambda p: embedding[p % 16 + 16 * (3 - p // 16) + 1] * 2::FLOAT)",
+        ),
         "chk_iterate_all_steps": """
           SELECT l_linenumber - 1 AS z, iteration::INT AS iteration, (l_quantity::INT + iteration)::INT AS v,
             count(*) AS n_voxels

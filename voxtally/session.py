@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import posixpath
+import re
 import tempfile
 import uuid
 
@@ -45,6 +47,18 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{named.rstrip('/')}/voxtally/{context.applicationId}"
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with its scheme, as Spark's readers resolve it.
+
+    A plain path belongs to the session's default file system, so listing,
+    reading and writing mean the same file on every machine.
+    """
+    if re.match(r"[A-Za-z][A-Za-z0-9+.-]*:/", path):
+        return path
+    default = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS")
+    return default.rstrip("/") + posixpath.abspath(path)
+
+
 def literal_table(spark: SparkSession, rows: list[tuple], columns: list[str]) -> DataFrame:
     """A small fixed table, as a local relation inside the plan."""
 

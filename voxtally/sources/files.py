@@ -16,22 +16,23 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from voxtally.functions import fixed
 from voxtally.functions.arrays import ELEMENT_OF_DTYPE
+from voxtally.functions.naming import basename, join_path
 from voxtally.operators.ordering import with_dense_index
 from voxtally.schemas import COPIED, chunk_schema
-from voxtally.sources.nifti import NiftiDataSource, filesystem, read_blocks, to_batch
+from voxtally.session import materialize, qualified
+from voxtally.sources.nifti import (
+    HEADER_BYTES, MIB, OPEN_COST, ImageAssembler, filesystem, in_batches, parse_header, read_blocks,
+)
 
 
-def scan_binary(spark: SparkSession, path: str | list[str], partitions: int | None = None) -> DataFrame:
+def scan_binary(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Every file under ``path`` as ``(path, modificationTime, length, content)``.
 
-    Spark packs small files into few tasks, which leaves a CPU-heavy step on
-    them nearly serial. So a scan of fewer tasks than there are cores (or
-    than ``partitions``) is spread out. Larger input, whose tasks are many
-    anyway, is never shuffled.
+    Spark's own splits decide how many tasks read, by size and opening cost
+    (``spark.sql.files.maxPartitionBytes`` and ``openCostInBytes``, and at
+    least as many as there are cores). Contents are never shuffled.
     """
-    files = spark.read.format("binaryFile").load(path)
-    wanted = partitions or spark.sparkContext.defaultParallelism
-    return files.repartition(wanted) if files.rdd.getNumPartitions() < wanted else files
+    return spark.read.format("binaryFile").load(path)
 
 
 def list_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -57,28 +58,129 @@ def legend_tokens(text: Column) -> Column:
 
 
 def read_legend(spark: SparkSession, path: str) -> DataFrame:
-    """Chunk names of a legend file, in the file's order when it is one line."""
-    return (
-        spark.read.text(path)
-        .select(legend_tokens(F.col("value")))
-        .select(F.col("pos"), F.col("col").alias("chunk"))
-    )
+    """Chunk names of a legend file as ``(pos, chunk)``, numbered over all lines.
 
+    Lines stand in the order of the file's blocks and of the rows in each.
+    """
+    at = F.col("_metadata.file_block_start").alias("_block")
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), at)
+    lines = lines.withColumn("_row", F.monotonically_increasing_id())
+    names = lines.select("_file", "_block", "_row", legend_tokens(F.col("value")).alias("_at", "chunk"))
+    return with_dense_index(names, ["_file", "_block", "_row", "_at"], "pos").select("pos", "chunk")
+
+
+def image_files(spark: SparkSession, spec: str) -> DataFrame:
+    """``(path, length)`` of a folder, one file, or a comma-separated list, by Spark's own listing."""
+    parts = [qualified(spark, p.strip().removesuffix("/*")) for p in spec.split(",")]
+    return list_files(spark, parts)
 
-def read_images(spark: SparkSession, path: str, **options: object) -> DataFrame:
-    """Images of a folder, one file, or a comma-separated list, as chunk rows."""
-    spark.dataSource.register(NiftiDataSource)
-    options.setdefault("minPartitions", spark.sparkContext.defaultParallelism)
-    return spark.read.format("nifti").options(**options).load(path)
 
+def _dtype_of(files: DataFrame) -> str:
+    """Voxel type of the first file by name."""
+
+    def head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for path in batch.column("path").to_pylist():
+                fs, inner = filesystem(path)
+                with fs.open_input_file(inner) as file:
+                    h = parse_header(file.read_at(HEADER_BYTES, 0))
+                found.append("float64" if h.scaled else h.dtype)
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], names=["dtype"])
+
+    first = files.select("path").orderBy("path").limit(1).mapInArrow(head, "dtype string").first()
+    if first is None:
+        raise FileNotFoundError("there is no image to read")
+    return first["dtype"]
+
+
+def read_files(
+    files: DataFrame, dtype: str | None = None, *, max_block_bytes: int | None = 64 * MIB,
+    max_partition_bytes: int = 128 * MIB, min_partitions: int | None = None, split_files: bool = False,
+) -> DataFrame:
+    """Chunk rows of listed images ``(path, length)``.
+
+    Only names are dealt out, in order of their paths, to as many tasks as the
+    bytes need and at least ``min_partitions`` (by default, the number of
+    cores). A file's blocks stay in one task, in order, unless ``split_files``
+    lets several tasks share a file larger than ``max_partition_bytes``.
+    ``max_block_bytes=None`` makes each image one row, whatever its size.
+    """
+    spark = files.sparkSession
+    schema = chunk_schema(ELEMENT_OF_DTYPE[dtype or _dtype_of(files)])
+    arrow_schema = to_arrow_schema(schema)
+    sums = files.agg(F.sum(F.col("length") + OPEN_COST).alias("bytes"), F.count(F.lit(1)).alias("n")).first()
+    least = min(min_partitions or spark.sparkContext.defaultParallelism, sums["n"])
+    tasks = max(1, least, -(-(sums["bytes"] or 0) // max_partition_bytes))
+    cut = F.sequence(F.lit(0).cast("bigint"), F.greatest(F.lit(0), F.col("length") - 1), F.lit(max_partition_bytes).cast("bigint"))
+    starts = cut if split_files else F.array(F.lit(0).cast("bigint"))
+    pieces = files.select("path", "length", F.explode(starts).alias("first"))
+    dealt = pieces.repartitionByRange(tasks, "path", "first").sortWithinPartitions("path", "first")
 
-def write_images(chunks: DataFrame, path: str) -> None:
-    """One image file per chunk row, under its base name."""
-    chunks.sparkSession.dataSource.register(NiftiDataSource)
-    chunks.write.format("nifti").mode("append").save(path)
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[dict]:
+            for batch in batches:
+                for path, length, first in zip(*(c.to_pylist() for c in batch.columns)):
+                    fs, inner = filesystem(path)
+                    last = first + max_partition_bytes if split_files else None
+                    with fs.open_input_file(inner) as file:
+                        yield from read_blocks(file, path, length, max_block_bytes, first, last)
 
+        yield from in_batches(rows(), arrow_schema)
 
-def decode_images(files: DataFrame, dtype: str, max_block_bytes: int = 64 * 1024 * 1024) -> DataFrame:
+    return dealt.mapInArrow(read, schema)
+
+
+def read_images(spark: SparkSession, path: str, **options: object) -> DataFrame:
+    """Images of a folder, one file, or a comma-separated list, as chunk rows; options as ``read_files``."""
+    return read_files(image_files(spark, path), **options)
+
+
+def write_images(chunks: DataFrame, folder: str, *, in_order: bool = False) -> DataFrame:
+    """Save each image under its base name; returns ``(out_path, status)`` of what was saved.
+
+    The blocks of an image are brought together by name, in order, which
+    shuffles the voxels; ``in_order`` says that they already are together, as
+    reading without ``split_files`` gives them. A second image of the same
+    name, missing blocks, and voxels that the header does not promise fail the
+    job. Nothing is listed: the rows are what this job's tasks report.
+    """
+    spark = chunks.sparkSession
+    target = qualified(spark, folder)
+    rows = chunks.select("path", "header", "block", "n_blocks", "voxels")
+    if not in_order:
+        name = basename(F.col("path"))
+        rows = rows.withColumn("_name", name).repartition("_name").sortWithinPartitions("_name", "path", "block").drop("_name")
+
+    def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = ImageAssembler(target)
+        try:
+            for batch in batches:
+                cells = [batch.column(c).to_pylist() for c in ("path", "header", "block", "n_blocks")]
+                done = []
+                for path, header, block, n_blocks, voxels in zip(*cells, batch.column("voxels")):
+                    values = voxels.values.to_numpy(zero_copy_only=False)
+                    done.append(out.add(path, header, block, n_blocks, values))
+                names = pa.array([d for d in done if d is not None], pa.string())
+                yield pa.RecordBatch.from_arrays([names], names=["name"])
+            out.finish()
+        finally:
+            out.discard()
+
+    return saved_names(rows.mapInArrow(save, "name string"), folder)
+
+
+def saved_names(names: DataFrame, folder: str) -> DataFrame:
+    """Run a job that reports the names it saved, and give its manifest."""
+    saved = materialize(names, "saved")
+    twice = saved.groupBy("name").count().where("count > 1").first()
+    if twice:
+        raise ValueError(f"two images are named {twice['name']}")
+    out = join_path(F.lit(folder.rstrip("/")), F.col("name"))
+    return saved.select(out.alias("out_path"), F.lit("SUCCESS").alias("status"))
+
+
+def decode_images(files: DataFrame, dtype: str, max_block_bytes: int | None = 64 * MIB) -> DataFrame:
     """Chunk rows from a binary scan: content and header from one buffer."""
     schema = chunk_schema(ELEMENT_OF_DTYPE[dtype])
     arrow_schema = to_arrow_schema(schema)
@@ -87,8 +189,8 @@ def decode_images(files: DataFrame, dtype: str, max_block_bytes: int = 64 * 1024
         for batch in batches:
             for path, content in zip(batch.column(0), batch.column(1)):
                 buffer = content.as_buffer()
-                for row in read_blocks(pa.BufferReader(buffer), path.as_py(), buffer.size, max_block_bytes):
-                    yield to_batch(row, arrow_schema)
+                found = read_blocks(pa.BufferReader(buffer), path.as_py(), buffer.size, max_block_bytes)
+                yield from in_batches(found, arrow_schema)
 
     return files.select("path", "content").mapInArrow(decode, schema)
 
@@ -98,15 +200,16 @@ def copy_files(paths: DataFrame, target: str) -> DataFrame:
     which thread.
 
     ``paths`` has ``path`` and ``name``, the name under ``target``. A missing
-    file fails its task, with names from its folder in the message.
+    file fails its task, with what its folder holds in the message.
     """
+    goal = qualified(paths.sparkSession, target)
 
     def copy_one(path: str, folder: str, name: str, out_fs: pafs.FileSystem) -> str:
         fs, inner = filesystem(path)
         if not fs.get_file_info(inner).is_file:
             parent = pafs.FileSelector(inner.rsplit("/", 1)[0], allow_not_found=True)
             near = sorted(i.base_name for i in fs.get_file_info(parent))
-            raise FileNotFoundError(f"{path}; its folder has {near[:20]}")
+            raise FileNotFoundError(f"{path}; its folder has {near}")
         temp = f"{folder}/._{name}-{uuid.uuid4().hex}"
         with fs.open_input_stream(inner) as source, out_fs.open_output_stream(temp) as sink:
             while piece := source.read(8 * 1024 * 1024):
@@ -115,7 +218,7 @@ def copy_files(paths: DataFrame, target: str) -> DataFrame:
         return f"{folder}/{name}"
 
     def copy(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out_fs, folder = filesystem(target)
+        out_fs, folder = filesystem(goal)
         out_fs.create_dir(folder, recursive=True)
         node, executor = socket.gethostname(), threading.get_ident()
         for pdf in batches:

@@ -1,24 +1,11 @@
-"""NIfTI-1 images as a Spark data source: ``spark.read.format("nifti")``.
+"""NIfTI-1 image files: headers, blocks of voxels, and putting blocks together.
 
 One row is one block of voxels (``schemas.chunk_schema``). A file is read in
-z-slabs of bounded size, so a row never comes near the 2 GB cell limit; a file
-of ordinary chunk size is one row. Voxels lie column-major in the file, so a
-z-slab is one contiguous byte range.
-
-Reading options
-    dtype                voxel type that decides the array's element type;
-                         taken from the first file when absent
-    maxBlockBytes        size of one row's voxels (default 64 MiB)
-    maxPartitionBytes    size of one task's input (default 128 MiB)
-    minPartitions        spread small files over at least so many tasks
-    splitFiles           let several tasks share one file (default false, so
-                         that the blocks of a file stay together, in order)
-
-Writing puts one file per image under the given folder, named by the base
-name of ``path``. The blocks of one image must come to one task in order, as
-reading gives them; otherwise the task fails rather than leave half a file.
-Files appear under their final name in one move, so a task that runs twice
-does no harm.
+z-slabs of bounded size, or whole, as one row, for user functions. Voxels lie
+column-major in the file, so a z-slab is one contiguous byte range.
+
+``sources/files.py`` lists, reads and saves images with Spark; here is what
+its tasks do with one file.
 """
 
 from __future__ import annotations
@@ -26,30 +13,22 @@ from __future__ import annotations
 import posixpath
 import struct
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql.datasource import (
-    DataSource,
-    DataSourceArrowWriter,
-    DataSourceReader,
-    InputPartition,
-    WriterCommitMessage,
-)
-from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
-
-from voxtally.functions.arrays import ELEMENT_OF_DTYPE
-from voxtally.schemas import chunk_schema
+
+from voxtally.functions.arrays import to_lists
 
 HEADER_BYTES = 348
 DATA_OFFSET = 352
 MIB = 1024 * 1024
 #: What opening one more file is taken to cost, in bytes.
 OPEN_COST = 4 * MIB
+#: A row's voxels have to stay below the size of a cell.
+CELL_BYTES = (1 << 31) - 64 * MIB
 
 # Fixed values of the format: datatype code -> voxel type.
 DATATYPES = {
@@ -146,31 +125,29 @@ def _unscaled(raw: bytes, order: str) -> bytes:
     return bytes(out)
 
 
+#: Names that Hadoop has for file systems, and Arrow's.
+_SCHEMES = {"s3a": "s3", "s3n": "s3", "wasbs": "abfss"}
+
+
 def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
-    """File system and path in it, for a plain path or a URI."""
-    if "://" in path or path.startswith("file:"):
-        if path.startswith("file:") and not path.startswith("file://"):
-            path = "file://" + path[len("file:") :]
-        return pafs.FileSystem.from_uri(path)
-    return pafs.LocalFileSystem(), posixpath.abspath(path)
-
-
-def list_images(spec: str) -> list[tuple[str, int]]:
-    """``(path, bytes)`` of a folder, one file, or a comma-separated list."""
-    found = []
-    for part in spec.split(","):
-        fs, path = filesystem(part.strip().removesuffix("/*"))
-        info = fs.get_file_info(path)
-        if info.type == pafs.FileType.Directory:
-            inside = fs.get_file_info(pafs.FileSelector(path))
-            files = [i for i in inside if i.is_file and i.base_name[0] not in "._"]
-        elif info.is_file:
-            files = [info]
-        else:
-            raise FileNotFoundError(part)
-        scheme = part.split("://")[0] + "://" if "://" in part else ""
-        found += [(f.path if not scheme or scheme == "file://" else scheme + f.path, f.size) for f in files]
-    return sorted(found)
+    """Arrow's file system and path for a path as Spark names it."""
+    scheme, colon, rest = path.partition(":")
+    if not colon or not rest.startswith("/"):
+        return pafs.LocalFileSystem(), posixpath.abspath(path)
+    if scheme in ("file", "dbfs"):
+        local = "/" + rest.lstrip("/")
+        return pafs.LocalFileSystem(), f"/dbfs{local}" if scheme == "dbfs" else local
+    return pafs.FileSystem.from_uri(f"{_SCHEMES.get(scheme, scheme)}:{rest}")
+
+
+def resized(header: bytes, shape: Sequence[int], dtype: str | None = None) -> bytes:
+    """The header with other dimensions and, if given, another voxel type."""
+    order = parse_header(header).order
+    out = bytearray(header)
+    struct.pack_into(order + "8h", out, 40, len(shape), *shape, *[1] * (7 - len(shape)))
+    if dtype:
+        struct.pack_into(order + "2h", out, 70, _CODES[dtype], np.dtype(dtype).itemsize * 8)
+    return bytes(out)
 
 
 def _name_parts(path: str) -> tuple[str, list[int | None]]:
@@ -182,9 +159,12 @@ def _name_parts(path: str) -> tuple[str, list[int | None]]:
 
 
 def read_blocks(
-    file: pa.NativeFile, path: str, size: int, max_bytes: int, first: int = 0, last: int | None = None
+    file: pa.NativeFile, path: str, size: int, max_bytes: int | None, first: int = 0, last: int | None = None
 ) -> Iterator[dict]:
-    """The blocks of one image whose first byte lies in ``[first, last)``."""
+    """The blocks of one image whose first byte lies in ``[first, last)``.
+
+    ``max_bytes`` bounds a block's voxels; None gives the image in one block.
+    """
     head = parse_header(file.read_at(HEADER_BYTES, 0))
     raw = file.read_at(head.offset, 0)
     dtype, scaled = head.dtype, head.scaled
@@ -192,10 +172,15 @@ def read_blocks(
     if scaled:
         dtype, header = "float64", _unscaled(raw, head.order)
     *plane, depth = head.shape
-    layer = int(np.prod(plane, dtype=np.int64)) * head.file_dtype.itemsize
+    per_layer = int(np.prod(plane, dtype=np.int64))
+    layer = per_layer * head.file_dtype.itemsize
     if size < head.offset + layer * depth:
         raise ValueError(f"{path} is shorter than its header says")
-    per_block = max(1, min(depth, max_bytes // max(1, layer)))
+    per_block = depth if max_bytes is None else max(1, min(depth, max_bytes // max(1, layer)))
+    # the array's element is at most twice as wide as an integer voxel
+    wide = np.dtype(dtype).itemsize * (2 if dtype.startswith("uint") else 1)
+    if per_block * per_layer * wide > CELL_BYTES:
+        raise ValueError(f"{path}: {per_block} layers at once are too large for one row")
     n_blocks = max(1, -(-depth // per_block))
     image, start = _name_parts(path)
     for block in range(n_blocks):
@@ -224,97 +209,82 @@ def read_blocks(
         }
 
 
-def to_batch(row: dict, schema: pa.Schema) -> pa.RecordBatch:
-    """One block as an Arrow batch, its voxels cast without loss."""
+def to_batch(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
+    """Blocks as an Arrow batch, their voxels cast without loss."""
     columns = []
     for field in schema:
-        value = row[field.name]
+        values = [row[field.name] for row in rows]
         if field.name == "voxels":
             wanted = field.type.value_type.to_pandas_dtype()
-            if not np.can_cast(value.dtype, wanted, "safe"):
-                raise ValueError(f"{row['path']}: {value.dtype} voxels do not fit {field.type}")
-            values = pa.array(value.astype(wanted))
-            offsets = pa.array([0, len(values)], pa.int32())
-            columns.append(pa.ListArray.from_arrays(offsets, values).cast(field.type))
+            for row, v in zip(rows, values):
+                if not np.can_cast(v.dtype, wanted, "safe"):
+                    raise ValueError(f"{row['path']}: {v.dtype} voxels do not fit {field.type}")
+            flat = np.concatenate([v.astype(wanted, copy=False) for v in values])
+            lists = to_lists(np.array([len(v) for v in values], dtype=np.int64), flat)
+            columns.append(lists.cast(field.type))
         else:
-            columns.append(pa.array([value], field.type))
+            columns.append(pa.array(values, field.type))
     return pa.RecordBatch.from_arrays(columns, schema=schema)
 
 
-class _Split(InputPartition):
-    def __init__(self, pieces: list[tuple[str, int, int, int | None]]):
-        super().__init__(pieces)
-        self.pieces = pieces  # (path, size, first byte, end byte or None)
-
-
-class NiftiReader(DataSourceReader):
-    def __init__(self, schema: StructType, options: dict):
-        self.schema = schema
-        self.spec = options["path"]
-        self.max_block = int(options.get("maxblockbytes", 64 * MIB))
-        self.max_partition = int(options.get("maxpartitionbytes", 128 * MIB))
-        self.min_partitions = int(options.get("minpartitions", 1))
-        self.split_files = options.get("splitfiles", "false").lower() == "true"
-
-    def partitions(self) -> list[_Split]:
-        files = list_images(self.spec)
-        total = sum(size + OPEN_COST for _, size in files)
-        target = min(self.max_partition, max(OPEN_COST, total // max(1, self.min_partitions)))
-        splits, pieces, filled = [], [], 0
-        for path, size in files:
-            if self.split_files and size > self.max_partition:
-                cuts = list(range(0, size, self.max_partition))
-                splits += [_Split([(path, size, c, c + self.max_partition)]) for c in cuts]
-                continue
-            if pieces and filled + size + OPEN_COST > target:
-                splits.append(_Split(pieces))
-                pieces, filled = [], 0
-            pieces.append((path, size, 0, None))
-            filled += size + OPEN_COST
-        if pieces:
-            splits.append(_Split(pieces))
-        return splits
-
-    def read(self, partition: _Split) -> Iterator[pa.RecordBatch]:
-        schema = to_arrow_schema(self.schema)
-        for path, size, first, last in partition.pieces:
-            fs, inner = filesystem(path)
-            with fs.open_input_file(inner) as file:
-                for row in read_blocks(file, path, size, self.max_block, first, last):
-                    yield to_batch(row, schema)
+def in_batches(rows: Iterator[dict], schema: pa.Schema, max_bytes: int = 4 * MIB, max_rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Small blocks share a batch; a large one is a batch of its own."""
+    held: list[dict] = []
+    size = 0
+    for row in rows:
+        if held and (size + row["voxels"].nbytes > max_bytes or len(held) >= max_rows):
+            yield to_batch(held, schema)
+            held, size = [], 0
+        held.append(row)
+        size += row["voxels"].nbytes
+    if held:
+        yield to_batch(held, schema)
 
 
 class ImageAssembler:
-    """Puts blocks that arrive in order into image files of one folder."""
+    """Puts blocks that arrive in order into image files of one folder.
+
+    A file gets its final name in one move, once it has all the voxels that
+    its header promises. A second image of a name is refused.
+    """
 
     def __init__(self, folder: str):
         self.fs, self.folder = filesystem(folder)
         self.fs.create_dir(self.folder, recursive=True)
         self.stream = self.temp = self.path = None
-        self.next_block = self.written = 0
+        self.next_block = self.voxels = 0
+        self.names: set[str] = set()
 
-    def add(self, path: str, header: bytes, block: int, n_blocks: int, voxels: np.ndarray) -> str:
-        """Append one block; returns the name of the file it belongs to."""
+    def add(self, path: str, header: bytes, block: int, n_blocks: int, voxels: np.ndarray) -> str | None:
+        """Append one block; returns the name of the file that it completes."""
         name = posixpath.basename(path)
         if block == 0:
             self.finish()
-            self.path, self.next_block = path, 0
+            if name in self.names:
+                raise ValueError(f"two images are named {name}")
+            self.names.add(name)
+            self.path, self.next_block, self.voxels = path, 0, 0
             self.temp = f"{self.folder}/._{name}-{uuid.uuid4().hex}"
             self.stream = self.fs.open_output_stream(self.temp)
             self.stream.write(header)
         elif path != self.path or block != self.next_block:
             raise ValueError(f"{path}: block {block} of {n_blocks} came out of order")
-        stored = np.ascontiguousarray(voxels, parse_header(header).file_dtype)
-        if stored.dtype.kind in "iu" and not np.array_equal(stored, voxels):
+        head = parse_header(header)
+        stored = np.ascontiguousarray(voxels, head.file_dtype)
+        if stored.dtype != voxels.dtype and not np.array_equal(stored, voxels, equal_nan=stored.dtype.kind == "f"):
             raise ValueError(f"{path}: voxels do not fit {stored.dtype}")
         self.stream.write(stored.tobytes())
         self.next_block = block + 1
-        if self.next_block == n_blocks:
-            self.stream.close()
-            self.fs.move(self.temp, f"{self.folder}/{name}")
-            self.stream = None
-            self.written += 1
-        return f"{self.folder}/{name}"
+        self.voxels += stored.size
+        if self.next_block < n_blocks:
+            return None
+        wanted = int(np.prod(head.shape, dtype=np.int64))
+        if self.voxels != wanted:
+            raise ValueError(f"{path}: {self.voxels} voxels, and a header for {wanted}")
+        self.stream.close()
+        self.fs.move(self.temp, f"{self.folder}/{name}")
+        self.stream = None
+        return name
 
     def finish(self) -> None:
         if self.stream is not None:
@@ -326,56 +296,3 @@ class ImageAssembler:
             self.stream.close()
             self.fs.delete_file(self.temp)
             self.stream = None
-
-
-@dataclass
-class Written(WriterCommitMessage):
-    files: int
-
-
-class NiftiWriter(DataSourceArrowWriter):
-    def __init__(self, options: dict):
-        self.folder = options["path"]
-
-    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
-        out = ImageAssembler(self.folder)
-        try:
-            for batch in iterator:
-                for row in range(batch.num_rows):
-                    cell = {c: batch.column(c)[row] for c in ("path", "header", "block", "n_blocks")}
-                    voxels = batch.column("voxels")[row].values.to_numpy(zero_copy_only=False)
-                    out.add(*(v.as_py() for v in cell.values()), voxels)
-            out.finish()
-        finally:
-            out.discard()
-        return Written(out.written)
-
-    def commit(self, messages: list[Written | None]) -> None:
-        fs, folder = filesystem(self.folder)
-        with fs.open_output_stream(f"{folder}/_SUCCESS") as mark:
-            mark.write(str(sum(m.files for m in messages if m)).encode())
-
-    def abort(self, messages: list[Written | None]) -> None:
-        """Tasks remove their own unfinished files; finished ones are whole."""
-
-
-class NiftiDataSource(DataSource):
-    @classmethod
-    def name(cls) -> str:
-        return "nifti"
-
-    def schema(self) -> StructType:
-        dtype = self.options.get("dtype")
-        if not dtype:
-            path, _ = list_images(self.options["path"])[0]
-            fs, inner = filesystem(path)
-            with fs.open_input_file(inner) as file:
-                head = parse_header(file.read_at(HEADER_BYTES, 0))
-            dtype = "float64" if head.scaled else head.dtype
-        return chunk_schema(ELEMENT_OF_DTYPE[dtype])
-
-    def reader(self, schema: StructType) -> NiftiReader:
-        return NiftiReader(schema, self.options)
-
-    def writer(self, schema: StructType, overwrite: bool) -> NiftiWriter:
-        return NiftiWriter(self.options)
