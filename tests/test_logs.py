@@ -180,7 +180,32 @@ def test_every_condition_survives_its_run_name(spark, tmp_path):
 def test_legend(spark, tmp_path):
     (tmp_path / "legend.txt").write_text("a.nii b.nii\tc.nii d.nii  ")
     got = files.read_legend(spark, str(tmp_path / "legend.txt")).collect()
-    assert [tuple(r) for r in got] == [(0, "a.nii"), (1, "b.nii"), (2, "c.nii"), (3, "d.nii")]
+    assert sorted(map(tuple, got)) == [(0, "a.nii"), (1, "b.nii"), (2, "c.nii"), (3, "d.nii")]
+    (tmp_path / "lines.txt").write_text("a b\nc d\n\n e f")
+    got = files.read_legend(spark, str(tmp_path / "lines.txt")).collect()
+    assert sorted(map(tuple, got)) == list(enumerate("abcdef"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200b")
+    try:
+        (tmp_path / "long.txt").write_text("\n".join(f"n{i} m{i}" for i in range(400)))
+        got = files.read_legend(spark, str(tmp_path / "long.txt")).collect()
+        assert [r.chunk for r in sorted(got, key=lambda r: r.pos)] == [f"{c}{i}" for i in range(400) for c in "nm"]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_mixed_clocks(spark):
+    rows = [
+        ("sp", "driver_program", 0.0, 90.0), ("sp", "increment_data", 4.5, 6.0),
+        ("sp", "read_file", 1.5e9 + 10, 1.5e9 + 12), ("sp", "write_file", 1.5e9 + 30, 1.5e9 + 31),
+        ("np", "driver_program", 1.4e9, 1.4e9 + 50), ("np", "read_file", 1.4e9 + 2, 1.4e9 + 3), ("rel", "read_file", 3.0, 4.0),
+    ]
+    df = spark.createDataFrame(rows, "run string, name string, start double, end double")
+    got = {(r.run, r.name): (r.start, r.end) for r in events.on_one_clock(df).collect()}
+    assert got == {
+        ("sp", "driver_program"): (0.0, 90.0), ("sp", "increment_data"): (4.5, 6.0), ("sp", "read_file"): (0.0, 2.0),
+        ("sp", "write_file"): (20.0, 21.0), ("np", "driver_program"): (0.0, 50.0), ("np", "read_file"): (2.0, 3.0),
+        ("rel", "read_file"): (3.0, 4.0),
+    }
 
 
 @pytest.mark.parametrize(

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from voxtally.operators.assign import assign_groups, group_lists, shuffled
 from voxtally.operators.bandwidth import exact_quantiles
-from voxtally.operators.model import max_concurrency
+from voxtally.operators.model import concurrency_steps, max_concurrency
 from voxtally.operators.ordering import balanced_group, with_dense_index, with_running_total
 
 
@@ -74,13 +74,34 @@ def test_exact_quantiles_with_a_hot_value(spark):
     df = spark.createDataFrame(rows, "g string, v double").repartition(7)
     points = {"p0": 0.0, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p99": 0.99, "p100": 1.0}
     got = {r.g: r for r in exact_quantiles(df, ["g"], "v", points).collect()}
-    assert set(got) == set("abcd")
-    for g in got:
+    assert set(got) == set("abcde")
+    assert got["e"].n == 0 and got["e"].low is None and got["e"].p50 is None
+    for g in "abcd":
         values = [v for k, v in rows if k == g]
         for name, p in points.items():
             assert got[g][name] == pytest.approx(np.quantile(values, p), rel=1e-12), (g, name)
 
 
+def test_quantiles_over_all_groups(spark):
+    rows = [("a", float(v)) for v in range(9)] + [("b", float(v)) for v in range(5, 40)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r.g: r for r in exact_quantiles(df, ["g"], "v", {"p50": 0.5}, over_all="g").collect()}
+    assert got["all"].n == 44 and got["all"].p50 == np.quantile([v for _, v in rows], 0.5)
+    assert (got["a"].p50, got["b"].p50) == (4.0, 22.0)
+
+
+def test_groups_of_each_dataset(spark):
+    rows = [("a", i) for i in range(125)] + [("b", i) for i in range(30)] + [(None, i) for i in range(4)] + [("c", 1)]
+    df = spark.createDataFrame(rows, "dataset string, n int").repartition(5)
+    got = assign_groups(df, ["n"], 15, by=["dataset"]).collect()
+    assert len(got) == len(rows)
+    for dataset, total in (("a", 125), ("b", 30), (None, 4), ("c", 1)):
+        own = sorted((r for r in got if r.dataset == dataset), key=lambda r: r.n)
+        assert [r.idx for r in own] == list(range(total)) and {r.total for r in own} == {total}
+        sizes = [sum(r.grp == g for r in own) for g in range(15)]
+        assert sizes == [total // 15 + (g < total % 15) for g in range(15)]
+
+
 def concurrency(tasks):
     points = sorted([(s, 1) for s, _ in tasks] + [(e, -1) for _, e in tasks], key=lambda p: p)
     now = best = 0
@@ -98,14 +119,15 @@ def test_concurrency_per_node_and_cluster(spark):
         node = "hot" if i % 3 == 0 else f"n{i % 10}"
         rows.append((node, start, start + float(rng.integers(0, 20))))
     df = spark.createDataFrame(rows, "node string, start double, end double").repartition(5)
-    got = {r.node: r.max_tasks for r in max_concurrency(df, ["node"]).collect()}
+    steps = concurrency_steps(df, ["node"])
+    got = {r.node: r.max_tasks for r in max_concurrency(steps, ["node"]).collect()}
     assert got == {n: concurrency([(s, e) for m, s, e in rows if m == n]) for n in {r[0] for r in rows}}
-    assert max_concurrency(df, []).first().max_tasks == concurrency([(s, e) for _, s, e in rows])
+    assert max_concurrency(steps, []).first().max_tasks == concurrency([(s, e) for _, s, e in rows])
 
 
 def test_back_to_back_tasks_do_not_overlap(spark):
     df = spark.createDataFrame([("a", 0.0, 5.0), ("a", 5.0, 9.0)], "node string, start double, end double")
-    assert max_concurrency(df, ["node"]).first().max_tasks == 1
+    assert max_concurrency(concurrency_steps(df, ["node"]), ["node"]).first().max_tasks == 1
 
 
 def test_a_hot_key_is_split_over_partitions(spark):
@@ -124,4 +146,4 @@ def test_concurrency_of_copies(spark):
     df = spark.range(0, 3000, 1, 8).select(
         F.lit("a").alias("node"), F.lit(1.0).alias("start"), F.lit(2.0).alias("end")
     )
-    assert max_concurrency(df, ["node"]).first().max_tasks == 3000
+    assert max_concurrency(concurrency_steps(df, ["node"]), ["node"]).first().max_tasks == 3000

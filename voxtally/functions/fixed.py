@@ -100,3 +100,6 @@ WHITESPACE = (
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000"
 )
+
+#: Event times from here on are seconds since 1970, not since a run's start.
+ABSOLUTE_FROM = 1e9

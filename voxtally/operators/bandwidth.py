@@ -41,6 +41,7 @@ def exact_quantiles(
     value: str,
     points: dict[str, float],
     sums: Sequence[str] = (),
+    over_all: str | None = None,
 ) -> DataFrame:
     """Exact, linearly interpolated quantiles per group, with the group's
     ``n``, ``low`` and ``high``, and the sums of some integer columns.
@@ -49,11 +50,20 @@ def exact_quantiles(
     Here equal values are counted on the map side first; the distinct values
     are range-sorted, and their running count tells which of them sit at the
     wanted ranks. Only those reach the last aggregate. ``df`` is read once.
+
+    ``over_all`` names a column of the group over whose values there are
+    quantiles too, as its value ``all``; they come from the same counts and
+    the same sort. A group without any value has n = 0 and null quantiles.
     """
     # a null counts 0 and so holds no rank
     counted = df.groupBy(*group, value).agg(
         F.count(value).alias("_c"), *[F.sum(s).alias(s) for s in sums]
     )
+    if over_all:
+        both = F.explode(F.array(F.col(over_all), F.lit("all")))
+        counted = counted.withColumn(over_all, both).groupBy(*group, value).agg(
+            F.sum("_c").alias("_c"), *[F.sum(s).alias(s) for s in sums]
+        )
     ranked = with_running_total(counted, [*group, value], "_c", "_upto")
     # One row per group, with the running count just before the group.
     whole = ranked.groupBy(*group).agg(
@@ -83,16 +93,17 @@ def exact_quantiles(
 
     wanted = [holds(edge(rank(p))) for p in points.values() for edge in (F.floor, F.ceil)]
     return (
-        placed.filter(reduce(Column.__or__, wanted))
+        placed.filter(reduce(Column.__or__, wanted) | (F.col("n") == 0))
         .groupBy(*group, "n", "low", "high", *sums)
         .agg(*[quantile(p).alias(name) for name, p in points.items()])
     )
 
 
 def distribution(bandwidths: DataFrame) -> DataFrame:
-    """Count, floored count, extrema and quartiles per engine, file system, op."""
+    """Count, floored count, extrema and quartiles per engine, and over all
+    engines, file system and op."""
     points = {"p25_mb_s": 0.25, "median_mb_s": 0.5, "p75_mb_s": 0.75}
-    out = exact_quantiles(bandwidths, GROUP, "mb_s", points, sums=["floored"])
+    out = exact_quantiles(bandwidths, GROUP, "mb_s", points, sums=["floored"], over_all="engine")
     names = {"floored": "n_floored", "low": "min_mb_s", "high": "max_mb_s"}
     return out.withColumnsRenamed(names)
 
@@ -107,13 +118,19 @@ def histogram(bandwidths: DataFrame, width: float) -> DataFrame:
 
 
 def both_levels(bandwidths: DataFrame) -> DataFrame:
-    """Counts per file system over all engines, and per engine, in one pass."""
-    return bandwidths.groupingSets(
+    """Counts per file system over all engines, and per engine, in one pass.
+
+    The rows are counted per engine; only those few counts are rolled up.
+    """
+    fine = bandwidths.groupBy("engine", "fs", "op").agg(
+        F.count(F.lit(1)).alias("n"), F.max("mb_s").alias("max_mb_s")
+    )
+    return fine.groupingSets(
         [[F.col("fs"), F.col("op")], [F.col("engine"), F.col("fs"), F.col("op")]],
         F.col("engine"),
         F.col("fs"),
         F.col("op"),
-    ).agg(F.count(F.lit(1)).alias("n"), F.max("mb_s").alias("max_mb_s"))
+    ).agg(F.sum("n").alias("n"), F.max("max_mb_s").alias("max_mb_s"))
 
 
 def write_time_by_count(writes: DataFrame, chunks: str, seconds: str) -> DataFrame:

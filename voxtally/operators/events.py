@@ -41,6 +41,29 @@ def rebase(events: DataFrame, epoch: Column) -> DataFrame:
     )
 
 
+def on_one_clock(events: DataFrame) -> DataFrame:
+    """Start and end relative to the run's start, in logs that mix clocks.
+
+    Some engines stamp their file events with absolute times and the others
+    relative to the driver. Absolute times are counted from the driver's start
+    where that is absolute too, and from the run's first absolute time where
+    it is not; relative times stay.
+    """
+    absolute = F.col("start") >= fixed.ABSOLUTE_FROM
+    driver = F.when((F.col("name") == fixed.DRIVER) & absolute, F.col("start"))
+    first = events.groupBy("run").agg(
+        F.coalesce(F.min(driver), F.min(F.when(absolute, F.col("start")))).alias("_zero")
+    )
+    shift = F.when(absolute, F.coalesce("_zero", F.lit(0.0))).otherwise(F.lit(0.0))
+    return (
+        events.join(materialize(first, "clocks"), "run")
+        .withColumn("_shift", shift)
+        .withColumn("start", F.col("start") - F.col("_shift"))
+        .withColumn("end", F.col("end") - F.col("_shift"))
+        .drop("_zero", "_shift")
+    )
+
+
 def render(events: DataFrame) -> DataFrame:
     parts = ("name", "start", "end", "node", "filename", "executor")
     return events.select("run", render_event(*(F.col(c) for c in parts)).alias("value"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from voxtally.functions import fixed
@@ -37,12 +39,13 @@ def with_dims(runs: DataFrame, cluster: dict[int, int] | None = None) -> DataFra
     """Runs with image size, storage bandwidth and concurrency.
 
     Each dimension is a fixed table of three rows, hence the broadcasts. Runs
-    in memory have no storage bandwidth.
+    in memory have no storage bandwidth. Runs with an image or a number of
+    blocks that the tables do not have stay, without size or concurrency.
     """
     spark = runs.sparkSession
     return (
-        runs.join(F.broadcast(image_dim(spark)), "image")
-        .join(F.broadcast(concurrency_dim(spark, cluster)), "blocks")
+        runs.join(F.broadcast(image_dim(spark)), "image", "left")
+        .join(F.broadcast(concurrency_dim(spark, cluster)), "blocks", "left")
         .join(F.broadcast(fs_dim(spark)), "fs", "left")
     )
 
@@ -64,12 +67,16 @@ def with_baseline(runs: DataFrame, engine: str = "sp") -> DataFrame:
 
     This is the join of the runs with themselves, done in one pass over them.
     ``runs`` has one row per run name, so a condition has at most one row per
-    engine and file system, and the window's partitions stay that small.
+    engine and file system, and the window's partitions stay that small. Runs
+    whose condition is not known have no baseline; they are spread by name,
+    as they would all meet in one partition otherwise.
     """
+    known = reduce(Column.__and__, [F.col(c).isNotNull() for c in CONDITION])
     own = F.when(
-        (F.col("engine") == engine) & (F.col("fs") == fixed.BASELINE_FS), F.col("makespan")
+        known & (F.col("engine") == engine) & (F.col("fs") == fixed.BASELINE_FS), F.col("makespan")
     )
-    return runs.withColumn("baseline", F.min(own).over(Window.partitionBy(*CONDITION)))
+    apart = F.when(~known, F.xxhash64("run"))
+    return runs.withColumn("baseline", F.min(own).over(Window.partitionBy(*CONDITION, apart)))
 
 
 def speedups(runs: DataFrame, engine: str = "sp") -> DataFrame:
@@ -138,14 +145,14 @@ def break_even_concurrency(rates: DataFrame, rate: Column) -> DataFrame:
     )
 
 
-def max_concurrency(
+def concurrency_steps(
     tasks: DataFrame, group: list[str], start: str = "start", end: str = "end"
 ) -> DataFrame:
-    """Largest number of tasks at a time per group (no group: the cluster).
+    """``(*group, t, step)``: by how much the number of tasks changes at each time.
 
-    Sweep line: +1 at each start and -1 at each end, ends first where they
-    coincide, and the largest running total. One range shuffle of the points;
-    no group has to fit in a task.
+    Steps at the same time are added up, on the map side first. Where tasks
+    end and start at one time the ends come first, so their sum is all that
+    the largest number depends on.
     """
     points = tasks.select(
         *group,
@@ -156,4 +163,15 @@ def max_concurrency(
             )
         ),
     )
-    return max_running_total(points, group, ["t", "step"], "step", "max_tasks")
+    return points.groupBy(*group, "t").agg(F.sum("step").alias("step"))
+
+
+def max_concurrency(steps: DataFrame, group: list[str]) -> DataFrame:
+    """Largest number of tasks at a time per group (no group: the cluster).
+
+    ``steps`` as ``concurrency_steps`` gives them, of this grouping or a finer
+    one. A sweep: the largest running total, from one range shuffle; no group
+    has to fit in a task.
+    """
+    points = steps.groupBy(*group, "t").agg(F.sum("step").alias("step"))
+    return max_running_total(points, group, ["t"], "step", "max_tasks")

@@ -15,7 +15,7 @@ from voxtally.functions.events import duration, render_event
 from voxtally.functions.runs import dataset_tag, engine_of_framework, parse_run_name
 from voxtally.operators import assign, bandwidth, chunks, conditions, events, makespan, model
 from voxtally.plans import reports, tables
-from voxtally.session import scratch_dir
+from voxtally.session import materialize, scratch_dir
 from voxtally.sources import files, logs
 from voxtally.sources.nifti import build_header
 
@@ -126,7 +126,10 @@ def chk_grid_split(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def chk_half_split(spark: SparkSession, sf: str) -> DataFrame:
-    half = chunks.lower_half(tables.voxel_rows(spark, sf), F.col("z"), 7)
+    voxels = tables.voxel_rows(spark, sf)
+    # one number comes to the driver: the image's extent
+    extent = voxels.agg(F.max("z") + 1).first()[0] or 0
+    half = chunks.lower_half(voxels, F.col("z"), extent)
     return chunks.chunk_totals(half, _axes(), F.col("v"))
 
 
@@ -169,10 +172,12 @@ def chk_zero_pad_grid(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def src_binary_scan(spark: SparkSession, sf: str) -> DataFrame:
-    found = files.scan_binary(spark, f"{sf}/*.parquet")
-    return found.select(
-        naming.basename(F.col("path")).alias("file"), "length", F.md5("content").alias("md5")
-    )
+    """Embeddings as image files, scanned as bytes and decoded from them."""
+    scanned = files.scan_binary(spark, _saved_images(spark, sf))
+    sized = scanned.select("length", "path", "content")
+    decoded = files.decode_images(sized, "float32")
+    length = F.octet_length("header") + 4 * F.size("voxels")
+    return voxel_table(decoded.withColumn("length", length.cast("bigint")), "image", "x0", "length")
 
 
 @query
@@ -625,8 +630,9 @@ def mod_linear_fit(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def mod_concurrency(spark: SparkSession, sf: str) -> DataFrame:
     e = tables.task_events(spark, sf).filter(F.col("name") != fixed.DRIVER).select("node", "start", "end")
-    per_node = model.max_concurrency(e, ["node"])
-    cluster = model.max_concurrency(e, []).select(F.lit("cluster").alias("node"), "max_tasks")
+    steps = materialize(model.concurrency_steps(e, ["node"]), "steps")
+    per_node = model.max_concurrency(steps, ["node"])
+    cluster = model.max_concurrency(steps, []).select(F.lit("cluster").alias("node"), "max_tasks")
     return per_node.unionByName(cluster)
 
 
@@ -675,13 +681,20 @@ def asg_group_csv(spark: SparkSession, sf: str) -> DataFrame:
     return assign.group_lists(assign.assign_groups(pages, ["path"]), segment=100)
 
 
+@query
+def asg_by_dataset(spark: SparkSession, sf: str) -> DataFrame:
+    """The chunks of each dataset, cut into one group per node on their own."""
+    assigned = assign.assign_groups(_conditions(spark, sf), ["p_partkey"], by=["dataset"])
+    return assigned.select("p_partkey", "dataset", "idx", "total", "grp")
+
+
 @query
 def asg_counts(spark: SparkSession, sf: str) -> DataFrame:
     e = _named_events(spark, sf)
     return e.groupBy("engine", "fs").agg(
         F.count(F.lit(1)).alias("n_events"),
         F.countDistinct("run").alias("n_conditions"),
-        F.countDistinct("filename").alias("n_images"),
+        F.countDistinct(F.when(F.col("name") != fixed.DRIVER, F.col("filename"))).alias("n_images"),
     )
 
 

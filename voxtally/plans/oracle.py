@@ -252,7 +252,8 @@ def oracle_sql() -> dict[str, str]:
           FROM lineitem GROUP BY ALL""",
         "chk_half_split": f"""
           SELECT {_GRID}, count(*) AS n_voxels, sum(l_quantity::INT)::BIGINT AS total
-          FROM lineitem WHERE l_linenumber - 1 < 3.5 GROUP BY ALL""",
+          FROM lineitem
+          WHERE l_linenumber - 1 < (SELECT max(l_linenumber) FROM lineitem) / 2.0 GROUP BY ALL""",
         "chk_grid_assemble": """
           WITH v AS (
             SELECT vec_id AS x, unnest(range(len(embedding)))::INT AS y, unnest(embedding) AS v
@@ -289,6 +290,9 @@ def oracle_sql() -> dict[str, str]:
         "snk_result_manifest": """
           SELECT vec_id, '/out/inc10-img' || label || '_' || vec_id || '_0_0.nii' AS out_path,
             'SUCCESS' AS status FROM embeddings""",
+        "src_binary_scan": _voxels(
+            "'img' || label AS image, vec_id::INT AS x0, (352 + 4 * len(embedding))::BIGINT AS length", "embedding"
+        ),
         "snk_image_roundtrip": _voxels(
             "'img' || label AS image, vec_id::INT AS x0, 0 AS y0, 0 AS z0, 'float32' AS dtype",
             f"list_transform(embedding, lambda x: {_TEN})",
@@ -387,7 +391,7 @@ def oracle_sql() -> dict[str, str]:
             round(min(mb_s), 6) AS min_mb_s, round(max(mb_s), 6) AS max_mb_s,
             round(quantile_cont(mb_s, 0.25), 6) AS p25_mb_s, round(quantile_cont(mb_s, 0.5), 6) AS median_mb_s,
             round(quantile_cont(mb_s, 0.75), 6) AS p75_mb_s
-          FROM bw GROUP BY ALL""",
+          FROM (SELECT * FROM bw UNION ALL SELECT * REPLACE ('all' AS engine) FROM bw) GROUP BY ALL""",
         "iob_by_fs_and_engine": f"""WITH {_TASKS}, {_BANDWIDTHS}
           SELECT engine, fs, op, count(*) AS n, round(max(mb_s), 6) AS max_mb_s FROM bw GROUP BY ALL
           UNION ALL
@@ -444,7 +448,11 @@ def oracle_sql() -> dict[str, str]:
             string_agg(url, ',' ORDER BY url) AS paths FROM s GROUP BY ALL""",
         "asg_counts": f"""WITH {_TASKS}
           SELECT engine, fs, count(*) AS n_events, count(DISTINCT run) AS n_conditions,
-            count(DISTINCT filename) AS n_images FROM ne GROUP BY ALL""",
+            count(DISTINCT filename) FILTER (name <> 'driver_program') AS n_images FROM ne GROUP BY ALL""",
+        "asg_by_dataset": f"""WITH {_CONDITIONS}
+          SELECT p_partkey, dataset, row_number() OVER (PARTITION BY dataset ORDER BY p_partkey) - 1 AS idx,
+            count(*) OVER (PARTITION BY dataset) AS total,
+            (ntile(15) OVER (PARTITION BY dataset ORDER BY p_partkey) - 1)::INT AS grp FROM cn""",
         "asg_shuffled": f"WITH {_CONDITIONS} SELECT p_partkey, dataset FROM cn",
     }
     for exp in (1, 2, 3, 4):
