@@ -28,7 +28,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from voxtally.llm.common import by_rows
 from voxtally.llm.components import components
@@ -44,6 +44,7 @@ BUCKET = 1024
 ANCHORS = 32
 NEAREST = 2
 KNOWN_WORDS = 300_000
+MARKS = 1 << 20
 _FUNCTIONS = BANDS * PER_BAND
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 _EDGES = "\"'.,;:!?()[]{}*#$%&<>-_…«»¿¡`~^=+|/\\"
@@ -254,8 +255,14 @@ def candidate_pairs(firsts: DataFrame) -> DataFrame:
 
 def verified_links(docs: DataFrame, pairs: DataFrame, similarity: float, id_col: str, text_col: str) -> DataFrame:
     """The pairs whose aligned share is large enough, from the texts of the documents in them."""
-    ids = pairs.select(F.col("a").alias("_id")).unionByName(pairs.select(F.col("b").alias("_id"))).distinct()
+    def mark(column: str) -> Column:
+        return F.pmod(F.xxhash64(column), F.lit(MARKS))
+
+    # Which texts to align is told from a hash of their id, of which there are at most MARKS, so that
+    # no text is shuffled; the few whose hash agrees by chance are aligned with nothing.
+    marks = pairs.select(F.explode(F.array("a", "b")).alias("_id")).select(mark("_id").alias("_mark")).distinct()
     texts = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).cast("string").cast("binary").alias("_text"))
+    texts = texts.withColumn("_mark", mark("_id")).join(F.broadcast(marks), "_mark", "left_semi").select("_id", "_text")
 
     def labelled(rows: Iterator[dict]) -> Iterator[tuple]:
         words = Words()
@@ -264,7 +271,7 @@ def verified_links(docs: DataFrame, pairs: DataFrame, similarity: float, id_col:
             yield row["_id"], (found >> np.uint64(32)).astype("<u4").tobytes()
 
     # an id that several rows have stands for each of their texts
-    sequences = materialize(by_rows(texts.join(ids, "_id"), "_id bigint, _seq binary", labelled), "sequences")
+    sequences = materialize(by_rows(texts, "_id bigint, _seq binary", labelled), "sequences")
     left = pairs.join(sequences.toDF("a", "_x"), "a")
     both = left.join(sequences.toDF("b", "_y"), "b")
 
