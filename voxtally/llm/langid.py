@@ -31,6 +31,7 @@ from voxtally.llm.common import held_out, unit_hash, whole_text
 SAMPLE_DOCS = 40
 SAMPLE_CHARS = 20_000
 ALL_CHARS = 400_000
+PARTS = 64
 PIECE = 256
 STEP_CHARS = 2_000_000
 FOLDS, HELD_OUT = 4, 2
@@ -197,10 +198,14 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """
     known = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col), FOLDS, HELD_OUT))
     known = known.where(F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
+    # first among a few hashed parts of each language, so that a common one is no single task
+    part = F.floor(F.col("_h") * PARTS)
+    within = Window.partitionBy("_lang", part).orderBy("_h", "_id")
     order = Window.partitionBy("_lang").orderBy("_h", "_id")
     keys = known.select(
         F.col(id_col).alias("_id"), F.col(lang_col).cast("string").alias("_lang"), unit_hash(F.col(id_col), "language").alias("_h")
     ).distinct()
+    keys = keys.withColumn("_n", F.row_number().over(within)).where(F.col("_n") <= SAMPLE_DOCS)
     chosen = keys.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= SAMPLE_DOCS).select("_id", "_lang", "_n").collect()
     if not chosen:
         return Samples((), (), ())
