@@ -1,8 +1,9 @@
 """The image pipelines: read chunks, process them, save the results.
 
-Everything is narrow: a chunk is read, processed and saved by one task, and no
-voxels are shuffled. In memory, all steps are one pass. With ``materialize``,
-each step reads the files of the step before and writes its own.
+A chunk of ordinary size is read, processed and saved by one task, and its
+voxels are not shuffled; the slabs of a very large one are shared by several.
+In memory, all steps are one pass. With ``materialize``, each step reads the
+files of the step before and writes its own.
 """
 
 from __future__ import annotations
@@ -52,26 +53,13 @@ def _checked(manifest: DataFrame, inputs: DataFrame) -> DataFrame:
     return manifest
 
 
-def _process(
+def _in_slabs(
     files: DataFrame, step: Callable[[DataFrame], DataFrame], name: Column, folder: str
 ) -> DataFrame:
-    """Read, process and save; a file larger than a task's input is shared by several tasks.
-
-    Files of ordinary size never leave their task. The slabs of larger ones
-    are brought together by name, in order, when they are saved.
-    """
-    dtype = None
-    saved = None
-    large = F.col("length") > LARGE_FILE
-    for part, split in ((files.where(~large), False), (files.where(large), True)):
-        if part.isEmpty():
-            continue
-        chunks = read_files(part, dtype, split_files=split, max_partition_bytes=LARGE_FILE)
-        done = _save(step(chunks), name, folder, in_order=not split)
-        saved = done if saved is None else saved.unionByName(done)
-    if saved is None:
-        raise FileNotFoundError("there is no image to read")
-    return _checked(saved, files)
+    """Read, process and save images whose slabs several tasks share; the
+    slabs are brought together by name, in order, when they are saved."""
+    chunks = read_files(files, split_files=True, max_partition_bytes=LARGE_FILE)
+    return _save(step(chunks), name, folder, in_order=False)
 
 
 def _timed_job(
@@ -132,6 +120,29 @@ def _spread(files: DataFrame) -> DataFrame:
     return files.repartitionByRange(max(1, tasks), "path")
 
 
+def _incremented(
+    files: DataFrame, name: Column, folder: str, steps: int, phases: tuple[str, str, str],
+    started: float, overflow: str, timed: bool,
+) -> tuple[DataFrame, DataFrame]:
+    """The manifest and the events of adding ``steps`` to all files.
+
+    A file is read, incremented and saved inside one task, so its voxels never
+    leave numpy. Files above ``LARGE_FILE`` are shared by several tasks
+    instead, except where the events of each file are asked for.
+    """
+    large = F.col("length") > LARGE_FILE
+    small = files if timed else files.where(~large)
+    named = _spread(small).select("path", name.alias("name"))
+    events = write_once(_timed_job(named, folder, steps, phases, started, overflow), "events")
+    saved = events.where(F.col("name") == phases[2]).select(F.col("filename").alias("name"))
+    manifest = saved_names(saved.distinct(), folder)
+    rest = files.where(large)
+    if not timed and not rest.isEmpty():
+        slabs = _in_slabs(rest, lambda c: increment_chunks(c, steps, overflow=overflow), name, folder)
+        manifest = manifest.unionByName(slabs)
+    return _checked(manifest, files), events
+
+
 def increment_pipeline(
     spark: SparkSession,
     input: str,
@@ -159,30 +170,19 @@ def increment_pipeline(
     final = final_name(F.col("path"), iterations)
     tasks: list[DataFrame] = []
 
-    if not materialize and not events:
-        manifest = _process(
-            inputs, lambda c: increment_chunks(c, iterations, overflow=overflow), final, output
-        )
-    elif not materialize:
+    if not materialize:
         phases = (fixed.READ_IMG, fixed.INCREMENT, fixed.SAVE)
-        named = _spread(inputs).select("path", final.alias("name"))
-        job = _timed_job(named, output, iterations, phases, started, overflow)
-        tasks.append(write_once(job, "events"))
-        saved = tasks[0].where(F.col("name") == fixed.SAVE).select(F.col("filename").alias("name"))
-        manifest = _checked(saved_names(saved.distinct(), output), inputs)
+        manifest, log = _incremented(inputs, final, output, iterations, phases, started, overflow, events)
+        tasks.append(log)
     else:
         work = f"{(work_dir or output).rstrip('/')}/app-{run}"
         source = inputs
+        phases = (fixed.READ_FILE, fixed.INCREMENT, fixed.WRITE_FILE)
         for i in range(iterations):
             folder = f"{work}/iteration-{i}"
             name = intermediate_name(F.col("path"))
-            if events:
-                phases = (fixed.READ_FILE, fixed.INCREMENT, fixed.WRITE_FILE)
-                named = _spread(source).select("path", name.alias("name"))
-                job = _timed_job(named, folder, 1, phases, started, overflow)
-                tasks.append(write_once(job, "events"))
-            else:
-                _process(source, lambda c: increment_chunks(c, 1, overflow=overflow), name, folder)
+            _, log = _incremented(source, name, folder, 1, phases, started, overflow, events)
+            tasks.append(log)
             source = image_files(spark, folder)
         last = _spread(source).select("path", final.alias("name"))
         copied = write_once(copy_files(last, output), "copied")
@@ -236,6 +236,8 @@ def steps_pipeline(
     files = image_files(spark, input)
     name = basename(F.col("path"))
     if not steps.whole:
-        return Outcome(_process(files, lambda c: steps.apply(c, element=element), name, output))
-    done = steps.apply(read_files(files, max_block_bytes=None), element=element)
-    return Outcome(_checked(_save(done, name, output, in_order=True), files))
+        saved = _in_slabs(files, lambda c: steps.apply(c, element=element), name, output)
+    else:
+        done = steps.apply(read_files(files, max_block_bytes=None), element=element)
+        saved = _save(done, name, output, in_order=True)
+    return Outcome(_checked(saved, files))
