@@ -2,16 +2,17 @@
 
 Generators propose spans, which may overlap: those of the base patterns, valid
 or not, and looser ones (addresses with the signs written out, telephone
-numbers without a plus sign). Each candidate has format and context features,
+numbers without a plus sign, numbers that the base patterns read as one with
+their neighbours). Each candidate has format and context features,
 all yes or no. Candidates of the base patterns are labelled by their own
 check (range, checksum, number of digits), which is no feature; boosted trees
 of depth two learn it from the features. Each kind's threshold is the lowest
 score above which, on the held-out half of the documents, candidates pass the
-check almost always. Valid base spans always stay; other candidates stay from
-their kind's threshold on.
+check almost always. Valid base spans always stay; other candidates stay if
+they pass their kind's check, from its threshold on.
 
 Columns and aggregates only. What the trees learn from is one row per pattern
-of features, kind and half, at most ``8 * 2**12`` rows whatever the corpus.
+of features, kind and half, at most ``8 * 2**13`` rows whatever the corpus.
 All patterns are written without nested repetition, so that neither long runs
 of one kind of character nor long lists make them slow or deep.
 """
@@ -50,9 +51,14 @@ _WRITTEN_EMAIL = (
 )
 _LOCAL_PHONE = r"(?<![0-9+.(-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9.-])"
 _TRUNK_PHONE = r"(?<![0-9+.-])00[1-9][0-9 ().-]{8,18}[0-9](?![0-9])"
+# Numbers that stand next to others, which the base patterns read as one.
+_WHOLE_PHONE = r"\+[0-9]{1,3}[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9])"
+_WHOLE_CARD = (
+    r"(?<![A-Za-z0-9])(?:[0-9]{14,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4})(?![A-Za-z0-9])"
+)
 
 _SPAN = "struct<start:int,end:int,kind:int,value:string>"
-_CANDIDATE = "array<struct<start:int,end:int,kind:int,base:boolean,checked:boolean,bits:int>>"
+_CANDIDATE = "array<struct<start:int,end:int,kind:int,base:boolean,checked:boolean,ok:boolean,bits:int>>"
 
 #: Context words, fixed values.
 _WORDS = {
@@ -62,7 +68,7 @@ _WORDS = {
     PHONE: "phone|tel|call|mobile|fax",
 }
 _AGAINST = "version|release|order|isbn|invoice|section|serial"
-N_FEATURES = 12
+N_FEATURES = 13
 
 
 def _located(text: Column, pattern: str, kind: int) -> Column:
@@ -133,6 +139,7 @@ def _bits(text: Column, span: Column) -> Column:
         n >= 10,
         n >= 14,
         n >= 16,
+        n >= 20,
         value.rlike("([0-9])\\1\\1\\1"),
         F.when(span["kind"] == IP, value.rlike("[0-9]{4}")).otherwise(value.rlike("@|at[)\\]}]")),
     ]
@@ -160,20 +167,24 @@ def with_candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
         _only_if(t.rlike(r"(?i)[(\[{]at[)\]}]"), _located(t, _WRITTEN_EMAIL, EMAIL)),
         _only_if(t.rlike("[0-9]{3}[ .-][0-9]{4}"), _located(t, _LOCAL_PHONE, PHONE)),
         _only_if(t.contains("00"), _located(t, _TRUNK_PHONE, PHONE)),
+        _only_if(t.contains("+"), _located(t, _WHOLE_PHONE, PHONE)),
+        _only_if(F.col("_joined").isNotNull(), _located(t, _WHOLE_CARD, CARD)),
     )
     rows = rows.withColumns({"_base": base, "_loose": loose})
 
     def described(spans: Column, checked: bool) -> Column:
         return F.transform(spans, lambda s: F.struct(
             s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"),
-            (_valid(s) if checked else F.lit(False)).alias("base"), F.lit(checked).alias("checked"), _bits(t, s).alias("bits")))
+            (_valid(s) if checked else F.lit(False)).alias("base"), F.lit(checked).alias("checked"),
+            _valid(s).alias("ok"), _bits(t, s).alias("bits")))
 
     found = F.concat(described(F.col("_base"), True), described(F.col("_loose"), False))
     some = (F.size("_base") > 0) | (F.size("_loose") > 0)
     rows = rows.withColumn("_found", F.when(some, found).otherwise(F.array().cast(_CANDIDATE)))
     in_order = F.array_sort(
         F.transform("_found", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"),
-                                                 s["base"].alias("base"), s["checked"].alias("checked"), s["bits"].alias("bits"))))
+                                                 s["base"].alias("base"), s["checked"].alias("checked"), s["ok"].alias("ok"),
+                                                 s["bits"].alias("bits"))))
     return rows.withColumn("_candidates", in_order).drop("_plain", "_dotted", "_joined", "_base", "_loose", "_found")
 
 
@@ -241,7 +252,7 @@ def fit(candidates: DataFrame, id_col: str = "doc_id", precision: float = PRECIS
     """Trees from one half of the documents, thresholds from the other.
 
     Counts of feature patterns are all that leaves Spark: at most two halves
-    of ``4 * 2**12`` patterns. A kind without enough support above any
+    of ``4 * 2**13`` patterns. A kind without enough support above any
     threshold, or without a single failed check to learn from, keeps base
     spans only.
     """
@@ -283,7 +294,9 @@ def fit(candidates: DataFrame, id_col: str = "doc_id", precision: float = PRECIS
 def with_spans(candidates: DataFrame, trees: Trees) -> DataFrame:
     """Add ``spans``, the chosen ones by start, then kind, as ``array<struct<start, end, kind, base>>``.
 
-    A further span that lies inside a valid base span of its kind is left out.
+    A further span has to pass its kind's check and reach its threshold. It is
+    left out where it lies inside a longer candidate of its kind that passes,
+    or in a base span.
     """
     base = F.filter("_candidates", lambda c: c["base"])
     rows = candidates.withColumn("_valid", base)
@@ -294,8 +307,10 @@ def with_spans(candidates: DataFrame, trees: Trees) -> DataFrame:
             limit = F.lit(2.0)
             for k in able:
                 limit = F.when(s["kind"] == k, trees.thresholds[k]).otherwise(limit)
-            covered = F.exists("_valid", lambda v: (v["kind"] == s["kind"]) & (v["start"] <= s["start"]) & (s["end"] <= v["end"]))
-            return s["base"] | ((trees.score(s["bits"], s["kind"]) >= limit) & ~covered)
+            covered = F.exists("_candidates", lambda v: (
+                v["ok"] & (v["kind"] == s["kind"]) & (v["start"] <= s["start"]) & (s["end"] <= v["end"])
+                & (v["base"] | (v["end"] - v["start"] > s["end"] - s["start"]))))
+            return s["base"] | (s["ok"] & (trees.score(s["bits"], s["kind"]) >= limit) & ~covered)
 
         c = F.filter("_candidates", chosen)
     else:
