@@ -253,16 +253,18 @@ def candidate_pairs(firsts: DataFrame) -> DataFrame:
     return found.where("a <> b").distinct()
 
 
+def _mark(key: Column) -> Column:
+    """One of a bounded number of hashes of an id."""
+    return F.pmod(F.xxhash64(key.cast("bigint")), F.lit(MARKS))
+
+
 def verified_links(docs: DataFrame, pairs: DataFrame, similarity: float, id_col: str, text_col: str) -> DataFrame:
     """The pairs whose aligned share is large enough, from the texts of the documents in them."""
-    def mark(column: str) -> Column:
-        return F.pmod(F.xxhash64(column), F.lit(MARKS))
-
     # Which texts to align is told from a hash of their id, of which there are at most MARKS, so that
     # no text is shuffled; the few whose hash agrees by chance are aligned with nothing.
-    marks = pairs.select(F.explode(F.array("a", "b")).alias("_id")).select(mark("_id").alias("_mark")).distinct()
+    marks = pairs.select(F.explode(F.array("a", "b")).alias("_id")).select(_mark(F.col("_id")).alias("_mark")).distinct()
     texts = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).cast("string").cast("binary").alias("_text"))
-    texts = texts.withColumn("_mark", mark("_id")).join(F.broadcast(marks), "_mark", "left_semi").select("_id", "_text")
+    texts = texts.withColumn("_mark", _mark(F.col("_id"))).join(F.broadcast(marks), "_mark", "left_semi").select("_id", "_text")
 
     def labelled(rows: Iterator[dict]) -> Iterator[tuple]:
         words = Words()
@@ -327,7 +329,13 @@ def one_of_each(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "
     gone = materialize(classes.where(~F.col("kept")).select(F.col(id_col).alias("_gone")).distinct(), "duplicates")
     repeated = docs.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
     repeated = materialize(repeated.select(F.col(id_col).alias("_twice")), "repeated")
-    stay = docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
-    once = stay.join(repeated, F.col(id_col) == F.col("_twice"), "left_anti")
-    twice = stay.join(repeated, F.col(id_col) == F.col("_twice"), "left_semi").dropDuplicates([id_col])
-    return once.unionByName(twice)
+    # Only rows whose id has the hash of one of these are looked up, and so shuffled.
+    doubtful = gone.toDF("_x").unionByName(repeated.toDF("_x"))
+    marks = materialize(doubtful.select(_mark(F.col("_x")).alias("_mark")).distinct(), "marks")
+    marked = docs.withColumn("_mark", _mark(F.col(id_col)))
+    sure = marked.join(F.broadcast(marks), "_mark", "left_anti")
+    near = marked.join(F.broadcast(marks), "_mark", "left_semi").join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    once = near.join(repeated, F.col(id_col) == F.col("_twice"), "left_anti")
+    twice = near.join(repeated, F.col(id_col) == F.col("_twice"), "left_semi").dropDuplicates([id_col])
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return sure.select(*columns).unionByName(once.select(*columns)).unionByName(twice.select(*columns))
