@@ -42,7 +42,7 @@ LEAST_BANDS = 2
 SMALL_BUCKET = 8
 BUCKET = 1024
 ANCHORS = 32
-NEAREST = 2
+NEAREST = 6
 KNOWN_WORDS = 300_000
 MARKS = 1 << 20
 _FUNCTIONS = BANDS * PER_BAND
