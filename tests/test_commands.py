@@ -42,7 +42,7 @@ def test_report_speedup_and_io(spark, folder, tmp_path):
     main(["speedup", str(folder), str(tmp_path / "s")])
     assert len(lines(tmp_path / "s")) == 2
     main(["io", str(folder), str(tmp_path / "i")])
-    assert {r.split(",")[0] for r in lines(tmp_path / "i")} == {"engine", "sp", "np"}
+    assert {r.split(",")[0] for r in lines(tmp_path / "i")} == {"engine", "sp", "np", "all"}
 
 
 def test_timeline(spark, folder, tmp_path):
