@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 ROWS_PER_BATCH = 256
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS = 500
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +34,20 @@ def held_out(key: Column, folds: int, fold: int) -> Column:
     return F.pmod(F.crc32(text.cast("binary")), F.lit(folds)) == F.lit(fold)
 
 
+def in_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
+    """``mapInArrow`` with batches of few rows, as rows may hold whole texts.
+
+    The default of 10 000 rows would hold tens of megabytes of text several
+    times over, in the JVM's buffers and in Python. The session's setting is
+    lowered to ``BATCH_ROWS``, never raised.
+    """
+    conf = df.sparkSession.conf
+    now = int(conf.get(_BATCH))
+    if now <= 0 or now > BATCH_ROWS:
+        conf.set(_BATCH, str(BATCH_ROWS))
+    return df.mapInArrow(fn, schema)
+
+
 def by_rows(
     df: DataFrame, schema: str | T.StructType, fn: Callable[[Iterator[dict]], Iterator[tuple]],
     rows_per_batch: int = ROWS_PER_BATCH,
@@ -67,7 +83,7 @@ def by_rows(
         if done:
             yield packed(done)
 
-    return df.mapInArrow(run, fields)
+    return in_arrow(df, run, fields)
 
 
 def without(df: DataFrame, names: Sequence[str]) -> DataFrame:

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from voxtally.llm.common import held_out, unit_hash, whole_text
+from voxtally.llm.common import held_out, in_arrow, unit_hash, whole_text
 
 #: Bounds of the labelled sample: documents and characters per language, and characters in all.
 SAMPLE_DOCS = 40
@@ -262,4 +262,4 @@ def identify(docs: DataFrame, samples: Samples, id_col: str = "doc_id", text_col
             if ids:
                 yield answer(ids, texts, kind)
 
-    return narrow.mapInArrow(run, schema).withColumnRenamed("_id", id_col)
+    return in_arrow(narrow, run, schema).withColumnRenamed("_id", id_col)
