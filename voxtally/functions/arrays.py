@@ -30,11 +30,6 @@ ELEMENT_OF_DTYPE = {
 _OWN_DTYPE = {"tinyint": "int8", "smallint": "int16", "int": "int32", "bigint": "int64"}
 
 
-def list_values(column: pa.ListArray) -> np.ndarray:
-    """The values of every list in the batch, as one numpy array."""
-    return column.flatten().to_numpy(zero_copy_only=False)
-
-
 def like_lists(column: pa.ListArray, values: np.ndarray | pa.Array) -> pa.ListArray:
     """Lists of ``values`` with the lengths and nulls of ``column``."""
     lengths = np.asarray(column.value_lengths().fill_null(0), dtype=np.int64)
