@@ -47,6 +47,22 @@ def test_all_kinds_of_rows(spark, window, block):
     assert sorted(map(tuple, out.collect()), key=str) == brute(rows, 0.98)
 
 
+def test_a_large_loose_group_is_whole(spark):
+    """One label, mean cosine 0.96: most links are far apart in every pass of few and narrow windows."""
+    rng = np.random.default_rng(5)
+    centre = rng.normal(size=16)
+    centre /= np.linalg.norm(centre)
+    x = centre + rng.normal(size=(1500, 16)) * np.sqrt((1 / 0.96 - 1) / 16)
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>, label int").repartition(4)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_vectors(df, passes=2, window=8, block=64).collect()}
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    near = x @ x.T >= 0.98
+    root = np.arange(len(x))
+    while (least := np.where(near, root[None, :], len(x)).min(1)).tolist() != root.tolist():
+        root = least
+    assert got == {i: (int(near[i].sum()) - 1, int(root[i])) for i in range(len(x))}
+
+
 def test_empty(spark):
     assert vectors.near_vectors(spark.createDataFrame([], "vec_id bigint, embedding array<float>, label int")).collect() == []
 

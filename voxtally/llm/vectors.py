@@ -6,11 +6,13 @@ neighbours in its window of that order. Vectors that are close agree in long
 prefixes, so some pass brings them together; pairs with the wanted cosine
 are united over all passes.
 
-Windows are bounded, so a dense group larger than a window is only united by
-them, not counted. Counting is exact within each united component: its blocks
-are compared, but where two blocks lie so close (or so far) that the angles
-between their centres and to their members decide for all pairs, the blocks'
-sizes are added instead. Tasks give counts and a few links, never pairs.
+Windows are bounded, so they find neither all links nor all components; they
+only say what lies together. Counting and what the passes have missed are
+exact: each label is cut into blocks, those of a large component apart from
+the others, and all blocks of the label are compared, but where two blocks lie
+so close (or so far) that the angles between their centres and to their
+members decide for all pairs, the blocks' sizes are added instead. Tasks give
+counts and a few links, never pairs.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ PASSES = 12
 SIGNS = 48
 WINDOW = 256
 BLOCK = 512
+#: Blocks on each side of what one task compares.
+TILE = 4
 COSINE = 0.98
 _SLACK = 1e-7
 
@@ -127,16 +131,27 @@ def window_links(rows: DataFrame, hashed: DataFrame, cosine: float, window: int)
     return full.groupBy("_window").applyInArrow(compare, "a bigint, b bigint").distinct()
 
 
-def exact_links(members: DataFrame, cosine: float, block: int) -> DataFrame:
-    """``(_row, n_links)`` of every member of a component, over all pairs of the component.
+def _unite(near: np.ndarray, a: np.ndarray, b: np.ndarray, component: np.ndarray, links: list[tuple[int, int]]) -> None:
+    """Unite the components that near pairs of the rows ``a`` and ``b`` tie together, and note the links."""
+    apart = near & (component[a][:, None] != component[b][None, :])
+    for i in np.flatnonzero(apart.any(1)):
+        own = component[a[i]]
+        for other in np.unique(component[b[near[i]]]):
+            if other != own:
+                links.append((int(own), int(other)))
+                component[component == other] = own
 
-    ``members`` has ``_row, _component, _size, _at, _v``. A component within a
-    block is one group. A larger one is cut along the order ``_at`` of the
-    first pass; pairs of its blocks that centre and radius decide are not
-    opened.
+
+def exact_links(members: DataFrame, cosine: float, block: int) -> tuple[DataFrame, DataFrame]:
+    """``(_row, n_links)`` of every row over all rows of its label, and ``(a, b)``, the components so far that are one.
+
+    ``members`` has ``_row, _dim, _label, _cut, _at, _component, _v``. The rows
+    of a label and cut are dealt into blocks along ``_at``; pairs of a label's
+    blocks that centre and radius decide are not opened. Opened pairs are
+    compared in tiles of neighbouring blocks.
     """
-    blocks = F.when(F.col("_size") <= block, F.lit(0)).otherwise(F.floor(F.col("_at") / block))
-    rows = materialize(members.withColumn("_block", blocks), "blocks")
+    members = members.withColumn("_slot", F.floor(F.col("_at") / block))
+    keys = ["_dim", "_label", "_cut", "_slot"]
 
     def centre(group: pa.Table) -> pa.Table:
         x = _matrix(group["_v"], group.num_rows)
@@ -144,48 +159,78 @@ def exact_links(members: DataFrame, cosine: float, block: int) -> DataFrame:
         length = np.linalg.norm(mean)
         mean = mean / length if length > 0 else x[0]
         return pa.table({
-            "_component": group["_component"][:1], "_block": group["_block"][:1], "_n": pa.array([group.num_rows], pa.int64()),
+            **{k: group[k][:1] for k in keys}, "_block": pa.array([group["_at"].to_numpy().min()], pa.int64()),
+            "_n": pa.array([group.num_rows], pa.int64()),
             "_centre": pa.array([mean.tolist()], pa.list_(pa.float64())),
             "_radius": pa.array([float(np.arccos(np.clip(x @ mean, -1, 1)).max())], pa.float64()),
         })
 
-    kind = "_component bigint, _block bigint, _n bigint, _centre array<double>, _radius double"
-    centres = materialize(rows.groupBy("_component", "_block").applyInArrow(centre, kind), "centres")
-    other = centres.toDF("_component", "_block2", "_n2", "_centre2", "_radius2")
-    pairs = centres.join(other, "_component").where(F.col("_block") <= F.col("_block2"))
+    kind = "_dim int, _label string, _cut bigint, _slot bigint, _block bigint, _n bigint, _centre array<double>, _radius double"
+    centres = materialize(members.groupBy(*keys).applyInArrow(centre, kind), "centres")
+    rows = members.join(centres.select(*keys, "_block"), keys)
+    rows = materialize(rows.select("_row", "_component", "_block", "_v"), "blocks")
+
+    left = centres.select("_dim", "_label", F.col("_block").alias("_x"), "_n", "_centre", "_radius")
+    other = centres.select("_dim", "_label", F.col("_block").alias("_y"), F.col("_n").alias("_n2"),
+                           F.col("_centre").alias("_centre2"), F.col("_radius").alias("_radius2"))
+    pairs = left.join(other, ["_dim", "_label"]).where(F.col("_x") <= F.col("_y"))
     dot = F.aggregate(F.zip_with("_centre", "_centre2", lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v)
     angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot)))
     reach = F.col("_radius") + F.col("_radius2")
     limit = float(np.arccos(cosine))
     pairs = pairs.withColumn("_angle", angle).where(F.col("_angle") - reach <= limit + _SLACK)
     pairs = pairs.withColumn("_all", F.col("_angle") + reach < limit - _SLACK)
-    pairs = materialize(pairs.select("_component", "_block", "_block2", "_n", "_n2", "_all"), "block-pairs")
+    pairs = materialize(pairs.select("_dim", "_label", "_x", "_y", "_n", "_n2", "_all"), "block-pairs")
 
     sure = pairs.where("_all")
-    sizes = sure.select("_component", "_block", F.col("_n2").alias("_add")).unionByName(
-        sure.where("_block < _block2").select("_component", F.col("_block2").alias("_block"), F.col("_n").alias("_add"))
+    sizes = sure.select(F.col("_x").alias("_block"), F.col("_n2").alias("_add")).unionByName(
+        sure.where("_x < _y").select(F.col("_y").alias("_block"), F.col("_n").alias("_add"))
     )
-    sizes = sizes.groupBy("_component", "_block").agg(F.sum("_add").alias("_add"))
-    counted = rows.select("_component", "_block", "_row").join(sizes, ["_component", "_block"]).select("_row", F.col("_add").alias("_n"))
-
-    opened = pairs.where("not _all").select("_component", F.col("_block").alias("_x"), F.col("_block2").alias("_y"))
-    sides = opened.select("*", F.explode(F.array_distinct(F.array("_x", "_y"))).alias("_block"))
-    dealt = rows.select("_component", "_block", "_row", "_v").join(sides, ["_component", "_block"])
+    sizes = materialize(sizes.groupBy("_block").agg(F.sum("_add").alias("_add")), "sure")
+    counted = rows.select("_block", "_row").join(sizes, "_block").select("_row", F.col("_add").alias("_n"))
+    # all of a block that is sure of another, or of itself, is one component
+    owned = rows.select("_block", "_component").join(sizes, "_block").select("_block", "_component").distinct()
+    heads = owned.groupBy("_block").agg(F.min("_component").alias("_head"))
+    inside = owned.join(heads, "_block").select(F.col("_component").alias("a"), F.col("_head").alias("b"))
+    across = sure.where("_x < _y").join(heads.toDF("_x", "a"), "_x").join(heads.toDF("_y", "b"), "_y").select("a", "b")
+
+    tile = lambda c: F.floor(F.col(c) / (block * TILE)).alias(f"_tile{c}")
+    opened = pairs.where("not _all").select("_dim", "_label", tile("_x"), tile("_y"), "_x", "_y")
+    tiles = ["_dim", "_label", "_tile_x", "_tile_y"]
+    sides = opened.select(*tiles, F.col("_x").alias("_block"), F.col("_y").alias("_other")).unionByName(
+        opened.where("_x < _y").select(*tiles, F.col("_y").alias("_block"), F.lit(None).cast("bigint").alias("_other"))
+    )
+    # as many others as a tile has blocks on a side
+    sides = materialize(sides.groupBy(*tiles, "_block").agg(F.collect_set("_other").alias("_others")), "tiles")
+    dealt = rows.join(sides, "_block")
 
     def count(group: pa.Table) -> pa.Table:
         x, ids, own = _matrix(group["_v"], group.num_rows), group["_row"].to_numpy(), group["_block"].to_numpy()
-        first = own == group["_x"].to_numpy()
-        if first.all():
-            return pa.table({"_row": ids, "_n": (x @ x.T >= cosine).sum(1).astype(np.int64)})
-        near = x[first] @ x[~first].T >= cosine
+        component = group["_component"].to_numpy().copy()
+        blocks, first = np.unique(own, return_index=True)
+        places = {int(b): np.flatnonzero(own == b) for b in blocks}
+        found, links = np.zeros(len(ids), dtype=np.int64), []
+        for i, b in zip(first, blocks):
+            for other in group["_others"][int(i)].as_py():
+                mine, theirs = places[int(b)], places[other]
+                near = x[mine] @ x[theirs].T >= cosine
+                found[mine] += near.sum(1)
+                if other != b:
+                    found[theirs] += near.sum(0)
+                _unite(near, mine, theirs, component, links)
+        a, b = zip(*links) if links else ((), ())
+        none = [None] * len(links)
         return pa.table({
-            "_row": np.concatenate([ids[first], ids[~first]]),
-            "_n": np.concatenate([near.sum(1), near.sum(0)]).astype(np.int64),
+            "_row": pa.array([*ids.tolist(), *none], pa.int64()), "_n": pa.array([*found.tolist(), *none], pa.int64()),
+            "a": pa.array([*[None] * len(ids), *a], pa.int64()), "b": pa.array([*[None] * len(ids), *b], pa.int64()),
         })
 
-    compared = dealt.groupBy("_component", "_x", "_y").applyInArrow(count, "_row bigint, _n bigint")
+    compared = dealt.groupBy(*tiles).applyInArrow(count, "_row bigint, _n bigint, a bigint, b bigint")
+    compared = materialize(compared, "compared")
     # every row has met itself once
-    return counted.unionByName(compared).groupBy("_row").agg((F.sum("_n") - 1).alias("n_links"))
+    counts = counted.unionByName(compared.where("_row is not null").select("_row", "_n"))
+    counts = counts.groupBy("_row").agg((F.sum("_n") - 1).alias("n_links"))
+    return counts, compared.where("_row is null").select("a", "b").unionByName(inside).unionByName(across)
 
 
 def near_vectors(
@@ -207,16 +252,20 @@ def near_vectors(
     hashed = materialize(with_hashes(rows, passes, seed), "hashes")
     found = components(window_links(rows, hashed, cosine, window)).toDF("_row", "_component")
     found = materialize(found, "components")
-    sizes = found.groupBy("_component").agg(F.count(F.lit(1)).alias("_size"))
-    first = with_dense_index(hashed.where("_pass = 0").select("_dim", "_label", "_hash", "_row"), ["_dim", "_label", "_hash", "_row"], "_at")
-    members = found.join(sizes, "_component").join(rows.select("_row", "_v"), "_row").join(first.select("_row", "_at"), "_row")
-    linked = exact_links(members, cosine, block)
+    large = found.groupBy("_component").agg(F.count(F.lit(1)).alias("_size")).where(F.col("_size") > block)
+    large = large.select("_component", F.col("_component").alias("_cut"))
+    known = found.join(large, "_component", "left")
+    first = hashed.where("_pass = 0").drop("_pass").join(known, "_row", "left")
+    first = first.withColumns({"_component": F.coalesce("_component", "_row"), "_cut": F.coalesce("_cut", F.lit(-1).cast("bigint"))})
+    first = materialize(with_dense_index(first, ["_dim", "_label", "_cut", "_hash", "_row"], "_at"), "first-pass")
+    members = first.drop("_hash").join(rows.select("_row", "_v"), "_row")
+    counts, links = exact_links(members, cosine, block)
+    united = materialize(components(links), "united").toDF("_component", "_united")
     # the component's name is its smallest id; rows are numbered by id
-    names = rows.select(F.col("_row").alias("_component"), F.col("_id").alias("component_id"))
-    known = found.join(linked, "_row").join(names, "_component").select("_row", "n_links", "component_id")
-    done = rows.select("_row", "_id").join(known, "_row", "left").select(
-        F.col("_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "_id").alias("component_id")
-    )
+    names = rows.select(F.col("_row").alias("_united"), F.col("_id").alias("component_id"))
+    whole = first.select("_row", "_component").join(united, "_component", "left")
+    whole = whole.withColumn("_united", F.coalesce("_united", "_component")).join(names, "_united").join(counts, "_row")
+    done = rows.select("_row", "_id").join(whole, "_row").select("_id", "n_links", "component_id")
     kind = vectors.schema[id_col].dataType
     x = F.col(vector_col).cast("array<double>")
     able = F.coalesce(
