@@ -103,3 +103,21 @@ def test_hot_groups_and_odd_rows(spark, monkeypatch):
     ids = sorted((r.doc_id for r in kept.collect()), key=str)
     assert ids == sorted([None, *[i for i, (c, _) in got.items() if i == c]], key=str)
     assert minhash.near_documents(df.limit(0)).collect() == [] and minhash.one_of_each(df.limit(0)).collect() == []
+
+
+def test_failed_neighbours_do_not_hide_a_near_one(spark, monkeypatch):
+    """Nearest by bands, but failing, documents take all places of a crowded bucket; the near pair is found all the same."""
+    real = minhash.bucket_pairs
+    # what the bucket proposes at first is nothing at all if it is crowded
+    monkeypatch.setattr(minhash, "bucket_pairs", lambda short: real(short) if len(short) <= minhash.SMALL_BUCKET else [])
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(200)]
+    docs = []
+    for i in range(60):
+        words = base[:]
+        words[rng.randrange(200)] = f"x{i}"
+        docs.append((i, " ".join(words)))
+    monkeypatch.setattr(minhash, "BUCKET", 16)
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = {r.doc_id: r.class_id for r in minhash.near_documents(df).collect()}
+    assert got == brute_classes(docs) == dict.fromkeys(range(60), 0)

@@ -12,6 +12,10 @@ list of all its pairs: small ones do, larger ones give a spanning tree of
 their most alike documents and each document's nearest few, estimated from
 the bands. Buckets over a bound are dealt into parts by a hash of the
 document, and some of their documents go to all parts and tie them together.
+What this leaves out is made up for once the classes are known: all pairs of a
+larger bucket that agree in two bands and lie in different classes are verified
+too, where they meet. So no candidate is lost, and a bucket that is one class
+costs nothing more.
 
 Candidates are verified by aligning their k-mer sequences. As labels do not
 repeat, the longest common subsequence is the longest increasing run of
@@ -204,11 +208,16 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return by_rows(narrow, f"_id {kind}, _words binary, _keys array<bigint>, _short binary", run)
 
 
-def candidate_pairs(firsts: DataFrame) -> DataFrame:
+def crowded_buckets(firsts: DataFrame) -> DataFrame:
+    """``(_key, _n)`` of the buckets that are too large for ``bucket_pairs`` to give all their pairs."""
+    counted = firsts.select(F.explode("_keys").alias("_key")).groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
+    return counted.where(F.col("_n") > min(SMALL_BUCKET, BUCKET))
+
+
+def candidate_pairs(firsts: DataFrame, crowded: DataFrame) -> DataFrame:
     """``(a, b)`` with a < b, of the sketches of different texts."""
     banded = firsts.select("_first", "_short", F.explode("_keys").alias("_key"))
-    counted = banded.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > BUCKET)
-    hot = materialize(counted, "hot-buckets")
+    hot = crowded.where(F.col("_n") > BUCKET)
     split = banded.join(hot, "_key", "left")
     parts = F.ceil(F.col("_n") / BUCKET).cast("int")
     own = F.pmod(F.xxhash64("_first", "_key"), parts).cast("int")
@@ -258,11 +267,11 @@ def _mark(key: Column) -> Column:
     return F.pmod(F.xxhash64(key.cast("bigint")), F.lit(MARKS))
 
 
-def verified_links(docs: DataFrame, pairs: DataFrame, similarity: float, id_col: str, text_col: str) -> DataFrame:
-    """The pairs whose aligned share is large enough, from the texts of the documents in them."""
-    # Which texts to align is told from a hash of their id, of which there are at most MARKS, so that
+def labelled_texts(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(_id, _seq)``: the labelled k-mers, 32 bits of each, of the documents whose ``_id`` is among ``ids``, and of few others."""
+    # Which texts to read is told from a hash of their id, of which there are at most MARKS, so that
     # no text is shuffled; the few whose hash agrees by chance are aligned with nothing.
-    marks = pairs.select(F.explode(F.array("a", "b")).alias("_id")).select(_mark(F.col("_id")).alias("_mark")).distinct()
+    marks = ids.select(_mark(F.col("_id")).alias("_mark")).distinct()
     texts = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).cast("string").cast("binary").alias("_text"))
     texts = texts.withColumn("_mark", _mark(F.col("_id"))).join(F.broadcast(marks), "_mark", "left_semi").select("_id", "_text")
 
@@ -273,7 +282,12 @@ def verified_links(docs: DataFrame, pairs: DataFrame, similarity: float, id_col:
             yield row["_id"], (found >> np.uint64(32)).astype("<u4").tobytes()
 
     # an id that several rows have stands for each of their texts
-    sequences = materialize(by_rows(texts, "_id bigint, _seq binary", labelled), "sequences")
+    return materialize(by_rows(texts, "_id bigint, _seq binary", labelled), "sequences")
+
+
+def verified_links(docs: DataFrame, pairs: DataFrame, similarity: float, id_col: str, text_col: str) -> DataFrame:
+    """The pairs whose aligned share is large enough, from the texts of the documents in them."""
+    sequences = labelled_texts(docs, pairs.select(F.explode(F.array("a", "b")).alias("_id")), id_col, text_col)
     left = pairs.join(sequences.toDF("a", "_x"), "a")
     both = left.join(sequences.toDF("b", "_y"), "b")
 
@@ -286,6 +300,78 @@ def verified_links(docs: DataFrame, pairs: DataFrame, similarity: float, id_col:
     return by_rows(both.select("a", "b", "_x", "_y"), "a bigint, b bigint", run)
 
 
+def links_apart(
+    ids: np.ndarray, classes: np.ndarray, keys: np.ndarray, roles: np.ndarray, band: int, texts: list[np.ndarray], similarity: float
+) -> list[tuple[int, int]]:
+    """Links that unite classes, of the candidates that meet in a band's bucket.
+
+    Pairs that agree in an earlier band are left to that band's bucket. If
+    there are several roles, only pairs of different roles are compared.
+    """
+    agree, earlier = np.zeros((len(ids), len(ids)), dtype=np.int8), None
+    for at, key in enumerate(keys.T):
+        if at == band:
+            earlier = agree > 0
+        agree += key[:, None] == key[None, :]
+    meet = np.triu((agree >= LEAST_BANDS) & ~earlier, 1)
+    if (roles != roles[0]).any():
+        meet &= roles[:, None] != roles[None, :]
+    classes, links = classes.copy(), []
+    for i in np.flatnonzero((meet & (classes[:, None] != classes[None, :])).any(1)):
+        js = np.flatnonzero(meet[i])
+        for j in js[np.argsort(-agree[i, js], kind="stable")]:
+            if classes[i] != classes[j] and aligned_share(texts[i], texts[j], similarity):
+                links.append((int(ids[i]), int(ids[j])))
+                classes[classes == classes[j]] = classes[i]
+    return links
+
+
+def further_links(
+    docs: DataFrame, firsts: DataFrame, crowded: DataFrame, classes: DataFrame, similarity: float, id_col: str, text_col: str
+) -> DataFrame:
+    """``(a, b)``: links that unite classes, from all candidates of crowded buckets that are in different classes.
+
+    The largest class of a bucket is not compared with itself. The others are
+    dealt into parts, which meet each other and the parts of the largest, so
+    that no task gets a whole bucket. Tasks give links, never pairs.
+    """
+    marks = materialize(crowded.select(_mark(F.col("_key")).alias("_mark")).distinct(), "crowded-marks")
+    banded = firsts.select("_first", F.posexplode("_keys").alias("_band", "_key"))
+    banded = banded.withColumn("_mark", _mark(F.col("_key"))).join(F.broadcast(marks), "_mark", "left_semi").drop("_mark")
+    placed = banded.join(crowded.select("_key"), "_key").join(classes.toDF("_first", "_class"), "_first", "left")
+    placed = materialize(placed.withColumn("_class", F.coalesce("_class", "_first")), "crowded")
+    sizes = placed.groupBy("_key", "_class").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = sizes.groupBy("_key").agg(
+        F.max_by("_class", F.struct("_n", "_class")).alias("_main"), F.max("_n").alias("_most"), (F.sum("_n") - F.max("_n")).alias("_rest")
+    )
+    mains, rests = (F.ceil(F.col(c) / BUCKET).cast("int") for c in ("_most", "_rest"))
+    several = sizes.where("_rest > 0").select("_key", "_main", mains.alias("_mains"), rests.alias("_rests"))
+    rows = placed.join(materialize(several, "crowded-several"), "_key").withColumn("_is_main", F.col("_class") == F.col("_main"))
+    own = F.pmod(F.xxhash64("_first", "_key"), F.when(F.col("_is_main"), F.col("_mains")).otherwise(F.col("_rests")))
+    rows = rows.withColumn("_own", own.cast("int"))
+    each_rest, each_main = F.sequence(F.lit(0), F.col("_rests") - 1), F.sequence(F.lit(0), F.col("_mains") - 1)
+    # parts of the rest with each other, then with parts of the largest class
+    tile = lambda kind, i, j, role: F.struct(F.xxhash64(F.col("_key"), F.lit(kind), i, j).alias("_tile"), role.alias("_role"))
+    with_rest = F.transform(each_rest, lambda i: tile(0, F.least(i, F.col("_own")), F.greatest(i, F.col("_own")), F.col("_own")))
+    with_main = F.transform(each_main, lambda j: tile(1, F.col("_own"), j, F.lit(-1)))
+    from_main = F.transform(each_rest, lambda i: tile(1, i, F.col("_own"), F.lit(-2)))
+    tiles = F.when(F.col("_is_main"), from_main).otherwise(F.concat(with_rest, with_main))
+    dealt = materialize(rows.select("_first", "_class", "_band", F.explode(tiles).alias("_t")).select("_first", "_class", "_band", "_t.*"), "tiles")
+    ids = dealt.select(F.col("_first").alias("_id")).distinct()
+    sequences = labelled_texts(docs, ids, id_col, text_col).withColumnRenamed("_id", "_first")
+    full = dealt.join(firsts.select("_first", "_keys"), "_first").join(sequences, "_first")
+
+    def compare(group: pa.Table) -> pa.Table:
+        keys = group["_keys"].combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+        texts = [np.frombuffer(x, "<u4") for x in group["_seq"].to_pylist()]
+        links = links_apart(group["_first"].to_numpy(), group["_class"].to_numpy(), keys, group["_role"].to_numpy(),
+                            group["_band"][0].as_py(), texts, similarity)
+        a, b = zip(*links) if links else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return full.groupBy("_tile").applyInArrow(compare, "a bigint, b bigint")
+
+
 def near_documents(
     docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -304,12 +390,16 @@ def near_documents(
         F.min("_id").alias("_first"), F.first("_keys").alias("_keys"), F.first("_short").alias("_short")
     )
     firsts = materialize(firsts, "first-of-words")
-    pairs = materialize(candidate_pairs(firsts), "pairs")
+    crowded = materialize(crowded_buckets(firsts), "crowded-buckets")
+    pairs = materialize(candidate_pairs(firsts, crowded), "pairs")
     links = verified_links(docs, pairs, similarity, id_col, text_col)
     same = known.select("_id", "_words").join(firsts.select("_words", "_first"), "_words").select("_id", "_first")
     # copies hang on their first; only rows that repeat an id add links between the firsts
     repeated = same.distinct().groupBy("_id").agg(F.min("_first").alias("a"), F.max("_first").alias("b")).where("a <> b")
     classes = materialize(components(links.unionByName(repeated.select("a", "b"))), "classes")
+    links = further_links(docs, firsts, crowded, classes, similarity, id_col, text_col)
+    # a class is linked to its members, so that it is one with all that they are linked to now
+    classes = materialize(components(links.unionByName(classes.toDF("a", "b"))), "all-classes")
     named = same.distinct().join(classes.toDF("_first", "_class"), "_first", "left")
     named = named.select("_id", F.coalesce("_class", "_first").alias("class_id")).groupBy("_id").agg(F.min("class_id").alias("class_id"))
     out = sketched.select(F.col("_id").cast("bigint").alias("_id")).join(named, "_id", "left")
