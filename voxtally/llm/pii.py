@@ -6,10 +6,11 @@ numbers without a plus sign, numbers that the base patterns read as one with
 their neighbours). Each candidate has format and context features,
 all yes or no. Candidates of the base patterns are labelled by their own
 check (range, checksum, number of digits), which is no feature; boosted trees
-of depth two learn it from the features. Each kind's threshold is the lowest
-score above which, on the held-out half of the documents, candidates pass the
-check almost always. Valid base spans always stay; other candidates stay if
-they pass their kind's check, from its threshold on.
+of depth two learn it from the features. Base spans of addresses are always
+valid; theirs, and those written out, are labelled by a plausible local part
+and ending. Each kind's threshold is the lowest score above which, on the
+held-out half of the documents, candidates pass the check almost always. Valid base spans always stay; other candidates stay if they pass their kind's
+check, from its threshold on.
 
 Columns and aggregates only. What the trees learn from is one row per pattern
 of features, kind and half, at most ``8 * 2**13`` rows whatever the corpus.
@@ -67,6 +68,8 @@ _WORDS = {
     CARD: "card|visa|credit|pay|debit",
     PHONE: "phone|tel|call|mobile|fax",
 }
+#: Endings of addresses besides those of two letters.
+_ENDINGS = "com|org|net|edu|gov|mil|int|info|biz|name|pro|dev|app|xyz|online|site|shop|store|cloud|tech|email|example|test|invalid"
 _AGAINST = "version|release|order|isbn|invoice|section|serial"
 N_FEATURES = 13
 
@@ -119,6 +122,14 @@ def _valid(span: Column) -> Column:
     )
 
 
+def _passes(span: Column) -> Column:
+    """The check that candidates are labelled by; unlike validity it can fail for addresses."""
+    value = F.lower(F.translate(span["value"], _DOT, "."))
+    local = F.regexp_extract(value, r"^[^@ (\[{]*", 0)
+    plausible = local.rlike("^[a-z0-9]") & ~local.rlike(r"[.%+-]$|\.\.") & value.rlike(rf"(?:[a-z0-9]\.|[)\]}}] ?)(?:{_ENDINGS}|[a-z]{{2}})$")
+    return F.when(span["kind"] == EMAIL, plausible).otherwise(_valid(span))
+
+
 def _bits(text: Column, span: Column) -> Column:
     """Format and context features as bits of one integer."""
     before = F.lower(F.substring(text, F.greatest(F.lit(1), span["start"] + 1 - CONTEXT), F.least(F.lit(CONTEXT), span["start"])))
@@ -175,8 +186,8 @@ def with_candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
     def described(spans: Column, checked: bool) -> Column:
         return F.transform(spans, lambda s: F.struct(
             s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"),
-            (_valid(s) if checked else F.lit(False)).alias("base"), F.lit(checked).alias("checked"),
-            _valid(s).alias("ok"), _bits(t, s).alias("bits")))
+            (_valid(s) if checked else F.lit(False)).alias("base"), (F.lit(True) if checked else s["kind"] == EMAIL).alias("checked"),
+            _passes(s).alias("ok"), _bits(t, s).alias("bits")))
 
     found = F.concat(described(F.col("_base"), True), described(F.col("_loose"), False))
     some = (F.size("_base") > 0) | (F.size("_loose") > 0)
@@ -258,7 +269,7 @@ def fit(candidates: DataFrame, id_col: str = "doc_id", precision: float = PRECIS
     """
     each = candidates.select(held_out(F.col(id_col), 2, 0).alias("half"), F.explode("_candidates").alias("c")).where("c.checked")
     counted = each.groupBy("half", "c.kind", "c.bits").agg(
-        F.sum(F.col("c.base").cast("bigint")).alias("pos"), F.count(F.lit(1)).alias("n")
+        F.sum(F.col("c.ok").cast("bigint")).alias("pos"), F.count(F.lit(1)).alias("n")
     ).collect()
     counted.sort(key=lambda r: (r["half"], r["kind"], r["bits"]))
     learn = [r for r in counted if not r["half"]]
@@ -287,7 +298,7 @@ def fit(candidates: DataFrame, id_col: str = "doc_id", precision: float = PRECIS
             last = i + 1 == len(held) or margins[kind, held[i + 1]["bits"]] < score
             if last and total >= SUPPORT and passed >= precision * total:
                 best = score
-        thresholds.append(best if any(r["pos"] < r["n"] for r in of_kind) else math.inf)
+        thresholds.append(best if total >= SUPPORT and any(r["pos"] < r["n"] for r in of_kind) else math.inf)
     return Trees(trees, start, tuple(thresholds))
 
 
@@ -308,7 +319,7 @@ def with_spans(candidates: DataFrame, trees: Trees) -> DataFrame:
             for k in able:
                 limit = F.when(s["kind"] == k, trees.thresholds[k]).otherwise(limit)
             covered = F.exists("_candidates", lambda v: (
-                v["ok"] & (v["kind"] == s["kind"]) & (v["start"] <= s["start"]) & (s["end"] <= v["end"])
+                (v["ok"] | v["base"]) & (v["kind"] == s["kind"]) & (v["start"] <= s["start"]) & (s["end"] <= v["end"])
                 & (v["base"] | (v["end"] - v["start"] > s["end"] - s["start"]))))
             return s["base"] | (s["ok"] & (trees.score(s["bits"], s["kind"]) >= limit) & ~covered)
 
