@@ -9,7 +9,9 @@ check (range, checksum, number of digits), which is no feature; boosted trees
 of depth two learn it from the features. Base spans of addresses are always
 valid; theirs, and those written out, are labelled by a plausible local part
 and ending. Each kind's threshold is the lowest score above which, on the
-held-out half of the documents, candidates pass the check almost always. Valid base spans always stay; other candidates stay if they pass their kind's
+held-out half of the documents, candidates pass the check almost always. Where
+there are too few to tell, or none that fails, it is the kind's prior one.
+Valid base spans always stay; other candidates stay if they pass their kind's
 check, from its threshold on.
 
 Columns and aggregates only. What the trees learn from is one row per pattern
@@ -36,6 +38,8 @@ RATE = 0.3
 PRECISION = 0.99
 #: At least so many held-out candidates must lie above a threshold.
 SUPPORT = 50
+#: Thresholds of the kinds with fewer held-out candidates, or without a failing one: from 0 on, so that the check alone decides.
+PRIOR = (0.0, 0.0, 0.0, 0.0)
 CONTEXT = 24
 
 # Signs that stand for a separator inside an address or a number, so that runs are plain classes.
@@ -263,9 +267,10 @@ def fit(candidates: DataFrame, id_col: str = "doc_id", precision: float = PRECIS
     """Trees from one half of the documents, thresholds from the other.
 
     Counts of feature patterns are all that leaves Spark: at most two halves
-    of ``4 * 2**13`` patterns. A kind without enough support above any
-    threshold, or without a single failed check to learn from, keeps base
-    spans only.
+    of ``4 * 2**13`` patterns. A kind with less held-out candidates than the
+    support, or without a single failed check to learn from, has its prior
+    threshold. One that has both, but no threshold that is precise enough,
+    keeps base spans only.
     """
     each = candidates.select(held_out(F.col(id_col), 2, 0).alias("half"), F.explode("_candidates").alias("c")).where("c.checked")
     counted = each.groupBy("half", "c.kind", "c.bits").agg(
@@ -274,7 +279,7 @@ def fit(candidates: DataFrame, id_col: str = "doc_id", precision: float = PRECIS
     counted.sort(key=lambda r: (r["half"], r["kind"], r["bits"]))
     learn = [r for r in counted if not r["half"]]
     if not learn:
-        return Trees((), 0.0, (math.inf,) * len(KINDS))
+        return Trees((), 0.0, PRIOR)
     x = _matrix([(r["bits"], r["kind"]) for r in learn])
     pos = np.array([r["pos"] for r in learn], dtype=float)
     neg = np.array([r["n"] - r["pos"] for r in learn], dtype=float)
@@ -298,7 +303,7 @@ def fit(candidates: DataFrame, id_col: str = "doc_id", precision: float = PRECIS
             last = i + 1 == len(held) or margins[kind, held[i + 1]["bits"]] < score
             if last and total >= SUPPORT and passed >= precision * total:
                 best = score
-        thresholds.append(best if total >= SUPPORT and any(r["pos"] < r["n"] for r in of_kind) else math.inf)
+        thresholds.append(best if total >= SUPPORT and any(r["pos"] < r["n"] for r in of_kind) else PRIOR[kind])
     return Trees(trees, start, tuple(thresholds))
 
 
