@@ -56,6 +56,24 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
+OP11 = """
+WITH d AS (
+  SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents
+), l AS (
+  SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM d
+), k AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l
+), f AS (
+  SELECT key, min(doc_id) AS first FROM k WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) >= 2
+), m AS (
+  SELECT doc_id, line, pos, first IS NOT NULL AND doc_id <> first AS gone FROM k LEFT JOIN f USING (key)
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM m GROUP BY doc_id
+"""
+
 
 def _op2(sweeps: int, budget_steps: int, budget: float, powers: dict[str, float]) -> str:
     """The sweeps as one step after another."""
@@ -110,4 +128,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_mixing": _op2(mixing.SWEEPS, mixing.BUDGET_STEPS, mixing.BUDGET, mixing.TARGETS),
         "op6_topk": OP6,
         "op7_warc": OP7,
+        "op11_line_dedup": OP11,
     }
