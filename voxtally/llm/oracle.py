@@ -74,6 +74,48 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
 FROM m GROUP BY doc_id
 """
 
+OP12 = """
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+), s AS (
+  SELECT conv_id, count(*) AS n, conv_id - conv_id % 5 AS base,
+    (4294967295 - list_reduce(list_concat([4294967295::UBIGINT], flatten(list_transform(
+      string_split(conv_id::VARCHAR, ''), lambda c: [ascii(c)::UBIGINT, 999, 999, 999, 999, 999, 999, 999, 999]))),
+      lambda a, x: CASE WHEN x < 999 THEN xor(a, x)
+        WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384::UBIGINT) ELSE a >> 1 END))::BIGINT % 9 AS h
+  FROM t GROUP BY conv_id
+), k AS (
+  SELECT s.*, least(s.h, coalesce(b.n, 0)) AS n_head FROM s LEFT JOIN s b ON b.conv_id = s.base
+), r AS (
+  SELECT k.conv_id, pos, role, text FROM k JOIN t ON t.conv_id = k.base AND pos <= n_head
+  UNION ALL
+  SELECT k.conv_id, pos - h + n_head, role, text FROM k JOIN t ON t.conv_id = k.conv_id AND pos > h
+), g AS (
+  SELECT conv_id, list([role, text] ORDER BY pos) AS turns FROM r GROUP BY conv_id
+), p AS MATERIALIZED (
+  SELECT conv_id, 0 AS depth, '' AS key, NULL AS up, 0 AS bytes, n_head + greatest(n - h, 0) AS last FROM k
+  UNION ALL
+  SELECT conv_id, d, md5(to_json(turns[1:d])), CASE WHEN d = 1 THEN '' ELSE md5(to_json(turns[1:d - 1])) END,
+    strlen(turns[d][2]), len(turns)
+  FROM (SELECT conv_id, turns, unnest(range(1, len(turns) + 1)) AS d FROM g)
+), n AS MATERIALIZED (
+  SELECT key, depth, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (depth = last), '')) AS ends_sha256
+  FROM p GROUP BY key, depth
+), c AS MATERIALIZED (
+  SELECT n.*, parent.conv_id AS parent_conv_id, coalesce(n_children, 0) AS n_children
+  FROM n LEFT JOIN n parent ON parent.key = n.up
+  LEFT JOIN (SELECT up, count(*) AS n_children FROM n WHERE up IS NOT NULL GROUP BY up) x ON x.up = n.key
+), b AS (
+  SELECT p.key, count(*) FILTER (c.n_children = 0) AS n_leaves, sum((c.n_convs - 1) * c.bytes)::BIGINT AS saved_tokens
+  FROM c JOIN p ON p.conv_id = c.conv_id AND p.depth <= c.depth GROUP BY p.key
+)
+SELECT conv_id, depth::BIGINT AS depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256
+FROM c JOIN b USING (key)
+"""
+
 
 def _op2(sweeps: int, budget_steps: int, budget: float, powers: dict[str, float]) -> str:
     """The sweeps as one step after another."""
@@ -129,4 +171,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_topk": OP6,
         "op7_warc": OP7,
         "op11_line_dedup": OP11,
+        "op12_prefix_trie": OP12,
     }

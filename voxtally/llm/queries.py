@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from voxtally.llm import bpe, langid, linededup, minhash, mixing, packing, pii, topk, toxicity, vectors, warc
+from voxtally.llm import bpe, langid, linededup, minhash, mixing, packing, pii, topk, toxicity, trie, vectors, warc
 from voxtally.llm.common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -101,3 +101,9 @@ def op11_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     kept = linededup.with_kept_text(docs, linededup.keep_bitmaps(docs))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op12_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
+    turns = trie.numbered_turns(table(spark, sf, "conversations"))
+    return trie.prefix_trie(*trie.with_borrowed_heads(turns))
