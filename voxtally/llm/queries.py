@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from voxtally.llm import bpe, langid, linededup, minhash, mixing, packing, pii, topk, toxicity, trie, vectors, warc
+from voxtally.llm import bpe, langid, linededup, minhash, mixing, negatives, packing, pii, topk, toxicity, trie, vectors, warc
 from voxtally.llm.common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -107,3 +107,10 @@ def op11_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
 def op12_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
     turns = trie.numbered_turns(table(spark, sf, "conversations"))
     return trie.prefix_trie(*trie.with_borrowed_heads(turns))
+
+
+@query
+def op13_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = table(spark, sf, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(vectors.withColumn("label", label), F.col("vec_id") % 100 == 0)
