@@ -241,6 +241,14 @@ def in_batches(rows: Iterator[dict], schema: pa.Schema, max_bytes: int = 4 * MIB
         yield to_batch(held, schema)
 
 
+def stored_voxels(path: str, head: Header, voxels: np.ndarray) -> np.ndarray:
+    """The voxels in the file's type, cast without loss."""
+    stored = np.ascontiguousarray(voxels, head.file_dtype)
+    if stored.dtype != voxels.dtype and not np.array_equal(stored, voxels, equal_nan=stored.dtype.kind == "f"):
+        raise ValueError(f"{path}: voxels do not fit {stored.dtype}")
+    return stored
+
+
 class ImageAssembler:
     """Puts blocks that arrive in order into image files of one folder.
 
@@ -270,9 +278,7 @@ class ImageAssembler:
         elif path != self.path or block != self.next_block:
             raise ValueError(f"{path}: block {block} of {n_blocks} came out of order")
         head = parse_header(header)
-        stored = np.ascontiguousarray(voxels, head.file_dtype)
-        if stored.dtype != voxels.dtype and not np.array_equal(stored, voxels, equal_nan=stored.dtype.kind == "f"):
-            raise ValueError(f"{path}: voxels do not fit {stored.dtype}")
+        stored = stored_voxels(path, head, voxels)
         self.stream.write(stored.tobytes())
         self.next_block = block + 1
         self.voxels += stored.size
