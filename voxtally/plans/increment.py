@@ -2,8 +2,10 @@
 
 A chunk of ordinary size is read, processed and saved by one task, and its
 voxels are not shuffled; the slabs of a very large one are shared by several.
-In memory, all steps are one pass. With ``materialize``, each step reads the
-files of the step before and writes its own.
+In memory, all steps are one pass. With ``materialize``, one task takes a file
+through all steps and saves what each of them gives; where the time of every
+read is asked for as well, each step is a job that reads the files of the one
+before.
 """
 
 from __future__ import annotations
@@ -21,12 +23,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from voxtally.functions import fixed
 from voxtally.functions.arrays import add_steps
-from voxtally.functions.naming import basename, final_name, intermediate_name
+from voxtally.functions.naming import basename, final_name, intermediate_name, join_path
 from voxtally.operators.chunks import Steps, increment_chunks
 from voxtally.operators.events import merge, render
 from voxtally.session import materialize as write_once, qualified
-from voxtally.sources.files import copy_files, image_files, read_files, saved_names, write_images
+from voxtally.sources.files import (
+    copy_files, dealt_by_size, image_files, image_type, read_files, saved_names, write_images,
+)
 from voxtally.sources.nifti import MIB, ImageAssembler, filesystem, read_blocks
+from voxtally.sources.slabs import write_slabs
 
 #: Images above this size are read and processed by several tasks.
 LARGE_FILE = 128 * MIB
@@ -34,10 +39,13 @@ LARGE_FILE = 128 * MIB
 
 @dataclass(frozen=True)
 class Outcome:
-    """``manifest``: ``(out_path, status)``; ``events`` when asked for."""
+    """``manifest``: ``(out_path, status)``; ``events`` when asked for;
+    ``steps``: ``(iteration, out_path, status)`` of what lies in between, when
+    that is kept."""
 
     manifest: DataFrame
     events: DataFrame | None = None
+    steps: DataFrame | None = None
 
 
 def _save(chunks: DataFrame, name: Column, folder: str, in_order: bool) -> DataFrame:
@@ -53,13 +61,76 @@ def _checked(manifest: DataFrame, inputs: DataFrame) -> DataFrame:
     return manifest
 
 
+def _distinct_names(files: DataFrame, name: Column) -> None:
+    """Two inputs with one name would overwrite each other; found before anything is written."""
+    twice = files.groupBy(name.alias("name")).count().where("count > 1").first()
+    if twice:
+        raise ValueError(f"two images are named {twice['name']}")
+
+
 def _in_slabs(
     files: DataFrame, step: Callable[[DataFrame], DataFrame], name: Column, folder: str
 ) -> DataFrame:
-    """Read, process and save images whose slabs several tasks share; the
-    slabs are brought together by name, in order, when they are saved."""
+    """Read, process and save images whose slabs several tasks share; each
+    task writes its own slabs, so no voxels are shuffled."""
     chunks = read_files(files, split_files=True, max_partition_bytes=LARGE_FILE)
-    return _save(step(chunks), name, folder, in_order=False)
+    columns = ("header", "shape", "block", "n_blocks", "voxels")
+    return write_slabs(step(chunks).select(name.alias("path"), *columns), folder)
+
+
+def _every_step(
+    files: DataFrame, name: Column, final: Column, work: str, output: str, steps: int, overflow: str
+) -> DataFrame:
+    """``(name, iteration)`` of what is saved: each file after each step under
+    ``<work>/iteration-<i>``, and in the end under its final name (iteration
+    null). A file stays in one task; nothing is read again."""
+    folders = [qualified(files.sparkSession, f"{work}/iteration-{i}") for i in range(steps)]
+    target = qualified(files.sparkSession, output)
+
+    def job(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        outs = [ImageAssembler(f) for f in [*folders, target]]
+        for pdf in batches:
+            rows: list[tuple[str, int | None]] = []
+            for path, inner_name, last_name in zip(pdf["path"], pdf["name"], pdf["final"]):
+                fs, inner = filesystem(path)
+                with fs.open_input_file(inner) as file:
+                    blocks = list(read_blocks(file, path, file.size(), 64 * MIB))
+                for i, out in enumerate(outs):
+                    try:
+                        for block in blocks:
+                            if i < steps:
+                                block["voxels"] = add_steps(block["voxels"], block["dtype"], 1, overflow)
+                            to = inner_name if i < steps else last_name
+                            out.add(to, block["header"], block["block"], block["n_blocks"], block["voxels"])
+                        out.finish()
+                    finally:
+                        out.discard()
+                    rows.append((last_name if i == steps else inner_name, None if i == steps else i))
+            yield pd.DataFrame(rows, columns=["name", "iteration"]).astype({"iteration": "Int32"})
+
+    dealt = _spread(files.select("path", "length", name.alias("name"), final.alias("final")))
+    return write_once(dealt.mapInPandas(job, "name string, iteration int"), "steps")
+
+
+def _large_steps(
+    files: DataFrame, name: Column, final: Column, work: str, output: str, steps: int, overflow: str
+) -> DataFrame:
+    """As ``_every_step``, for images whose slabs several tasks share: a job for
+    each step, from the files that the one before wrote."""
+    spark, out = files.sparkSession, None
+    finals = write_once(files.select(name.alias("_base"), final.alias("_final")), "finals")
+    for i in range(steps + 1):
+        last = i == steps
+        folder = output if last else f"{work}/iteration-{i}"
+        named = files.withColumn("_name", name)
+        to = named.join(finals, F.col("_name") == F.col("_base")).select("path", F.col("_final" if last else "_name").alias("_to"))
+        step = (lambda c: c) if last else (lambda c: increment_chunks(c, 1, overflow=overflow))
+        saved = _in_slabs(files, lambda c: step(c).join(to, "path"), F.col("_to"), folder)
+        rows = saved.select(basename(F.col("out_path")).alias("name"), F.lit(None if last else i).cast("int").alias("iteration"))
+        out = rows if out is None else out.unionByName(rows)
+        if not last:
+            files = files.select(join_path(F.lit(qualified(spark, folder)), name).alias("path"), "length")
+    return out
 
 
 def _timed_job(
@@ -115,9 +186,8 @@ def _timed_job(
 
 
 def _spread(files: DataFrame) -> DataFrame:
-    """Only names move, in order, the same number to each of the tasks."""
-    tasks = min(files.count(), files.sparkSession.sparkContext.defaultParallelism * 3)
-    return files.repartitionByRange(max(1, tasks), "path")
+    """Only names move, in order, about as many bytes to each of the tasks."""
+    return dealt_by_size(files, files.sparkSession.sparkContext.defaultParallelism * 3)
 
 
 def _incremented(
@@ -132,6 +202,7 @@ def _incremented(
     """
     large = F.col("length") > LARGE_FILE
     small = files if timed else files.where(~large)
+    _distinct_names(files, name)
     named = _spread(small).select("path", name.alias("name"))
     events = write_once(_timed_job(named, folder, steps, phases, started, overflow), "events")
     saved = events.where(F.col("name") == phases[2]).select(F.col("filename").alias("name"))
@@ -166,16 +237,32 @@ def increment_pipeline(
         raise ValueError("at least one iteration is needed")
     started = time.time()
     run = run or uuid.uuid4().hex
-    inputs = image_files(spark, input)
+    inputs = write_once(image_files(spark, input), "listing")
     final = final_name(F.col("path"), iterations)
     tasks: list[DataFrame] = []
 
+    work = f"{(work_dir or output).rstrip('/')}/app-{run}"
+    saved_steps = None
+
+    if materialize and not events:
+        inner = intermediate_name(F.col("path"))
+        large = F.col("length") > LARGE_FILE
+        _distinct_names(inputs, inner)
+        done = _every_step(inputs.where(~large), inner, final_name(inner, iterations), work, output, iterations, overflow)
+        rest = inputs.where(large)
+        if not rest.isEmpty():
+            done = done.unionByName(_large_steps(rest, inner, final_name(inner, iterations), work, output, iterations, overflow))
+        status = F.lit("SUCCESS").alias("status")
+        manifest = done.where("iteration is null").select(join_path(F.lit(output.rstrip("/")), F.col("name")).alias("out_path"), status)
+        manifest = _checked(manifest, inputs)
+        folder = F.concat(F.lit(f"{work}/iteration-"), F.col("iteration").cast("string"))
+        saved_steps = done.where("iteration is not null").select("iteration", join_path(folder, F.col("name")).alias("out_path"), status)
+        return Outcome(manifest, steps=saved_steps)
     if not materialize:
         phases = (fixed.READ_IMG, fixed.INCREMENT, fixed.SAVE)
         manifest, log = _incremented(inputs, final, output, iterations, phases, started, overflow, events)
         tasks.append(log)
     else:
-        work = f"{(work_dir or output).rstrip('/')}/app-{run}"
         source = inputs
         phases = (fixed.READ_FILE, fixed.INCREMENT, fixed.WRITE_FILE)
         for i in range(iterations):
@@ -183,7 +270,7 @@ def increment_pipeline(
             name = intermediate_name(F.col("path"))
             _, log = _incremented(source, name, folder, 1, phases, started, overflow, events)
             tasks.append(log)
-            source = image_files(spark, folder)
+            source = write_once(image_files(spark, folder), "listing")
         last = _spread(source).select("path", final.alias("name"))
         copied = write_once(copy_files(last, output), "copied")
         names = copied.select(basename(F.col("out_path")).alias("name"))
@@ -233,11 +320,15 @@ def steps_pipeline(
     steps are pointwise are large images read and processed in slabs.
     ``element`` names the type of the results, by default that of the images.
     """
-    files = image_files(spark, input)
+    files = write_once(image_files(spark, input), "listing")
     name = basename(F.col("path"))
-    if not steps.whole:
-        saved = _in_slabs(files, lambda c: steps.apply(c, element=element), name, output)
-    else:
-        done = steps.apply(read_files(files, max_block_bytes=None), element=element)
-        saved = _save(done, name, output, in_order=True)
+    _distinct_names(files, name)
+    large = F.col("length") > LARGE_FILE
+    whole, rest = (files, None) if steps.whole else (files.where(~large), files.where(large))
+    dtype = image_type(files)
+    done = steps.apply(read_files(whole, dtype, max_block_bytes=None), element=element)
+    saved = _save(done, name, output, in_order=True)
+    if rest is not None and not rest.isEmpty():
+        slabs = _in_slabs(rest, lambda c: steps.apply(c, element=element), name, output)
+        saved = saved.unionByName(slabs)
     return Outcome(_checked(saved, files))

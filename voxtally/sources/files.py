@@ -6,7 +6,7 @@ import socket
 import threading
 import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 import pyarrow as pa
@@ -17,6 +17,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from voxtally.functions import fixed
 from voxtally.functions.arrays import ELEMENT_OF_DTYPE
 from voxtally.functions.naming import basename, join_path
+from voxtally.operators.assign import assign_by_size
 from voxtally.operators.ordering import with_dense_index
 from voxtally.schemas import COPIED, chunk_schema
 from voxtally.session import materialize, qualified
@@ -75,7 +76,7 @@ def image_files(spark: SparkSession, spec: str) -> DataFrame:
     return list_files(spark, parts)
 
 
-def _dtype_of(files: DataFrame) -> str:
+def image_type(files: DataFrame) -> str:
     """Voxel type of the first file by name."""
 
     def head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,20 +95,33 @@ def _dtype_of(files: DataFrame) -> str:
     return first["dtype"]
 
 
+def dealt_by_size(files: DataFrame, tasks: int, order: Sequence[str] = ("path",), size: str = "length") -> DataFrame:
+    """Rows of listed files in at most so many partitions, in order, with about as many bytes each.
+
+    Opening a file counts as ``OPEN_COST`` bytes more. No partition has more than
+    the mean by more than one file.
+    """
+    if tasks <= 1:
+        return files.coalesce(1).sortWithinPartitions(*order)
+    cost = F.coalesce(F.col(size), F.lit(0)) + OPEN_COST
+    cut = assign_by_size(files, list(order), cost, tasks, "_task")
+    return cut.repartitionById(tasks, F.col("_task")).sortWithinPartitions(*order).drop("_task")
+
+
 def read_files(
     files: DataFrame, dtype: str | None = None, *, max_block_bytes: int | None = 64 * MIB,
     max_partition_bytes: int = 128 * MIB, min_partitions: int | None = None, split_files: bool = False,
 ) -> DataFrame:
     """Chunk rows of listed images ``(path, length)``.
 
-    Only names are dealt out, in order of their paths, to as many tasks as the
-    bytes need and at least ``min_partitions`` (by default, the number of
+    Only names are dealt out, in order of their paths and by their bytes, to as
+    many tasks as the bytes need and at least ``min_partitions`` (by default, the number of
     cores). A file's blocks stay in one task, in order, unless ``split_files``
     lets several tasks share a file larger than ``max_partition_bytes``.
     ``max_block_bytes=None`` makes each image one row, whatever its size.
     """
     spark = files.sparkSession
-    schema = chunk_schema(ELEMENT_OF_DTYPE[dtype or _dtype_of(files)])
+    schema = chunk_schema(ELEMENT_OF_DTYPE[dtype or image_type(files)])
     arrow_schema = to_arrow_schema(schema)
     sums = files.agg(F.sum(F.col("length") + OPEN_COST).alias("bytes"), F.count(F.lit(1)).alias("n")).first()
     least = min(min_partitions or spark.sparkContext.defaultParallelism, sums["n"])
@@ -115,7 +129,9 @@ def read_files(
     cut = F.sequence(F.lit(0).cast("bigint"), F.greatest(F.lit(0), F.col("length") - 1), F.lit(max_partition_bytes).cast("bigint"))
     starts = cut if split_files else F.array(F.lit(0).cast("bigint"))
     pieces = files.select("path", "length", F.explode(starts).alias("first"))
-    dealt = pieces.repartitionByRange(tasks, "path", "first").sortWithinPartitions("path", "first")
+    size = F.least(F.lit(max_partition_bytes), F.col("length") - F.col("first")) if split_files else F.col("length")
+    sized = pieces.withColumn("bytes", size)
+    dealt = dealt_by_size(sized, tasks, ("path", "first"), "bytes").select("path", "length", "first")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[dict]:
