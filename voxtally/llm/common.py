@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -34,6 +34,16 @@ def held_out(key: Column, folds: int, fold: int) -> Column:
     return F.pmod(F.crc32(text.cast("binary")), F.lit(folds)) == F.lit(fold)
 
 
+def under_safe_names(docs: DataFrame, own: Sequence[str], fn: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Run ``fn``, which keeps all columns, with other names for those that it does not look at.
+
+    So whatever the caller's columns are called, none meets a name that an
+    operator uses inside.
+    """
+    safe = [c if c in own else f"carried{i}__" for i, c in enumerate(docs.columns)]
+    return fn(docs.toDF(*safe)).toDF(*docs.columns)
+
+
 def in_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
     """``mapInArrow`` with batches of few rows, as rows may hold whole texts.
 
@@ -45,7 +55,13 @@ def in_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     now = int(conf.get(_BATCH))
     if now <= 0 or now > BATCH_ROWS:
         conf.set(_BATCH, str(BATCH_ROWS))
-    return df.mapInArrow(fn, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(batches)
+        # a worker may wait for its next task for long
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(run, schema)
 
 
 def by_rows(
