@@ -43,15 +43,18 @@ class Codec:
     def __init__(self, path: str, leaf_chars: int = LEAF_CHARS):
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        self._short = tiktoken.Encoding(
-            "own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
-        )
         self.tokens = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.tokens[rank] = token
         self._lengths = np.array([len(t) for t in self.tokens], dtype=np.int64)
         self.leaf_chars = max(2, leaf_chars)
 
+    @functools.cached_property
+    def _short(self) -> tiktoken.Encoding:
+        # made by those who encode only
+        ranks = {token: rank for rank, token in enumerate(self.tokens) if token}
+        return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
     def encode(self, text: str) -> np.ndarray:
         return self._tree(text, 0, len(text))
 
