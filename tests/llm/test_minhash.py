@@ -121,3 +121,12 @@ def test_failed_neighbours_do_not_hide_a_near_one(spark, monkeypatch):
     df = spark.createDataFrame(docs, "doc_id bigint, text string")
     got = {r.doc_id: r.class_id for r in minhash.near_documents(df).collect()}
     assert got == brute_classes(docs) == dict.fromkeys(range(60), 0)
+
+
+def test_clashing_names(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    df = spark.createDataFrame([(i, text if i < 3 else f"{text} other {i} " * 3, -7, i, i) for i in range(5)],
+                               "doc_id bigint, text string, _mark int, _gone int, _twice int").repartition(2)
+    got = minhash.one_of_each(df)
+    assert got.columns == df.columns
+    assert all(r._mark == -7 and r._gone == r.doc_id for r in got.collect())

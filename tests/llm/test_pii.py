@@ -112,3 +112,11 @@ def test_written_addresses_and_local_phones_are_found_and_redacted(spark):
         assert got[9001] == [("email", False), ("phone", False)] and got[9002] == []
         clean = {r.doc_id: r.text for r in pii.redacted(df).collect()}
         assert all(clean[i] == want for i, _, want in rare)
+
+
+def test_clashing_names(spark):
+    names = ["_plain", "_base", "_candidates", "spans", "_clean", "_found", "_joined", "_loose", "_dotted"]
+    df = spark.createDataFrame([(1, "mail a@b.cc now", *range(9))], ["doc_id", "text", *names])
+    got = pii.redacted(df)
+    assert got.columns == df.columns
+    assert [tuple(r) for r in got.collect()] == [(1, "mail [EMAIL] now", *range(9))]

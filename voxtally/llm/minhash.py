@@ -34,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from voxtally.llm.common import by_rows
+from voxtally.llm.common import by_rows, under_safe_names
 from voxtally.llm.components import components
 from voxtally.session import materialize
 
@@ -415,6 +415,10 @@ def one_of_each(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "
 
     Of rows that repeat an id, one stays. Rows without an id stay.
     """
+    return under_safe_names(docs, [id_col, text_col], lambda rows: _one_of_each(rows, similarity, id_col, text_col))
+
+
+def _one_of_each(docs: DataFrame, similarity: float, id_col: str, text_col: str) -> DataFrame:
     classes = near_documents(docs.where(F.col(id_col).isNotNull()), similarity, id_col, text_col)
     gone = materialize(classes.where(~F.col("kept")).select(F.col(id_col).alias("_gone")).distinct(), "duplicates")
     repeated = docs.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
@@ -427,5 +431,5 @@ def one_of_each(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "
     near = marked.join(F.broadcast(marks), "_mark", "left_semi").join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
     once = near.join(repeated, F.col(id_col) == F.col("_twice"), "left_anti")
     twice = near.join(repeated, F.col(id_col) == F.col("_twice"), "left_semi").dropDuplicates([id_col])
-    columns = [F.col(f"`{c}`") for c in docs.columns]
+    columns = docs.columns
     return sure.select(*columns).unionByName(once.select(*columns)).unionByName(twice.select(*columns))

@@ -28,7 +28,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from voxtally.llm.common import held_out, whole_text
+from voxtally.llm.common import held_out, under_safe_names, whole_text
 from voxtally.session import materialize
 
 KINDS = ("email", "ip", "card", "phone")
@@ -358,6 +358,10 @@ def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Overlapping spans become one, named by the first. Rows without a span,
     those without a text included, stay as they are, and so do all columns.
     """
+    return under_safe_names(docs, [id_col, text_col], lambda rows: _redacted(rows, id_col, text_col))
+
+
+def _redacted(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     columns = docs.columns
     found = with_candidates(docs, text_col)
     trees = fit(materialize(found.select(id_col, "_candidates"), "candidates"), id_col)
@@ -372,8 +376,5 @@ def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     clean = F.aggregate(spans, zero, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    done = with_spans(found.withColumnRenamed("spans", "_spans_in") if "spans" in columns else found, trees)
-    done = done.withColumn("_clean", F.when(F.size(spans) > 0, clean).otherwise(text))
-    return done.select(*[
-        F.col("_clean").alias(c) if c == text_col else F.col("_spans_in" if c == "spans" else f"`{c}`").alias(c) for c in columns
-    ])
+    done = with_spans(found, trees).withColumn("_clean", F.when(F.size(spans) > 0, clean).otherwise(text))
+    return done.select(*[F.col("_clean").alias(c) if c == text_col else c for c in columns])
