@@ -194,7 +194,8 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     Of each language, the ``SAMPLE_DOCS`` documents with the smallest hash of
     their id that have a letter, and of those at most ``SAMPLE_CHARS``
     characters twice; with many languages fewer, so that all of them stay
-    within ``ALL_CHARS``.
+    within ``ALL_CHARS``. The driver gets ``SAMPLE_DOCS * ALL_CHARS`` characters at
+    most, however long the documents are.
     """
     known = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col), FOLDS, HELD_OUT))
     known = known.where(F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
@@ -211,13 +212,14 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         return Samples((), (), ())
     kind = docs.schema[id_col].dataType.simpleString()
     small = docs.sparkSession.createDataFrame([tuple(r) for r in chosen], f"_id {kind}, _lang string, _n int")
-    # SAMPLE_DOCS rows of each language
-    texts = known.select(F.col(id_col).alias("_id"), F.col(lang_col).cast("string").alias("_lang"), whole_text(text_col).alias("_text"))
+    chars = min(SAMPLE_CHARS, ALL_CHARS // len({r["_lang"] for r in chosen}))
+    # SAMPLE_DOCS rows of each language, of which no more characters leave Spark than are learned from
+    first = F.left(whole_text(text_col), F.lit(chars))
+    texts = known.select(F.col(id_col).alias("_id"), F.col(lang_col).cast("string").alias("_lang"), first.alias("_text"))
     texts = texts.join(F.broadcast(small), ["_id", "_lang"]).groupBy("_lang", "_n").agg(F.min("_text").alias("_text"))
     by_lang = defaultdict(list)
     for r in sorted(texts.collect(), key=lambda r: r["_n"]):
         by_lang[r["_lang"]].append(r["_text"])
-    chars = min(SAMPLE_CHARS, ALL_CHARS // len(by_lang))
     names = tuple(sorted(by_lang))
     pairs = [_split(by_lang[n], chars) for n in names]
     return Samples(names, tuple(p[0] for p in pairs), tuple(p[1] or p[0] for p in pairs))
