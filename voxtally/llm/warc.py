@@ -28,6 +28,8 @@ from voxtally.llm.common import by_rows
 from voxtally.session import materialize, scratch_dir
 
 FILE_BYTES = 256 << 20
+#: Archive bytes that one task reads.
+TASK_BYTES = 128 << 20
 MAX_GAP = 64 << 10
 MAX_READ = 8 << 20
 ROWS_AT_ONCE = 64
@@ -205,7 +207,10 @@ def read_records(index: DataFrame) -> DataFrame:
         yield from finish()
 
     placed = index.select("file", "offset", "length", "url", "page_id")
-    ranged = placed.repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    # tasks by the bytes of the records, not by those of the index
+    whole = index.agg(F.sum("length")).first()[0] or 0
+    tasks = max(index.sparkSession.sparkContext.defaultParallelism, -(-whole // TASK_BYTES))
+    ranged = placed.repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset")
     out = by_rows(
         ranged,
         f"page_id {kind}, url string, record_type string, refers_to string, payload binary,"
