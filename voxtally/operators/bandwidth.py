@@ -146,3 +146,53 @@ def realized(writes: DataFrame, group: list[str], size: str, seconds: str) -> Da
 def write_times(times: DataFrame, path: str) -> None:
     """Write times per number of chunks as JSON, one object per number."""
     times.write.mode("overwrite").json(path)
+
+
+#: The normalized rank error that is promised is that of a sketch with k = 200, at 99 % confidence (a fixed value); a
+#: larger k errs less, so that many groups keep to it at once.
+SKETCH_K, SKETCH_ERROR = 800, 0.0133
+
+
+def rank_sketches(df: DataFrame, group: list[str], value: str, over_all: str | None = None) -> DataFrame:
+    """``(group..., sketch)``: a mergeable sketch of the ranks of a column.
+
+    One scan: each task adds to sketches of a few kilobytes, and these are all
+    that is shuffled. ``over_all`` names a column of the group; sketches of its
+    values are merged into one under the value ``all``, which reads no row again.
+    """
+    own = df.where(F.col(value).isNotNull()).groupBy(*group).agg(F.kll_sketch_agg_double(F.col(value), SKETCH_K).alias("sketch"))
+    if not over_all:
+        return own
+    own = materialize(own, "sketches")
+    rest = [g for g in group if g != over_all]
+    merged = own.groupBy(*rest).agg(F.kll_merge_agg_double("sketch").alias("sketch"))
+    return own.unionByName(merged.withColumn(over_all, F.lit("all")))
+
+
+def sketched_quantiles(sketches: DataFrame, group: list[str], points: Sequence[float]) -> DataFrame:
+    """``(group..., n, point, value)`` of each sketch."""
+    at = F.array(*[F.lit(float(p)) for p in points])
+    both = F.arrays_zip(at.alias("point"), F.kll_sketch_get_quantile_double("sketch", at).alias("value"))
+    return sketches.select(*group, F.kll_sketch_get_n_double("sketch").alias("n"), F.explode(both).alias("_q")).select(*group, "n", "_q.*")
+
+
+def rank_errors(df: DataFrame, group: list[str], value: str, quantiles: DataFrame, over_all: str | None = None) -> DataFrame:
+    """The quantiles with ``error``, the share of rows by which their true rank is off.
+
+    Rows are counted below and up to each value, on the map side; nothing is
+    sorted. There are as many quantiles as groups and points, so they are
+    written once and Spark compares their size with its broadcast threshold.
+    """
+    fixed_points = materialize(quantiles, "quantiles")
+    keys = [F.col(g) for g in group]
+    rows = df.where(F.col(value).isNotNull())
+    if over_all:
+        keys = [F.explode(F.array(F.col(over_all), F.lit("all"))).alias(over_all) if g == over_all else F.col(g) for g in group]
+    # equal values are one row of a task
+    counted = rows.select(*keys, F.col(value).alias("_v")).groupBy(*group, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    met = counted.join(fixed_points, group).groupBy(*group, "n", "point", "value").agg(
+        F.sum(F.when(F.col("_v") < F.col("value"), F.col("_c")).otherwise(0)).alias("below"),
+        F.sum(F.when(F.col("_v") <= F.col("value"), F.col("_c")).otherwise(0)).alias("up_to"),
+    )
+    off = F.greatest(F.lit(0.0), F.col("below") / F.col("n") - F.col("point"), F.col("point") - F.col("up_to") / F.col("n"))
+    return met.select(*group, "n", "point", "value", off.alias("error"))

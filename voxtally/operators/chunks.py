@@ -10,14 +10,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from voxtally.functions.arrays import increment, pad_to_grid, to_lists
-from voxtally.sources.nifti import parse_header, resized
+from voxtally.functions.arrays import add_steps, increment, pad_to_grid, to_lists
+from voxtally.sources.nifti import MIB, parse_header, resized
 
 _NUMPY_OF_ELEMENT = {
     "tinyint": "int8", "smallint": "int16", "int": "int32", "bigint": "int64", "float": "float32", "double": "float64",
 }
 
 
+#: Voxels of a buffer that chunks are put together in.
+SCATTER_VOXELS = 1 << 22
+
+
 def element_of(chunks: DataFrame, voxels: str = "voxels") -> str:
     """Element type of the voxel column, as a DDL name."""
     return chunks.schema[voxels].dataType.elementType.simpleString()
@@ -46,6 +50,59 @@ def all_steps(rows: DataFrame, steps: int, value: str, element: str) -> DataFram
     )
 
 
+def all_step_chunks(
+    chunks: DataFrame, steps: int, *, voxels: str = "voxels", overflow: str = "raise", max_bytes: int = 4 * MIB
+) -> DataFrame:
+    """Every intermediate version of chunk arrays, with ``iteration`` 1..n.
+
+    Each step is one addition to what the step before gave, so floats round as
+    they do step by step. A chunk's versions leave Python in batches of about
+    ``max_bytes``, so no task holds more than a few of them. Null chunks have
+    null versions, null voxels stay null. Other columns are repeated.
+    """
+    if steps < 1:
+        raise ValueError("at least one step is needed")
+    element = element_of(chunks, voxels)
+    names = chunks.columns
+    schema = T.StructType([*chunks.schema.fields, T.StructField("iteration", T.IntegerType())])
+    own = _NUMPY_OF_ELEMENT[element]
+
+    def versions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, iterations, parts = [], [], []
+            size = 0
+
+            def packed() -> pa.RecordBatch:
+                repeated = batch.take(pa.array(at, pa.int64()))
+                lists = pa.array(parts, batch.schema.field(voxels).type) if any(
+                    p is None or isinstance(p, pa.Array) for p in parts
+                ) else to_lists(np.array([len(p) for p in parts], dtype=np.int64), np.concatenate(parts)).cast(batch.schema.field(voxels).type)
+                columns = [lists if n == voxels else repeated.column(n) for n in names]
+                return pa.RecordBatch.from_arrays([*columns, pa.array(iterations, pa.int32())], names=[*names, "iteration"])
+
+            types = batch.column("dtype").to_pylist() if "dtype" in names else [None] * batch.num_rows
+            for i, (v, dtype) in enumerate(zip(batch.column(voxels), types)):
+                values, mask = None, None
+                if v.is_valid:
+                    flat = v.values
+                    mask = flat.is_null().to_numpy(zero_copy_only=False) if flat.null_count else None
+                    values = (flat if mask is None else flat.fill_null(0)).to_numpy(zero_copy_only=False)
+                for iteration in range(1, steps + 1):
+                    if values is not None:
+                        values = add_steps(values, dtype or own, 1, overflow)
+                        size += values.nbytes
+                    at.append(i)
+                    iterations.append(iteration)
+                    parts.append(values if mask is None else pa.array(values, mask=mask))
+                    if size >= max_bytes or len(at) >= 4096:
+                        yield packed()
+                        at, iterations, parts, size = [], [], [], 0
+            if at:
+                yield packed()
+
+    return chunks.mapInArrow(versions, schema)
+
+
 @F.arrow_udf(T.BinaryType())
 def _resized_header(header: pa.Array, shape: pa.Array, dtype: pa.Array) -> pa.Array:
     """Headers with other dimensions (null: their own) and another voxel type (null: their own)."""
@@ -55,6 +112,26 @@ def _resized_header(header: pa.Array, shape: pa.Array, dtype: pa.Array) -> pa.Ar
     ], pa.binary())
 
 
+def _name_of(fn: Callable[..., Any]) -> str:
+    # an event's name has no blanks
+    return "_".join(getattr(fn, "__name__", type(fn).__name__).split())
+
+
+def _stepped(block: np.ndarray, fn: Callable[..., Any], params: dict[str, Any], size: int) -> np.ndarray:
+    block = np.asarray(fn(block, **params))
+    if block.size != size:
+        raise ValueError(f"a step made {block.size} voxels of {size}")
+    return block
+
+
+def _cast(block: np.ndarray, kind: np.dtype) -> np.ndarray:
+    """The values in another type, without loss."""
+    kept = block.astype(kind, copy=False)
+    if kept.dtype != block.dtype and not np.array_equal(kept, block, equal_nan=block.dtype.kind == "f"):
+        raise ValueError(f"values of type {block.dtype} do not fit {kind}; name another type")
+    return kept
+
+
 @dataclass(frozen=True)
 class Steps:
     """User functions applied to each chunk, one after the other.
@@ -75,6 +152,21 @@ class Steps:
     def pointwise(self, fn: Callable[..., np.ndarray], **params: Any) -> Steps:
         return replace(self, steps=(*self.steps, (fn, params)))
 
+    def timed(self, element: str | None = None) -> Callable[[dict, Callable[[str], None]], dict]:
+        """A function of one image, as a dict of a chunk row, that says after each step which one is done."""
+        kind = np.dtype(_NUMPY_OF_ELEMENT[element]) if element else None
+
+        def work(row: dict, done: Callable[[str], None]) -> dict:
+            block = row["voxels"].copy().reshape(row["shape"], order="F")
+            size = block.size
+            for fn, params in self.steps:
+                block = _stepped(block, fn, params, size)
+                done(_name_of(fn))
+            header = row["header"] if kind is None else resized(row["header"], parse_header(row["header"]).shape, kind.name)
+            return {**row, "header": header, "voxels": _cast(block, kind or row["voxels"].dtype).reshape(-1, order="F")}
+
+        return work
+
     def column(self, voxels: Column, shape: Column, element: str, n_blocks: Column | None = None) -> Column:
         steps, whole = self.steps, self.whole
 
@@ -89,13 +181,8 @@ class Steps:
                 block = block.reshape(dims.as_py(), order="F")
                 size = block.size
                 for fn, params in steps:
-                    block = np.asarray(fn(block, **params))
-                    if block.size != size:
-                        raise ValueError(f"a step made {block.size} voxels of {size}")
-                kept = block.astype(kind, copy=False)
-                if kept.dtype != block.dtype and not np.array_equal(kept, block, equal_nan=block.dtype.kind == "f"):
-                    raise ValueError(f"values of type {block.dtype} do not fit array<{element}>; name another type")
-                parts.append(kept.reshape(-1, order="F"))
+                    block = _stepped(block, fn, params, size)
+                parts.append(_cast(block, kind).reshape(-1, order="F"))
             flat = np.concatenate(parts) if parts else np.array([], kind)
             return to_lists(np.array([len(p) for p in parts], dtype=np.int64), flat)
 
@@ -168,14 +255,20 @@ def assemble_chunks(
 
     @F.arrow_udf(f"array<{element}>")
     def scatter(at: pa.Array, values: pa.Array) -> pa.Array:
-        rows = len(at)
         kind = values.type.value_type.to_pandas_dtype()
-        out = np.zeros((rows, volume), kind)
-        counts = np.asarray(at.value_lengths())
-        out[np.repeat(np.arange(rows), counts), at.flatten().to_numpy(zero_copy_only=False)] = (
-            values.flatten().to_numpy(zero_copy_only=False)
-        )
-        return to_lists(np.full(rows, volume), out.reshape(-1))
+        parts = []
+        # few chunks at a time, by their volume
+        step = max(1, SCATTER_VOXELS // max(1, volume))
+        for first in range(0, len(at), step):
+            some_at, some = at.slice(first, step), values.slice(first, step)
+            rows = len(some_at)
+            out = np.zeros((rows, volume), kind)
+            counts = np.asarray(some_at.value_lengths())
+            out[np.repeat(np.arange(rows), counts), some_at.flatten().to_numpy(zero_copy_only=False)] = (
+                some.flatten().to_numpy(zero_copy_only=False)
+            )
+            parts.append(to_lists(np.full(rows, volume), out.reshape(-1)))
+        return pa.concat_arrays(parts) if parts else to_lists(np.zeros(0, dtype=np.int64), np.zeros(0, kind))
 
     unique = (
         voxels.select(*grid_position(axes), linear.alias("_at"), F.col(value).alias("_v"))

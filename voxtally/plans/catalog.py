@@ -13,10 +13,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from voxtally.functions import arrays, fixed, modeling, naming
 from voxtally.functions.events import duration, render_event
 from voxtally.functions.runs import dataset_tag, engine_of_framework, parse_run_name
-from voxtally.operators import assign, bandwidth, chunks, conditions, events, makespan, model
-from voxtally.plans import reports, tables
+from voxtally.operators import assign, bandwidth, chunks, conditions, events, graph, makespan, model, rechunk
+from voxtally.plans import increment, reports, tables
 from voxtally.session import materialize, scratch_dir
-from voxtally.sources import files, logs
+from voxtally.sources import files, logs, slabs
 from voxtally.sources.nifti import build_header
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -93,6 +93,45 @@ def chk_iterate_all_steps(spark: SparkSession, sf: str) -> DataFrame:
     return steps.groupBy("z", "iteration", "v").agg(F.count(F.lit(1)).alias("n_voxels"))
 
 
+@query
+def chk_all_steps_arrays(spark: SparkSession, sf: str) -> DataFrame:
+    """Every version of float chunks and of integer chunks, as arrays."""
+    real = chunks.all_step_chunks(tables.embedding_chunks(spark, sf).select("vec_id", "voxels"), 4)
+    dtype = F.when(F.pmod("l_orderkey", F.lit(2)) == 0, "uint16").otherwise("int32")
+    whole = chunks.all_step_chunks(_quantity_chunks(spark, sf, dtype), 4)
+    rows = voxel_table(real.withColumnRenamed("vec_id", "id").withColumn("kind", F.lit("float")), "kind", "id", "iteration")
+    return rows.unionByName(
+        voxel_table(whole.withColumnRenamed("l_orderkey", "id").withColumn("kind", F.lit("integer")), "kind", "id", "iteration")
+    )
+
+
+@query
+def chk_named_outputs(spark: SparkSession, sf: str) -> DataFrame:
+    """Steps that hand named results to each other: layer sums, the largest of them, and a scaled chunk."""
+
+    def layers(voxels: np.ndarray) -> np.ndarray:
+        return np.floor(voxels.astype("f8") * 256).sum(axis=(0, 1))
+
+    def extremes(sums: np.ndarray) -> tuple[float, int]:
+        return float(sums.max()), int(sums.argmax())
+
+    def scaled(voxels: np.ndarray, largest: float) -> np.ndarray:
+        return np.floor(voxels.astype("f8") * 256) - largest
+
+    g = (
+        graph.StepGraph()
+        .step(scaled, "scaled", ("voxels", "largest"))
+        .step(extremes, ("largest", "layer"), {"sums": "layer_sums"})
+        .step(layers, "layer_sums")
+    )
+    results = {"layer_sums": "array<double>", "layer": "int", "scaled": "array<double>"}
+    done = g.apply(tables.embedding_chunks(spark, sf), results)
+    return done.select(
+        "vec_id", "layer", F.array_join(F.transform("layer_sums", lambda v: v.cast("bigint").cast("string")), ",").alias("layer_sums"),
+        F.posexplode("scaled").alias("pos", "voxel"),
+    )
+
+
 @query
 def chk_user_fn(spark: SparkSession, sf: str) -> DataFrame:
     def total(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -244,6 +283,31 @@ def chk_split_saved(spark: SparkSession, sf: str) -> DataFrame:
     return voxel_table(back, "image", "x0", "y0", "z0")
 
 
+@query
+def chk_rechunk_slabs(spark: SparkSession, sf: str) -> DataFrame:
+    """Images read in slabs of one layer, cut into a filled-up grid of parts with sides of three, the parts saved and read back."""
+    layers = files.read_images(spark, _saved_images(spark, sf, 6), dtype="float32", max_block_bytes=4 * 4 * 4)
+    folder = f"{scratch_dir(spark)}/cells-{uuid.uuid4().hex}"
+    files.write_images(rechunk.split_images(layers, width=(3, 3, 3)), folder)
+    return voxel_table(files.read_images(spark, folder, dtype="float32"), "image", "x0", "y0", "z0")
+
+
+@query
+def chk_join_parts(spark: SparkSession, sf: str) -> DataFrame:
+    """Images cut into parts and put together again, in slabs that several tasks write into one file."""
+    c = tables.embedding_chunks(spark, sf)
+    path = F.concat(F.lit("whole"), F.col("vec_id").cast("string"), F.lit(".nii"))
+    one = c.select(
+        path.alias("path"), F.regexp_replace(path, "[.]nii$", "").alias("image"), *[F.lit(0).alias(a) for a in ("x0", "y0", "z0")],
+        "shape", F.lit("float32").alias("dtype"), F.array().cast("array<double>").alias("affine"),
+        F.lit(build_header(tables.SHAPE, "float32")).alias("header"), F.lit(0).alias("block"), F.lit(1).alias("n_blocks"), "voxels",
+    )
+    joined = rechunk.join_images(rechunk.split_images(one, (2, 3, 2)), layers=3, extent=tables.SHAPE)
+    folder = f"{scratch_dir(spark)}/joined-{uuid.uuid4().hex}"
+    slabs.write_slabs(joined, folder)
+    return voxel_table(files.read_images(spark, folder, dtype="float32"), "image")
+
+
 @query
 def chk_user_steps_slabs(spark: SparkSession, sf: str) -> DataFrame:
     """User steps on images that are read in blocks of one layer: the pointwise
@@ -257,6 +321,41 @@ def chk_user_steps_slabs(spark: SparkSession, sf: str) -> DataFrame:
     return voxel_table(done.withColumn("vec_id", F.col("x0").cast("bigint")), "vec_id")
 
 
+@query
+def snk_each_iteration(spark: SparkSession, sf: str) -> DataFrame:
+    """Images through three steps, what each step saved and the results read back."""
+    out, n = f"{scratch_dir(spark)}/steps-{uuid.uuid4().hex}", 3
+    increment.increment_pipeline(spark, _saved_images(spark, sf), out, n, materialize=True, run="steps")
+    folders = [*[f"{out}/app-steps/iteration-{i}" for i in range(n)], f"{out}/inc{n}-*.nii"]
+    parts = [files.read_images(spark, f, dtype="float32").withColumn("iteration", F.lit(i)) for i, f in enumerate(folders)]
+    return voxel_table(reduce(DataFrame.unionByName, parts), "iteration", "image", "x0")
+
+
+@query
+def snk_step_events(spark: SparkSession, sf: str) -> DataFrame:
+    """The events of user steps, without their times: each step of each image once."""
+
+    def twice(block: np.ndarray) -> np.ndarray:
+        return block * np.float32(2)
+
+    steps = chunks.Steps().step(twice).step(np.flip, axis=2)
+    out = f"{scratch_dir(spark)}/timed-{uuid.uuid4().hex}"
+    done = increment.steps_pipeline(spark, _saved_images(spark, sf), out, steps, events=True)
+    in_order = (F.col("end") >= F.col("start")) & (F.col("start") >= 0)
+    return done.events.groupBy("name", "filename").agg(F.count(F.lit(1)).alias("n"), F.min(in_order).alias("in_order"))
+
+
+@query
+def snk_copy_verified(spark: SparkSession, sf: str) -> DataFrame:
+    """Document texts saved as files, copied, and compared by their digests on both sides."""
+    folder = f"{scratch_dir(spark)}/texts-{uuid.uuid4().hex}"
+    docs = tables.read(spark, sf, "documents").where("doc_id is not null")
+    name = F.concat(F.lit("doc-"), F.col("doc_id").cast("string"))
+    saved = files.write_binary(docs.select(name.alias("name"), F.coalesce("text", F.lit("")).cast("binary").alias("content")), f"{folder}/from")
+    copied = files.verified_copy(saved, f"{folder}/to")
+    return copied.select(F.regexp_extract("out_path", "[^/]*$", 0).alias("name"), "md5", "length", "status")
+
+
 @query
 def scl_md5(spark: SparkSession, sf: str) -> DataFrame:
     docs = tables.read(spark, sf, "documents")
@@ -450,6 +549,17 @@ def cnd_dataset_join(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def cnd_node_lists(spark: SparkSession, sf: str) -> DataFrame:
+    """The chunks that each node of a condition's run reads."""
+    legend = tables.read(spark, sf, "pages").select(
+        tables.pick(list(fixed.DATASETS), F.col("page_id")).alias("dataset"), F.col("url").alias("chunk")
+    )
+    some = _conditions(spark, sf).select("p_partkey", "dataset")
+    lists = conditions.node_lists(some, legend, DATA_DIR, segment=20)
+    return lists.select("p_partkey", "dataset", "grp", "segment", "n_paths", F.md5(F.col("paths").cast("binary")).alias("paths_md5"))
+
+
 # -- makespans ------------------------------------------------------------------------
 
 
@@ -529,6 +639,15 @@ def iob_distribution(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def iob_sketch(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether the quantiles of merged sketches keep to their rank error, counted over all rows."""
+    b = _bandwidths(spark, sf)
+    found = bandwidth.sketched_quantiles(bandwidth.rank_sketches(b, bandwidth.GROUP, "mb_s", "engine"), bandwidth.GROUP, (0.25, 0.5, 0.75))
+    errors = bandwidth.rank_errors(b, bandwidth.GROUP, "mb_s", found, "engine")
+    return errors.select(*bandwidth.GROUP, "point", "n", (F.col("error") <= bandwidth.SKETCH_ERROR).alias("within"))
+
+
 @query
 def iob_by_fs_and_engine(spark: SparkSession, sf: str) -> DataFrame:
     levels = bandwidth.both_levels(_bandwidths(spark, sf))
@@ -688,6 +807,13 @@ def asg_by_dataset(spark: SparkSession, sf: str) -> DataFrame:
     return assigned.select("p_partkey", "dataset", "idx", "total", "grp")
 
 
+@query
+def asg_by_bytes(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents in order, cut into one contiguous group a node by their bytes."""
+    docs = tables.read(spark, sf, "documents").select("doc_id", F.octet_length("text").alias("bytes"))
+    return assign.assign_by_size(docs, ["doc_id"], "bytes", fixed.NODES).select("doc_id", "bytes", "grp")
+
+
 @query
 def asg_counts(spark: SparkSession, sf: str) -> DataFrame:
     e = _named_events(spark, sf)

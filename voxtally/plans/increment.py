@@ -133,20 +133,34 @@ def _large_steps(
     return out
 
 
+Stamp = Callable[[str], None]
+
+
+def _increments(steps: int, phase: str, overflow: str) -> Callable[[dict, Stamp], dict]:
+    def work(block: dict, stamp: Stamp) -> dict:
+        for _ in range(steps):
+            block["voxels"] = add_steps(block["voxels"], block["dtype"], 1, overflow)
+            stamp(phase)
+        return block
+
+    return work
+
+
 def _timed_job(
     files: DataFrame,
     folder: str,
-    steps: int,
-    phases: tuple[str, str, str],
+    work: Callable[[dict, Stamp], dict],
+    phases: tuple[str, str],
     started: float,
-    overflow: str,
+    max_block_bytes: int | None = 64 * MIB,
 ) -> DataFrame:
-    """Read, increment and save whole files, with an event for each part.
+    """Read, process and save whole files, with an event for each part.
 
     ``files`` has ``path`` and ``name``, the name to save under; ``phases``
-    are the event names of reading, one step, and saving.
+    are the event names of reading and saving, and ``work`` stamps its own. A
+    task that runs again reports its own events only, so each counts once.
     """
-    reading, stepping, saving = phases
+    reading, saving = phases
     target = qualified(files.sparkSession, folder)
 
     def job(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -166,13 +180,15 @@ def _timed_job(
                     fs, inner = filesystem(path)
                     now = time.time()
                     with fs.open_input_file(inner) as file:
-                        for block in read_blocks(file, path, file.size(), 64 * 1024 * 1024):
+                        for block in read_blocks(file, path, file.size(), max_block_bytes):
                             now = stamp(reading, now, base)
-                            voxels = block["voxels"]
-                            for _ in range(steps):
-                                voxels = add_steps(voxels, block["dtype"], 1, overflow)
-                                now = stamp(stepping, now, base)
-                            out.add(name, block["header"], block["block"], block["n_blocks"], voxels)
+
+                            def step_done(phase: str) -> None:
+                                nonlocal now
+                                now = stamp(phase, now, base)
+
+                            block = work(block, step_done)
+                            out.add(name, block["header"], block["block"], block["n_blocks"], block["voxels"])
                             now = stamp(saving, now, posixpath.basename(name))
                 columns = ["name", "start", "end", "node", "filename", "executor"]
                 yield pd.DataFrame(rows, columns=columns)
@@ -204,7 +220,8 @@ def _incremented(
     small = files if timed else files.where(~large)
     _distinct_names(files, name)
     named = _spread(small).select("path", name.alias("name"))
-    events = write_once(_timed_job(named, folder, steps, phases, started, overflow), "events")
+    work = _increments(steps, phases[1], overflow)
+    events = write_once(_timed_job(named, folder, work, (phases[0], phases[2]), started), "events")
     saved = events.where(F.col("name") == phases[2]).select(F.col("filename").alias("name"))
     manifest = saved_names(saved.distinct(), folder)
     rest = files.where(large)
@@ -290,39 +307,44 @@ def increment_pipeline(
 
     if not events:
         return Outcome(manifest)
-    driver = spark.createDataFrame(
-        [
-            (
-                fixed.DRIVER,
-                0.0,
-                time.time() - started,
-                socket.gethostname(),
-                fixed.ALL_FILES,
-                threading.get_ident(),
-            )
-        ],
-        tasks[0].schema,
-    )
-    log = driver
+    return Outcome(manifest, _saved_log(spark, tasks, started, run, output))
+
+
+def _saved_log(spark: SparkSession, tasks: list[DataFrame], started: float, run: str, output: str) -> DataFrame:
+    """The events of all tasks and of the driver, saved as text under ``<output>/benchmark-<run>``."""
+    driver = (fixed.DRIVER, 0.0, time.time() - started, socket.gethostname(), fixed.ALL_FILES, threading.get_ident())
+    log = spark.createDataFrame([driver], tasks[0].schema)
     for part in tasks:
         log = merge(log, part)
     log = log.withColumn("run", F.lit(run))
     render(log).select("value").write.mode("overwrite").text(f"{output}/benchmark-{run}")
-    return Outcome(manifest, log)
+    return log
 
 
 def steps_pipeline(
-    spark: SparkSession, input: str, output: str, steps: Steps, element: str | None = None
+    spark: SparkSession, input: str, output: str, steps: Steps, element: str | None = None,
+    *, events: bool = False, run: str | None = None,
 ) -> Outcome:
     """User functions on each whole image; results keep their names.
 
     Each image is one row, whatever its size up to that of a cell; only if all
     steps are pointwise are large images read and processed in slabs.
     ``element`` names the type of the results, by default that of the images.
+    With ``events``, reading, every step (by the name of its function) and
+    saving of each image are timed, each once, and are also saved as text under
+    ``<output>/benchmark-<run>``; all images are whole then.
     """
+    started = time.time()
     files = write_once(image_files(spark, input), "listing")
     name = basename(F.col("path"))
     _distinct_names(files, name)
+    if events:
+        named = _spread(files).select("path", name.alias("name"))
+        job = _timed_job(named, output, steps.timed(element), (fixed.READ_IMG, fixed.SAVE), started, None)
+        log = write_once(job, "events")
+        saved = log.where(F.col("name") == fixed.SAVE).select(F.col("filename").alias("name"))
+        manifest = _checked(saved_names(saved, output), files)
+        return Outcome(manifest, _saved_log(spark, [log], started, run or uuid.uuid4().hex, output))
     large = F.col("length") > LARGE_FILE
     whole, rest = (files, None) if steps.whole else (files.where(~large), files.where(large))
     dtype = image_type(files)

@@ -142,6 +142,14 @@ for _ in range(10):
     _TEN = f"({_TEN} + 1::FLOAT)"
 
 
+def _plus(n: int, one: str) -> str:
+    """n additions, one after the other."""
+    text = "x"
+    for _ in range(n):
+        text = f"({text} + {one})"
+    return text
+
+
 def _voxels(keys: str, expression: str, source: str = "embeddings") -> str:
     return f"""
       SELECT {keys}, unnest(range(len(v)))::INT AS pos, unnest(v)::DOUBLE AS voxel
@@ -232,6 +240,45 @@ def oracle_sql() -> dict[str, str]:
           )
           SELECT image, (vec_id * 4 + x // 2 * 2)::INT AS x0, (y // 2 * 2)::INT AS y0, (z // 2 * 2)::INT AS z0,
             (x % 2 + 2 * (y % 2) + 4 * (z % 2))::INT AS pos, voxel FROM c""",
+        "chk_all_steps_arrays": " UNION ALL ".join(
+            _voxels(f"'float' AS kind, vec_id AS id, {i} AS iteration", f"list_transform(embedding, lambda x: {_plus(i, '1::FLOAT')})")
+            for i in range(1, 5)
+        ) + " UNION ALL " + " UNION ALL ".join(
+            _voxels(f"'integer' AS kind, l_orderkey AS id, {i} AS iteration", f"list_transform(q, lambda x: x + {i})", _QUANTITIES)
+            for i in range(1, 5)
+        ),
+        "chk_named_outputs": """
+          WITH v AS (
+            SELECT vec_id, unnest(range(64))::INT AS pos, floor(unnest(embedding)::DOUBLE * 256) AS f FROM embeddings
+          ), l AS (
+            SELECT vec_id, pos // 16 AS z, sum(f) AS s FROM v GROUP BY ALL
+          ), m AS (
+            SELECT vec_id, max(s) AS largest, arg_min(z, (-s, z))::INT AS layer,
+              string_agg(s::BIGINT::VARCHAR, ',' ORDER BY z) AS layer_sums FROM l GROUP BY vec_id
+          )
+          SELECT vec_id, layer, layer_sums, pos, f - largest AS voxel FROM v JOIN m USING (vec_id)""",
+        "chk_rechunk_slabs": """
+          WITH v AS (
+            SELECT 'img' || label AS image, vec_id, embedding, x, y, z
+            FROM embeddings, range(6) AS a(x), range(6) AS b(y), range(6) AS c(z)
+          )
+          SELECT image, (vec_id * 6 + x // 3 * 3)::INT AS x0, (y // 3 * 3)::INT AS y0, (z // 3 * 3)::INT AS z0,
+            (x % 3 + 3 * (y % 3) + 9 * (z % 3))::INT AS pos,
+            CASE WHEN x < 4 AND y < 4 AND z < 4 THEN embedding[x + 4 * y + 16 * z + 1] ELSE 0 END::DOUBLE AS voxel FROM v""",
+        "chk_join_parts": _voxels("'whole' || vec_id AS image", "embedding"),
+        "snk_each_iteration": " UNION ALL ".join(
+            _voxels(f"{i} AS iteration, '{name}-img' || label AS image, vec_id::INT AS x0",
+                    f"list_transform(embedding, lambda x: {_plus(n, '1::FLOAT')})")
+            for i, name, n in ((0, "inc", 1), (1, "inc", 2), (2, "inc", 3), (3, "inc3", 3))
+        ),
+        "snk_step_events": f"""
+          SELECT name, filename, 1::BIGINT AS n, TRUE AS in_order FROM (
+            SELECT unnest(['{fixed.READ_IMG}', 'twice', 'flip', '{fixed.SAVE}']) AS name,
+              'img' || label || '_' || vec_id || '_0_0.nii' AS filename FROM embeddings
+            UNION ALL SELECT '{fixed.DRIVER}', '{fixed.ALL_FILES}')""",
+        "snk_copy_verified": """
+          SELECT 'doc-' || doc_id AS name, md5(coalesce(text, '')) AS md5, strlen(coalesce(text, '')) AS length,
+            'SUCCESS' AS status FROM documents WHERE doc_id IS NOT NULL""",
         "chk_user_steps_slabs": _voxels(
             "vec_id",
             "list_transform(range(64), lambda p: embedding[p % 16 + 16 * (3 - p // 16) + 1] * 2::FLOAT)",
@@ -364,6 +411,18 @@ def oracle_sql() -> dict[str, str]:
             ({_case('cn.dataset', {k: v[1] for k, v in fixed.DATASETS.items()})})::INT AS cpus_per_task,
             coalesce(n, 0) AS n_images, coalesce(n, 0) // 15 AS per_node, coalesce(n, 0) % 15 AS nodes_with_one_more
           FROM cn LEFT JOIN g USING (dataset)""",
+        "cnd_node_lists": f"""WITH {_CONDITIONS},
+          g AS (
+            SELECT dataset, path, ntile(15) OVER (PARTITION BY dataset ORDER BY path) - 1 AS grp FROM (
+              SELECT {_pick(list(fixed.DATASETS), 'page_id')} AS dataset, url FROM pages) AS p,
+              LATERAL (SELECT '/data/' || {_case('dataset', {k: v[0] for k, v in fixed.DATASET_PATHS.items()})} || '/' || url AS path)
+          ), s AS (
+            SELECT *, (row_number() OVER (PARTITION BY dataset, grp ORDER BY path) - 1) // 20 AS segment FROM g
+          ), lists AS (
+            SELECT dataset, grp::INT AS grp, segment::INT AS segment, count(*) AS n_paths,
+              md5(string_agg(path, ',' ORDER BY path)) AS paths_md5 FROM s GROUP BY ALL
+          )
+          SELECT p_partkey, dataset, grp, segment, n_paths, paths_md5 FROM cn JOIN lists USING (dataset)""",
         "mks_multi_driver": f"""WITH {_TASKS}
           SELECT run, round(max("end") - min(start), 6) AS makespan FROM te
           WHERE name = 'driver_program' GROUP BY run""",
@@ -392,6 +451,11 @@ def oracle_sql() -> dict[str, str]:
             round(quantile_cont(mb_s, 0.25), 6) AS p25_mb_s, round(quantile_cont(mb_s, 0.5), 6) AS median_mb_s,
             round(quantile_cont(mb_s, 0.75), 6) AS p75_mb_s
           FROM (SELECT * FROM bw UNION ALL SELECT * REPLACE ('all' AS engine) FROM bw) GROUP BY ALL""",
+        "iob_sketch": f"""WITH {_TASKS}, {_BANDWIDTHS}
+          SELECT engine, fs, op, point::DOUBLE AS point, n, TRUE AS within FROM (
+            SELECT engine, fs, op, count(mb_s) AS n
+            FROM (SELECT * FROM bw UNION ALL SELECT * REPLACE ('all' AS engine) FROM bw) GROUP BY ALL HAVING n > 0),
+            (SELECT unnest([0.25, 0.5, 0.75]) AS point)""",
         "iob_by_fs_and_engine": f"""WITH {_TASKS}, {_BANDWIDTHS}
           SELECT engine, fs, op, count(*) AS n, round(max(mb_s), 6) AS max_mb_s FROM bw GROUP BY ALL
           UNION ALL
@@ -446,6 +510,10 @@ def oracle_sql() -> dict[str, str]:
           s AS (SELECT *, (row_number() OVER (PARTITION BY grp ORDER BY url) - 1) // 100 AS segment FROM g)
           SELECT grp::INT AS grp, segment::INT AS segment, count(*) AS n_paths,
             string_agg(url, ',' ORDER BY url) AS paths FROM s GROUP BY ALL""",
+        "asg_by_bytes": """
+          SELECT doc_id, strlen(text)::INT AS bytes,
+            least(14, (sum(coalesce(strlen(text), 0)) OVER (ORDER BY doc_id) - coalesce(strlen(text), 0)) * 15
+              // greatest(1, sum(coalesce(strlen(text), 0)) OVER ()))::INT AS grp FROM documents""",
         "asg_counts": f"""WITH {_TASKS}
           SELECT engine, fs, count(*) AS n_events, count(DISTINCT run) AS n_conditions,
             count(DISTINCT filename) FILTER (name <> 'driver_program') AS n_images FROM ne GROUP BY ALL""",

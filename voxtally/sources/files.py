@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import socket
 import threading
 import time
@@ -123,7 +124,8 @@ def read_files(
     spark = files.sparkSession
     schema = chunk_schema(ELEMENT_OF_DTYPE[dtype or image_type(files)])
     arrow_schema = to_arrow_schema(schema)
-    sums = files.agg(F.sum(F.col("length") + OPEN_COST).alias("bytes"), F.count(F.lit(1)).alias("n")).first()
+    opening = min(OPEN_COST, max_partition_bytes)
+    sums = files.agg(F.sum(F.col("length") + opening).alias("bytes"), F.count(F.lit(1)).alias("n")).first()
     least = min(min_partitions or spark.sparkContext.defaultParallelism, sums["n"])
     tasks = max(1, least, -(-(sums["bytes"] or 0) // max_partition_bytes))
     cut = F.sequence(F.lit(0).cast("bigint"), F.greatest(F.lit(0), F.col("length") - 1), F.lit(max_partition_bytes).cast("bigint"))
@@ -211,6 +213,104 @@ def decode_images(files: DataFrame, dtype: str, max_block_bytes: int | None = 64
     return files.select("path", "content").mapInArrow(decode, schema)
 
 
+def write_binary(contents: DataFrame, folder: str) -> DataFrame:
+    """Save ``(name, content)`` rows as files; returns their listing ``(path, length)``.
+
+    Each file gets its name in one move. A second file of a name, and a null
+    name, fail the job before anything is written.
+    """
+    target = qualified(contents.sparkSession, folder)
+    bad = contents.groupBy("name").count().where("count > 1 or name is null").first()
+    if bad:
+        raise ValueError("a file has no name" if bad["name"] is None else f"two files are named {bad['name']}")
+
+    def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, inner = filesystem(target)
+        fs.create_dir(inner, recursive=True)
+        for batch in batches:
+            names = batch.column("name").to_pylist()
+            lengths = []
+            for name, content in zip(names, batch.column("content")):
+                data = content.as_buffer() if content.is_valid else b""
+                temp = f"{inner}/._{name}-{uuid.uuid4().hex}"
+                with fs.open_output_stream(temp) as sink:
+                    sink.write(data)
+                fs.move(temp, f"{inner}/{name}")
+                lengths.append(len(data))
+            paths = [f"{target.rstrip('/')}/{n}" for n in names]
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(lengths, pa.int64())], names=["path", "length"])
+
+    return materialize(contents.select("name", "content").mapInArrow(save, "path string, length bigint"), "files")
+
+
+def _digest_of(fs: pafs.FileSystem, inner: str) -> tuple[str, int]:
+    """MD5 and length of a file of any size, by pieces."""
+    digest, length = hashlib.md5(), 0
+    with fs.open_input_stream(inner) as source:
+        while piece := source.read(8 * MIB):
+            digest.update(piece)
+            length += len(piece)
+    return digest.hexdigest(), length
+
+
+def file_digests(files: DataFrame) -> DataFrame:
+    """``(path, md5, length)`` of listed files ``(path, length)``, read in pieces.
+
+    No content column, whose cells end at 2 GB: a task holds one piece.
+    """
+    dealt = dealt_by_size(files.select("path", "length"), files.sparkSession.sparkContext.defaultParallelism * 3)
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            paths = batch.column("path").to_pylist()
+            found = [_digest_of(*filesystem(p)) for p in paths]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(paths, pa.string()), pa.array([d for d, _ in found], pa.string()), pa.array([n for _, n in found], pa.int64())],
+                names=["path", "md5", "length"],
+            )
+
+    return dealt.mapInArrow(digests, "path string, md5 string, length bigint")
+
+
+def verified_copy(files: DataFrame, target: str, name: Column | None = None) -> DataFrame:
+    """Copy listed files ``(path, length)`` and compare both sides: ``(path, out_path, status, md5, length)``.
+
+    Empty files are copied where the listing has them; Spark's own leaves them out.
+
+    The digest of the source is that of the bytes as they lie there before
+    the copy, the one of the copy is read back from the target; a difference
+    fails the job. Files appear under their name only when they are whole.
+    """
+    wanted = F.col("path") if name is None else name
+    named = files.select("path", "length", basename(wanted).alias("name"))
+    twice = named.groupBy("name").count().where("count > 1").first()
+    if twice:
+        raise ValueError(f"two files are named {twice['name']}")
+    before = materialize(file_digests(files), "digests-before")
+    dealt = dealt_by_size(named, files.sparkSession.sparkContext.defaultParallelism * 3)
+    copied = materialize(copy_files(dealt, target), "copied")
+    listed = copied.select(F.col("out_path").alias("path"), "status").join(
+        named.select(F.col("path").alias("source"), "name", "length"), basename(F.col("path")) == F.col("name"))
+    after = materialize(file_digests(listed.select("path", "length")), "digests-after")
+    both = compared_digests(
+        before.join(named.select("path", "name"), "path"),
+        after.withColumn("name", basename(F.col("path"))),
+    )
+    out = join_path(F.lit(target.rstrip("/")), F.col("name"))
+    return both.select("path", out.alias("out_path"), F.lit("SUCCESS").alias("status"), "md5", "length")
+
+
+def compared_digests(before: DataFrame, after: DataFrame) -> DataFrame:
+    """``before``, once every file of it is found with the same digest in ``after``, by ``name``."""
+    there = after.select("name", F.col("md5").alias("_md5"), F.col("length").alias("_length"))
+    joined = materialize(before.join(there, "name", "left"), "compared")
+    same = (F.col("md5") == F.col("_md5")) & (F.col("length") == F.col("_length"))
+    bad = joined.where(~F.coalesce(same, F.lit(False))).select("name").first()
+    if bad:
+        raise ValueError(f"the copy of {bad['name']} differs")
+    return joined.drop("_md5", "_length")
+
+
 def copy_files(paths: DataFrame, target: str) -> DataFrame:
     """Copy files in the tasks: ``(out_path, status)`` and when, where and by
     which thread.
