@@ -154,12 +154,13 @@ class Steps:
 
     def timed(self, element: str | None = None) -> Callable[[dict, Callable[[str], None]], dict]:
         """A function of one image, as a dict of a chunk row, that says after each step which one is done."""
-        kind = np.dtype(_NUMPY_OF_ELEMENT[element]) if element else None
+        # only the steps travel to the tasks
+        kind, steps = np.dtype(_NUMPY_OF_ELEMENT[element]) if element else None, self.steps
 
         def work(row: dict, done: Callable[[str], None]) -> dict:
             block = row["voxels"].copy().reshape(row["shape"], order="F")
             size = block.size
-            for fn, params in self.steps:
+            for fn, params in steps:
                 block = _stepped(block, fn, params, size)
                 done(_name_of(fn))
             header = row["header"] if kind is None else resized(row["header"], parse_header(row["header"]).shape, kind.name)
