@@ -23,3 +23,19 @@ def spark():
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
+
+
+@pytest.fixture(scope="session")
+def built(spark):
+    """Each registered query on the smallest tables, built once, and its plan before it runs."""
+    from voxtally.plans import catalog
+
+    held = {}
+
+    def get(name):
+        if name not in held:
+            df = catalog.queries()[name](spark, "/root/testdata/sf0.001")
+            held[name] = df, df._jdf.queryExecution().executedPlan().toString()
+        return held[name]
+
+    return get

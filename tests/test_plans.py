@@ -11,11 +11,12 @@ from voxtally.plans import catalog, oracle
 SF = "/root/testdata/sf0.001"
 QUERIES, ORACLE = catalog.queries(), oracle.oracle_sql()
 # Groups whose size has a bound: a list segment, and the volume of a chunk.
-BOUNDED_LISTS = {"asg_group_csv", "chk_grid_assemble", "chk_increment_int", "chk_increment_wrap"}
+BOUNDED_LISTS = {"asg_group_csv", "chk_grid_assemble", "chk_increment_int", "chk_increment_wrap", "chk_all_steps_arrays"}
 RUNS_PYTHON = {
     "chk_iterate_n", "chk_user_fn", "chk_user_steps", "chk_zero_pad_grid", "chk_array_split",
     "chk_grid_assemble", "snk_image_roundtrip", "chk_increment_int", "chk_increment_wrap", "chk_split_saved",
-    "chk_user_steps_slabs", "src_binary_scan",
+    "chk_user_steps_slabs", "src_binary_scan", "chk_all_steps_arrays", "chk_named_outputs", "chk_rechunk_slabs", "chk_join_parts",
+    "snk_each_iteration", "src_images_by_path",
 }
 
 
@@ -24,8 +25,8 @@ def plan(df):
 
 
 @pytest.fixture(scope="module")
-def plans(spark):
-    return {name: plan(q(spark, SF)) for name, q in QUERIES.items()}
+def plans(built):
+    return {name: built(name)[1] for name in QUERIES}
 
 
 def test_no_query_pairs_rows_without_a_key(plans):

@@ -4,8 +4,10 @@ import numpy as np
 import pytest
 
 import images
+from voxtally.operators.chunks import pad_chunks
 from voxtally.operators.rechunk import join_images, pieces_of, split_images
 from voxtally.sources.files import read_images, write_images
+from voxtally.sources.slabs import write_slabs
 
 
 def cells(data, width):
@@ -82,6 +84,22 @@ def test_grids(spark, tmp_path):
         split_images(slabs, (2, 2)).collect()
 
 
+def test_slabs_are_padded_one_by_one(spark, tmp_path):
+    data = {"a_0_0_0": images.voxels((5, 4, 7), "int16"), "b": images.voxels((3, 3, 3), "int16")}
+    (tmp_path / "in").mkdir()
+    for name, voxels in data.items():
+        images.write(tmp_path / "in", f"{name}.nii", voxels)
+    for block_bytes in (90, None):
+        blocks = read_images(spark, str(tmp_path / "in"), max_block_bytes=block_bytes)
+        out = tmp_path / f"out-{block_bytes}"
+        write_slabs(pad_chunks(blocks, (3, 2, 4)), str(out))
+        for name, voxels in data.items():
+            want = np.pad(voxels, [(0, -n % g) for n, g in zip(voxels.shape, (3, 2, 4))])
+            assert np.array_equal(images.load(out / f"{name}.nii"), want)
+    with pytest.raises(Exception, match="a grid of 2"):
+        pad_chunks(blocks, (3, 2)).collect()
+
+
 def test_missing_and_doubled_parts_fail(spark, tmp_path):
     images.write(tmp_path, "a_0_0_0.nii", images.voxels((4, 4, 4)))
     slabs = read_images(spark, str(tmp_path), max_block_bytes=40)

@@ -291,7 +291,7 @@ def split_chunks(chunks: DataFrame, grid: tuple[int, ...], voxels: str = "voxels
     has to divide the shape; pad first where it does not. Of image chunks, each
     part becomes an image of its own: offsets, name, header and block number
     are those of the part, so that it can be saved. Images in several blocks
-    are refused.
+    are refused here; ``rechunk.split_images`` takes them.
     """
     element = element_of(chunks, voxels)
     if "n_blocks" in chunks.columns:
@@ -350,15 +350,44 @@ def _as_images(parts: DataFrame) -> DataFrame:
     })
 
 
+def _padded_block(element: str, grid: tuple[int, ...]) -> Callable[..., Column]:
+    kind = f"struct<shape:array<int>,sides:array<int>,voxels:array<{element}>>"
+
+    @F.arrow_udf(kind)
+    def pad(voxels: pa.Array, shape: pa.Array, header: pa.Array, block: pa.Array, n_blocks: pa.Array) -> pa.Array:
+        shapes, sides, parts = [], [], []
+        for v, dims, head, at, n in zip(voxels, shape.to_pylist(), header.to_pylist(), block.to_pylist(), n_blocks.to_pylist()):
+            whole = parse_header(head).shape
+            if len(whole) != len(grid):
+                raise ValueError(f"an image of {len(whole)} axes and a grid of {len(grid)}")
+            more = [-d % g for d, g in zip(whole, grid)]
+            sides.append([d + m for d, m in zip(whole, more)])
+            # layers are added behind the last block only
+            own = [*more[:-1], more[-1] if at == n - 1 else 0]
+            part = np.pad(v.values.to_numpy(zero_copy_only=False).reshape(dims, order="F"), [(0, m) for m in own])
+            shapes.append(list(part.shape))
+            parts.append(part.reshape(-1, order="F"))
+        flat = np.concatenate(parts) if parts else np.array([], _NUMPY_OF_ELEMENT[element])
+        ints = pa.list_(pa.int32())
+        return pa.StructArray.from_arrays(
+            [pa.array(shapes, ints), pa.array(sides, ints), to_lists(np.array([len(p) for p in parts], dtype=np.int64), flat)],
+            names=["shape", "sides", "voxels"],
+        )
+
+    return pad
+
+
 def pad_chunks(chunks: DataFrame, grid: tuple[int, ...], voxels: str = "voxels") -> DataFrame:
-    """Zeros at the far end of each axis, so that the grid divides it; shape and header follow."""
-    if "n_blocks" in chunks.columns:
-        shape = F.when(F.col("n_blocks") == 1, F.col("shape"))
-        refused = F.raise_error(F.lit("only images in one block can be padded")).cast("array<int>")
-        chunks = chunks.withColumn("shape", shape.otherwise(refused))
+    """Zeros at the far end of each axis, so that the grid divides it; shape and header follow.
+
+    Images in several blocks are padded block by block, without meeting: each
+    block along its own axes, and the last one also behind its last layer.
+    """
+    if {"header", "block", "n_blocks"} <= set(chunks.columns):
+        pad = _padded_block(element_of(chunks, voxels), grid)
+        done = chunks.withColumn("_pad", pad(F.col(voxels), F.col("shape"), F.col("header"), F.col("block"), F.col("n_blocks")))
+        header = _resized_header(F.col("header"), F.col("_pad.sides"), F.lit(None).cast("string"))
+        return done.withColumns({voxels: F.col("_pad.voxels"), "shape": F.col("_pad.shape"), "header": header}).drop("_pad")
     padded = pad_to_grid(F.col(voxels), F.col("shape"), grid, element_of(chunks, voxels))
     sides = [(F.ceil(F.get("shape", i) / g) * g).cast("int") for i, g in enumerate(grid)]
-    done = chunks.withColumns({voxels: padded, "shape": F.array(*sides)})
-    if "header" in chunks.columns:
-        done = done.withColumn("header", _resized_header(F.col("header"), F.col("shape"), F.lit(None).cast("string")))
-    return done
+    return chunks.withColumns({voxels: padded, "shape": F.array(*sides)})

@@ -219,6 +219,18 @@ def src_binary_scan(spark: SparkSession, sf: str) -> DataFrame:
     return voxel_table(decoded.withColumn("length", length.cast("bigint")), "image", "x0", "length")
 
 
+@query
+def src_images_by_path(spark: SparkSession, sf: str) -> DataFrame:
+    """Images picked by their paths before any is opened: those of low labels, and all others."""
+    listed = files.image_files(spark, _saved_images(spark, sf))
+    low = naming.basename(F.col("path")).rlike("^img[0-4]_")
+    parts = [
+        files.read_files(listed.where(chosen), dtype="float32").withColumn("part", F.lit(part))
+        for part, chosen in (("low", low), ("other", ~low))
+    ]
+    return voxel_table(parts[0].unionByName(parts[1]), "part", "image", "x0")
+
+
 @query
 def src_path_index(spark: SparkSession, sf: str) -> DataFrame:
     pages = tables.read(spark, sf, "pages").select(F.col("url").alias("path"))

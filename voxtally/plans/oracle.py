@@ -325,6 +325,8 @@ def oracle_sql() -> dict[str, str]:
                  WHEN p % 6 < 4 AND p // 6 % 6 < 4 AND p // 36 < 4
                  THEN embedding[p % 6 + 4 * (p // 6 % 6) + 16 * (p // 36) + 1] ELSE 0::FLOAT END)""",
         ),
+        "src_images_by_path": _voxels(
+            "CASE WHEN label < 5 THEN 'low' ELSE 'other' END AS part, 'img' || label AS image, vec_id::INT AS x0", "embedding"),
         "src_path_index": "SELECT url AS path, row_number() OVER (ORDER BY url) - 1 AS idx FROM pages",
         "src_path_list": """
           SELECT conv_id, turn, unnest(string_split(text, ',')) AS path FROM conversations""",
