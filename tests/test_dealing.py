@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import images
 from voxtally.functions import fixed
+from voxtally.operators import conditions as operators_conditions
 from voxtally.operators.assign import assign_by_size
 from voxtally.operators.bandwidth import SKETCH_ERROR, rank_errors, rank_sketches, sketched_quantiles
 from voxtally.operators.chunks import Steps, all_step_chunks
@@ -106,6 +107,28 @@ def test_lists_of_nodes(spark):
         assert [sum(r.n_paths for r in got if r.id == i and r.grp == g) for g in range(15)] == [4, 4, *[3] * 13]
 
 
+def test_lists_meet_conditions_by_their_rows(spark, monkeypatch):
+    """Few datasets: the join's rows are dealt out by their number, small lists and large ones alike."""
+    name = list(fixed.DATASETS)[0]
+    legend = spark.createDataFrame([(name, f"c{i:02}.nii") for i in range(47)], "dataset string, chunk string")
+    conditions = spark.range(40).coalesce(1).select("id", F.lit(name).alias("dataset"))
+    conditions = conditions.unionByName(conditions.where("id < 3")).coalesce(1)
+
+    def rows(df):
+        return sorted(tuple(r) for r in df.select("id", "dataset", "grp", "segment", "n_paths", "paths").collect())
+
+    whole = rows(node_lists(conditions, legend, "/d", segment=2))
+    assert len(whole) == 43 * 30
+    monkeypatch.setattr(operators_conditions, "PAIRS_PER_TASK", 100)
+    for shared in (1 << 20, 0):
+        monkeypatch.setattr(operators_conditions, "SHARED_BYTES", shared)
+        got = node_lists(conditions, legend, "/d", segment=2)
+        at = got.groupBy(F.spark_partition_id()).count().collect()
+        assert len(at) > 4 and rows(got) == whole
+    digests = rows(node_lists(conditions, legend, "/d", segment=2, form=lambda p: F.md5(p.cast("binary"))))
+    assert digests == sorted((*r[:5], hashlib.md5(r[5].encode()).hexdigest()) for r in whole)
+
+
 def test_sketches_merge_and_keep_to_their_error(spark):
     rows = spark.range(0, 60_000, 1, 6).select(
         F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("engine"), F.lit("x").alias("fs"),
