@@ -206,3 +206,47 @@ def test_listing_never_opens_files(spark, tmp_path):
     plan = listed._jdf.queryExecution().executedPlan().toString()
     assert "content" not in plan
     assert sorted(r.idx for r in files.index_files(listed).collect()) == list(range(8))
+
+
+def test_listing_in_a_task_is_sparks(spark, tmp_path):
+    """Folders and patterns are listed as Spark lists them, without a task or a row of the driver for each file."""
+    for p in images.grid(tmp_path, parts=2):
+        (tmp_path / f"x{p.name}").write_bytes(p.read_bytes())
+    for name in ("_hidden.nii", ".hidden.nii", "b._COPYING_"):
+        (tmp_path / name).write_bytes(b"1")
+    (tmp_path / "empty.nii").write_bytes(b"")
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "deep.nii").write_bytes(b"12")
+    (tmp_path / "with blank%20").mkdir()
+    (tmp_path / "with blank%20" / "ä b.nii").write_bytes(b"123")
+
+    def listed(df):
+        return sorted((r.path, r.length) for r in df.collect())
+
+    one = sorted(tmp_path.glob("x*.nii"))[0]
+    for spec in ("", "/", "/x*.nii", "/?ub", "/sub", "/with blank%20", f"/{one.name}"):
+        try:
+            want = listed(files.list_files(spark, qualified(spark, f"{tmp_path}{spec}")))
+        except Exception:
+            with pytest.raises(Exception):
+                files.image_files(spark, f"{tmp_path}{spec}").collect()
+            continue
+        assert listed(files.image_files(spark, f"{tmp_path}{spec}")) == want, spec
+    both = listed(files.image_files(spark, f"{tmp_path}/sub, {one}"))
+    assert sorted(n for _, n in both) == [2, one.stat().st_size]
+    (tmp_path / "keys" / "k=1").mkdir(parents=True)
+    (tmp_path / "keys" / "k=1" / "a.nii").write_bytes(b"1234")
+    assert [n for _, n in listed(files.image_files(spark, f"{tmp_path}/keys"))] == [4]
+    for missing in ("none", "none*.nii"):
+        with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+            files.image_files(spark, f"{tmp_path}/{missing}")
+
+
+def test_many_small_files_make_few_tasks(spark):
+    """100 000 files of 400 bytes: opening them is worth 3 125 tasks of 128 MiB, their bytes are worth one."""
+    listed = spark.range(100_000).select(F.format_string("/none/%06d.nii", "id").alias("path"), F.lit(400).cast("bigint").alias("length"))
+    cores = spark.sparkContext.defaultParallelism
+    assert cores <= files.read_files(listed, "uint16").rdd.getNumPartitions() <= files.TASKS_PER_CORE * cores
+    # large files make tasks by their bytes
+    large = listed.limit(100).withColumn("length", F.lit(128 << 20).cast("bigint"))
+    assert files.read_files(large, "uint16").rdd.getNumPartitions() >= 100

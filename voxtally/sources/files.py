@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import fnmatch
 import hashlib
+import os
+import re
 import socket
 import threading
 import time
 import uuid
 from collections.abc import Iterator, Sequence
+from itertools import islice
 
 import pandas as pd
 import pyarrow as pa
@@ -26,6 +30,9 @@ from voxtally.sources.nifti import (
     HEADER_BYTES, MIB, OPEN_COST, ImageAssembler, filesystem, in_batches, parse_header, read_blocks,
 )
 
+#: Tasks a core that opening small files may make.
+TASKS_PER_CORE = 4
+
 
 def scan_binary(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Every file under ``path`` as ``(path, modificationTime, length, content)``.
@@ -72,9 +79,84 @@ def read_legend(spark: SparkSession, path: str) -> DataFrame:
 
 
 def image_files(spark: SparkSession, spec: str) -> DataFrame:
-    """``(path, length)`` of a folder, one file, or a comma-separated list, by Spark's own listing."""
+    """``(path, length)`` of a folder, one file, or a comma-separated list, listed once and kept as a table.
+
+    A folder, and a pattern of names in one (``*`` and ``?``), is listed by a task,
+    entry by entry, as a folder of chunks has more of them than the driver
+    can hold; single files and other patterns are listed by Spark. Either way,
+    empty and hidden files are left out.
+    """
     parts = [qualified(spark, p.strip().removesuffix("/*")) for p in spec.split(",")]
-    return list_files(spark, parts)
+    folders, rest = [], []
+    for part in parts:
+        folder = _folder_of(spark, part)
+        rest.append(part) if folder is None else folders.append(folder)
+    listed = list_files(spark, rest).coalesce(spark.sparkContext.defaultParallelism) if rest else None
+    for folder in folders:
+        found = materialize(_folder_files(spark, *folder), "folder")
+        if folder[1] and found.isEmpty():
+            # Spark's words for a pattern that nothing matches
+            found = list_files(spark, f"{folder[0]}/{folder[1]}")
+        listed = found if listed is None else listed.unionByName(found)
+    return materialize(listed, "listing") if rest else listed
+
+
+def _folder_of(spark: SparkSession, path: str) -> tuple[str, str] | None:
+    """The folder, as Spark names it, and the pattern of names in it (none: empty); None for all else."""
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    parent, _, name = path.rstrip("/").rpartition("/")
+    special = re.compile(r"[][*?{}^\\]")
+    pattern = name if special.search(name) else ""
+    folder = parent if pattern else path
+    if special.search(folder) or re.search(r"[][{}^\\]", pattern):
+        return None
+    at = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = at.getFileSystem(conf)
+    if not fs.exists(at) or not fs.getFileStatus(at).isDirectory():
+        return None
+    return fs.makeQualified(at).toString().rstrip("/"), pattern
+
+
+def _entries(folder: str) -> Iterator[tuple[str, bool, int]]:
+    """``(name, is a folder, length)`` of what a folder holds; a local one is read as it is listed."""
+    fs, inner = filesystem(folder)
+    if isinstance(fs, pafs.LocalFileSystem):
+        with os.scandir(inner) as found:
+            for entry in found:
+                yield entry.name, entry.is_dir(), 0 if entry.is_dir() else entry.stat().st_size
+    else:
+        for info in fs.get_file_info(pafs.FileSelector(inner)):
+            yield info.base_name, info.type == pafs.FileType.Directory, info.size or 0
+
+
+def _hidden(name: str) -> bool:
+    """As Spark has it."""
+    return name.startswith(".") or (name.startswith("_") and "=" not in name) or name.endswith("._COPYING_")
+
+
+def _folder_files(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
+    """``(path, length)`` of the files in a folder, and in folders named ``key=value`` there."""
+
+    def below(at: str, wanted: str) -> Iterator[tuple[str, int]]:
+        for name, is_folder, length in _entries(at):
+            if _hidden(name) or (wanted and not fnmatch.fnmatchcase(name, wanted)):
+                continue
+            if is_folder:
+                if wanted or "=" in name:
+                    yield from below(f"{at}/{name}", "")
+            elif length > 0:
+                yield f"{at}/{name}", length
+
+    def listing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in batch.column("folder").to_pylist():
+                found = below(at, pattern)
+                while some := list(islice(found, 10_000)):
+                    paths, lengths = zip(*some)
+                    yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(lengths, pa.int64())], names=["path", "length"])
+
+    one = spark.range(1, numPartitions=1).select(F.lit(folder).alias("folder"))
+    return one.mapInArrow(listing, "path string, length bigint")
 
 
 def image_type(files: DataFrame) -> str:
@@ -117,7 +199,9 @@ def read_files(
 
     Only names are dealt out, in order of their paths and by their bytes, to as
     many tasks as the bytes need and at least ``min_partitions`` (by default, the number of
-    cores). A file's blocks stay in one task, in order, unless ``split_files``
+    cores). Opening small files counts as bytes too, but makes no more than
+    ``TASKS_PER_CORE`` tasks a core: blocks pass through a task one after the
+    other, however many there are. A file's blocks stay in one task, in order, unless ``split_files``
     lets several tasks share a file larger than ``max_partition_bytes``.
     ``max_block_bytes=None`` makes each image one row, whatever its size.
     """
@@ -125,9 +209,11 @@ def read_files(
     schema = chunk_schema(ELEMENT_OF_DTYPE[dtype or image_type(files)])
     arrow_schema = to_arrow_schema(schema)
     opening = min(OPEN_COST, max_partition_bytes)
-    sums = files.agg(F.sum(F.col("length") + opening).alias("bytes"), F.count(F.lit(1)).alias("n")).first()
-    least = min(min_partitions or spark.sparkContext.defaultParallelism, sums["n"])
-    tasks = max(1, least, -(-(sums["bytes"] or 0) // max_partition_bytes))
+    sums = files.agg(F.sum("length").alias("bytes"), F.count(F.lit(1)).alias("n")).first()
+    cores, whole = spark.sparkContext.defaultParallelism, sums["bytes"] or 0
+    least = min(min_partitions or cores, sums["n"])
+    opened = min(TASKS_PER_CORE * cores, -(-(whole + opening * sums["n"]) // max_partition_bytes))
+    tasks = max(1, least, opened, -(-whole // max_partition_bytes))
     cut = F.sequence(F.lit(0).cast("bigint"), F.greatest(F.lit(0), F.col("length") - 1), F.lit(max_partition_bytes).cast("bigint"))
     starts = cut if split_files else F.array(F.lit(0).cast("bigint"))
     pieces = files.select("path", "length", F.explode(starts).alias("first"))
