@@ -42,7 +42,9 @@ def components(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame
     edges = materialize(ends.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), "links")
     before = None
     for i in range(ROUNDS):
-        edges = materialize(_star(_star(edges, True), False), f"links-{i}")
+        # each star is a table of its own: a star names its input four times, and one on another plans it sixteen times
+        moved = materialize(_star(edges, True), f"moved-{i}")
+        edges = materialize(_star(moved, False), f"links-{i}")
         row = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
         if before == (row["n"], row["s"]):
             break
