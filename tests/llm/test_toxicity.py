@@ -96,3 +96,32 @@ def test_clashing_names(spark):
     labels = spark.createDataFrame([], "doc_id bigint, toxic int")
     got = toxicity.clean(df, labels)
     assert got.columns == df.columns and got.collect() == df.collect()
+
+
+def test_every_labelled_text_is_learned_from(spark):
+    ids = [i for i in range(14_000) if zlib.crc32(str(i).encode()) % 5]
+    rows = [(i, f"vile{i % 29} some words" if i % 2 else f"kind{i % 29} some words", i % 2) for i in ids]
+    # each of these words is in a handful of texts: a sample of some thousand rows misses most of them
+    rare = {n: [i for i in ids[n * 8 : n * 8 + 8]] for n in range(400)}
+    word = {i: n for n, of in rare.items() for i in of}
+    rows = [(i, t if i not in word else f"rareword{word[i]}q other text", y if i not in word else word[i] % 2) for i, t, y in rows]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int").repartition(6)
+    found = toxicity.labelled(df.drop("toxic"), df.select("doc_id", "toxic"), "doc_id", "text", "toxic")
+    assert found.count() == len(rows)
+    network = toxicity.fit(df.drop("toxic"), df.select("doc_id", "toxic"))
+    scores = toxicity.Scorer(network).scores([f"rareword{n}q other text" for n in rare])
+    assert np.mean([(x >= 0.5) == (n % 2 == 1) for n, x in zip(rare, scores)]) >= 0.95
+
+
+def test_counts_and_means_of_several_tasks_are_those_of_one(spark):
+    rows = [(f"w{i % 7} v{i % 3} {'x ' * (i % 4)}".encode(), i % 2) for i in range(500)]
+    df = spark.createDataFrame(rows, "_text binary, _y int").repartition(5)
+    hits, totals = toxicity.counted(df)
+    want = toxicity.bucket_counts([([t.decode() for t, _ in rows], np.array([y for _, y in rows]))])
+    assert (hits == want[0]).all() and (totals == want[1]).all()
+    at, values = toxicity._means([
+        (np.array([1, 2]), np.array([1, 3]), np.full((2, toxicity.DIM + 1), 1.0)), (np.array([2]), np.array([1]), np.full((1, toxicity.DIM + 1), 5.0)),
+    ])
+    assert at.tolist() == [1, 2] and (values[:, 0] == [1, 2]).all()
+    few = toxicity.best_threshold(np.array([1.0, 1, 2, 2]), np.array([0, 1, 0, 1]), np.array([9, 1, 2, 8]))
+    assert few == toxicity.best_threshold(np.repeat([1.0, 1, 2, 2], [9, 1, 2, 8]), np.repeat([0, 1, 0, 1], [9, 1, 2, 8]))

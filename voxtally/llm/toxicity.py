@@ -3,9 +3,11 @@
 A word is the sum of the embeddings of its own hash and of the hashes of its
 first letters, so that unseen endings keep the meaning of their stem. Filters
 over one, two and three neighbouring words are followed by the largest value
-over the whole text and by one logistic layer. Training is plain numpy, in one
-task, on a bounded sample of labelled rows; a part of the sample that is not trained on
-gives the thresholds, one for each language. The language is told from the
+over the whole text and by one logistic layer. All labelled rows are learned
+from: counts of them start the embeddings, then tasks go through their rows in
+small steps, and after each round their networks become one, by mean. Labelled
+rows that are not trained on, one in four, give the thresholds from counts of
+their logits, one for each language. The language is told from the
 letters of the text, as the given ones are no inputs, and the threshold is
 taken off the logit, so that 0.5 is the decision everywhere.
 
@@ -16,28 +18,35 @@ from __future__ import annotations
 
 import pickle
 import zlib
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from voxtally.llm.common import held_out, in_arrow, under_safe_names, unit_hash, whole_text
+from voxtally.llm.common import held_out, in_arrow, under_safe_names, whole_text
+from voxtally.session import materialize
 
 BUCKETS = 1 << 17
 DIM = 8
 FILTERS = 8
 WIDTHS = (1, 2, 3)
 STEMS = (4, 5, 6)
-#: The bounds of the sample that the network learns from.
-SAMPLE_ROWS = {1: 1500, 0: 2500}
-SAMPLE_CHARS = 12_000_000
+#: All rows are gone through so often, and more seldom, but twice at least, where a task makes ``TRAINER_STEPS`` steps before.
 EPOCHS = 5
-#: Small samples are gone through more often, up to so many steps.
+TRAINER_STEPS = 500
+#: Few rows are gone through more often, up to so many steps.
 LEAST_STEPS = 300
 BATCH = 32
+#: A task trains on so many rows at least; there are no more such tasks than cores.
+ROWS_A_TRAINER = 1000
+#: Embeddings leave the tasks in blocks of so many buckets, and their means are made block by block.
+BLOCK = 4096
+#: Logits are counted for the thresholds in steps of this size, between plus and minus ``LARGEST_LOGIT``.
+LOGIT_STEP = 1 / 256
+LARGEST_LOGIT = 50.0
 CALIBRATION = 4
 #: A language gets a threshold of its own from so many rows of each label on.
 LEAST_CALIBRATION = 12
@@ -111,99 +120,138 @@ class Network:
         return self.pooled(places, bounds)[0] @ self.weights + self.start
 
 
-def train(texts: Sequence[str], labels: Sequence[int], seed: int = 7, epochs: int = EPOCHS) -> Network:
-    """Fit a network; one text in four only serves the thresholds."""
+class Vocabulary:
+    """Numbers and hash rows of the words met so far."""
+
+    def __init__(self):
+        self._forget()
+
+    def _forget(self) -> None:
+        self._numbers: dict[str, int] = {}
+        self.rows = np.zeros((0, 1 + len(STEMS)), dtype=np.int32)
+
+    def numbered(self, texts: Sequence[str]) -> list[np.ndarray]:
+        """The numbers of the texts' words. Those given before end when too many words are known."""
+        if len(self._numbers) > KNOWN_WORDS:
+            self._forget()
+        number, known = self._numbers, len(self._numbers)
+        docs = [np.array([number.setdefault(w, len(number)) for w in t.split()], dtype=np.int32) for t in texts]
+        if len(number) > known:
+            self.rows = np.vstack([self.rows, hash_rows(islice(number, known, None))])
+        return docs
+
+
+def bucket_counts(batches: Iterable[tuple[Sequence[str], np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """In how many texts of each label a bucket occurs, and how many texts of each label there are."""
+    hits, totals, vocabulary = np.zeros((2, BUCKETS), dtype=np.int64), np.zeros(2, dtype=np.int64), Vocabulary()
+    for texts, labels in batches:
+        for doc, y in zip(vocabulary.numbered(texts), labels):
+            # a bucket that the text has several times is read once and written once
+            hits[y, vocabulary.rows[doc].ravel()] += 1
+            totals[y] += 1
+    return hits, totals
+
+
+def first_network(hits: np.ndarray, totals: np.ndarray, seed: int = 7) -> Network:
+    """One direction of the embeddings starts as the log-odds of a bucket's texts, the others at random."""
     rng = np.random.default_rng(seed)
-    y = np.array(labels, dtype=np.float64)
-    vocabulary: dict[str, int] = {}
-    docs = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in t.split()], dtype=np.int32) for t in texts]
-    rows = hash_rows(vocabulary)
-    del vocabulary
-    order = rng.permutation(len(docs))
-    rest, fitted = order[: len(docs) // CALIBRATION], order[len(docs) // CALIBRATION :]
-
-    # One direction of the embeddings starts as the log-odds of a bucket's texts, the others at random.
-    hits = np.zeros((2, BUCKETS))
-    for i in fitted:
-        hits[int(y[i]), np.unique(rows[np.unique(docs[i])])] += 1
-    totals = np.array([[max(1, (y[fitted] == k).sum())] for k in (0, 1)])
-    rates = (hits + 0.5) / (totals + 1)
+    rates = (hits + 0.5) / (np.maximum(1, totals)[:, None] + 1)
     embeddings = rng.normal(0, 0.05, (BUCKETS, DIM))
     embeddings[:, 0] = np.where(hits.sum(0) >= 3, np.clip(np.log(rates[1] / rates[0]), -2, 2), 0) / 4
     filters = [rng.normal(0, 0.3, (w, DIM, FILTERS)) for w in WIDTHS]
     for f in filters:
         f[:, 0, :] = np.abs(f[:, 0, :]) + 0.5
-    network = Network(
+    return Network(
         embeddings, filters, [np.full(FILTERS, -0.2) for _ in WIDTHS], np.full(FILTERS * len(WIDTHS), 0.3),
-        float(np.log((y[fitted].sum() + 1) / (len(fitted) - y[fitted].sum() + 1))),
+        float(np.log((totals[1] + 1) / (totals[0] + 1))),
     )
-    squares = {"e": np.full(BUCKETS, 1e-2), "w": 1e-2, "s": 1e-2, **{("f", k): 1e-2 for k in range(len(WIDTHS))}}
-
-    def forward(some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        words = np.concatenate([docs[i] for i in some]) if len(some) else np.zeros(0, np.int32)
-        bounds = np.concatenate([[0], np.cumsum([len(docs[i]) for i in some])]).astype(np.int64)
-        used, inverse = np.unique(words, return_inverse=True)
-        return words, bounds, network.projections(rows[used])[inverse] if len(words) else np.zeros((0, sum(WIDTHS) * FILTERS), np.float32)
-
-    per_epoch = max(1, -(-len(fitted) // BATCH))
-    for _ in range(max(epochs, -(-LEAST_STEPS // per_epoch))):
-        for at in range(0, len(fitted), BATCH):
-            some = np.sort(fitted[at : at + BATCH])
-            words, bounds, places = forward(some)
-            best, origin = network.pooled(places, bounds)
-            error = 1 / (1 + np.exp(-(best @ network.weights + network.start))) - y[some]
-            error /= len(some)
-            g_weights, g_start = best.T @ error, error.sum()
-            back = error[:, None] * network.weights
-            touched, grads = [], []
-            g_filters = []
-            for k, width in enumerate(WIDTHS):
-                cols = slice(k * FILTERS, (k + 1) * FILTERS)
-                t, j = np.nonzero(origin[:, cols] >= 0)
-                place, amount = origin[:, cols][t, j], back[:, cols][t, j]
-                g = np.zeros_like(network.filters[k])
-                for i in range(width):
-                    w = rows[words[place + i]]
-                    np.add.at(g[i].T, j, amount[:, None] * network.embeddings[w].sum(1))
-                    touched.append(w.ravel())
-                    grads.append(np.repeat(amount[:, None] * network.filters[k][i].T[j], w.shape[1], axis=0))
-                b = np.bincount(j, weights=amount, minlength=FILTERS)
-                g_filters.append((g, b))
-            for k, (g, b) in enumerate(g_filters):
-                squares["f", k] += float((g * g).mean())
-                network.filters[k] -= 0.1 * g / np.sqrt(squares["f", k])
-                network.biases[k] -= 0.1 * b / np.sqrt(squares["f", k])
-            squares["w"] += float((g_weights**2).mean())
-            squares["s"] += float(g_start**2)
-            network.weights = network.weights - 0.3 * g_weights / np.sqrt(squares["w"])
-            network.start -= 0.3 * float(g_start) / float(np.sqrt(squares["s"]))
-            if touched:
-                at_rows, inverse = np.unique(np.concatenate(touched), return_inverse=True)
-                g = np.zeros((len(at_rows), DIM))
-                np.add.at(g, inverse, np.concatenate(grads))
-                squares["e"][at_rows] += (g * g).mean(1)
-                network.embeddings[at_rows] -= 0.1 * g / np.sqrt(squares["e"][at_rows])[:, None]
-
-    held = np.sort(rest)
-    logits = np.concatenate([network.logits(*forward(held[a : a + BATCH])[:0:-1]) for a in range(0, len(held), BATCH)] or [np.zeros(0)])
-    languages = np.array([language_of(texts[i]) for i in held])
-    everywhere = best_threshold(logits, y[held])
-    network.thresholds = {"": everywhere}
-    for lang in (*LETTERS, "other"):
-        own = languages == lang
-        if min((y[held][own] == 0).sum(), (y[held][own] == 1).sum()) >= LEAST_CALIBRATION:
-            network.thresholds[lang] = best_threshold(logits[own], y[held][own])
-    return network
 
 
-def best_threshold(logits: np.ndarray, labels: np.ndarray) -> float:
-    """The logit that separates the labels with the fewest errors, in the middle of its gap."""
+class Trainer:
+    """Goes down the error of a network in small steps, and knows which buckets they touched."""
+
+    def __init__(self, network: Network, squares: dict):
+        self.network, self.squares = network, squares
+        self.touches = np.zeros(BUCKETS, dtype=np.int32)
+        self.steps = 0
+
+    @staticmethod
+    def first_squares() -> dict:
+        return {"e": np.full(BUCKETS, 1e-2), "w": 1e-2, "s": 1e-2, **{f"f{k}": 1e-2 for k in range(len(WIDTHS))}}
+
+    def step(self, docs: Sequence[np.ndarray], rows: np.ndarray, y: np.ndarray) -> None:
+        network, squares = self.network, self.squares
+        words, best, origin = pooled_texts(network, docs, rows)
+        error = 1 / (1 + np.exp(-np.clip(best @ network.weights + network.start, -50, 50))) - y
+        error /= len(docs)
+        g_weights, g_start = best.T @ error, error.sum()
+        back = error[:, None] * network.weights
+        touched, grads = [], []
+        g_filters = []
+        for k, width in enumerate(WIDTHS):
+            cols = slice(k * FILTERS, (k + 1) * FILTERS)
+            t, j = np.nonzero(origin[:, cols] >= 0)
+            place, amount = origin[:, cols][t, j], back[:, cols][t, j]
+            g = np.zeros_like(network.filters[k])
+            for i in range(width):
+                w = rows[words[place + i]]
+                np.add.at(g[i].T, j, amount[:, None] * network.embeddings[w].sum(1))
+                touched.append(w.ravel())
+                grads.append(np.repeat(amount[:, None] * network.filters[k][i].T[j], w.shape[1], axis=0))
+            b = np.bincount(j, weights=amount, minlength=FILTERS)
+            g_filters.append((g, b))
+        for k, (g, b) in enumerate(g_filters):
+            squares[f"f{k}"] += float((g * g).mean())
+            network.filters[k] -= 0.1 * g / np.sqrt(squares[f"f{k}"])
+            network.biases[k] -= 0.1 * b / np.sqrt(squares[f"f{k}"])
+        squares["w"] += float((g_weights**2).mean())
+        squares["s"] += float(g_start**2)
+        network.weights = network.weights - 0.3 * g_weights / np.sqrt(squares["w"])
+        network.start -= 0.3 * float(g_start) / float(np.sqrt(squares["s"]))
+        at_rows, inverse = np.unique(np.concatenate(touched), return_inverse=True)
+        g = np.zeros((len(at_rows), DIM))
+        np.add.at(g, inverse, np.concatenate(grads))
+        squares["e"][at_rows] += (g * g).mean(1)
+        network.embeddings[at_rows] -= 0.1 * g / np.sqrt(squares["e"][at_rows])[:, None]
+        self.touches[at_rows] += 1
+        self.steps += 1
+
+
+def pooled_texts(network: Network, docs: Sequence[np.ndarray], rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All words, and the largest filter values of each text and the words they come from; long texts in pieces."""
+    words = np.concatenate([*docs, np.zeros(0, np.int32)])
+    starts = np.concatenate([[0], np.cumsum([len(d) for d in docs])]).astype(np.int64)
+    best = np.zeros((len(docs), len(network.weights)), dtype=np.float32)
+    origin = np.full(best.shape, -1, dtype=np.int64)
+    pieces = [
+        (t, at, min(at + WORDS_PER_STEP + max(WIDTHS) - 1, int(starts[t + 1])))
+        for t in range(len(docs)) for at in range(int(starts[t]), int(starts[t + 1]), WORDS_PER_STEP)
+    ]
+    while pieces:
+        n, size = 0, 0
+        while n < len(pieces) and size < WORDS_PER_STEP:
+            size += pieces[n][2] - pieces[n][1]
+            n += 1
+        some, pieces = pieces[:n], pieces[n:]
+        bounds = np.concatenate([[0], np.cumsum([high - low for _, low, high in some])]).astype(np.int64)
+        used, inverse = np.unique(np.concatenate([words[low:high] for _, low, high in some]), return_inverse=True)
+        values, places = network.pooled(network.projections(rows[used])[inverse], bounds)
+        for i, (t, low, _) in enumerate(some):
+            better = values[i] > best[t]
+            best[t, better] = values[i, better]
+            origin[t, better] = places[i, better] - bounds[i] + low
+    return words, best, origin
+
+
+def best_threshold(logits: np.ndarray, labels: np.ndarray, counts: np.ndarray | None = None) -> float:
+    """The logit that separates the labels with the fewest errors, in the middle of its gap; each counts once, or so often."""
     if not len(logits) or labels.all() or not labels.any():
         return 0.0
     order = np.argsort(logits, kind="stable")
-    x, y = logits[order], labels[order]
+    n = np.ones(len(logits), dtype=np.int64) if counts is None else counts[order]
+    x, y, z = logits[order], labels[order] * n, (1 - labels[order]) * n
     # errors if the first i are called 0
-    errors = np.concatenate([[0], np.cumsum(y)]) + np.concatenate([[(1 - y).sum()], (1 - y).sum() - np.cumsum(1 - y)])
+    errors = np.concatenate([[0], np.cumsum(y)]) + np.concatenate([[z.sum()], z.sum() - np.cumsum(z)])
     edges = np.concatenate([[x[0] - 1], (x[1:] + x[:-1]) / 2, [x[-1] + 1]])
     able = np.concatenate([[True], x[1:] > x[:-1], [True]])
     least = errors[able].min()
@@ -282,47 +330,179 @@ def chosen_within(rows: Sequence[tuple], chars: int) -> list[tuple]:
     return taken
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Network | None:
-    """Learn from labelled documents outside the held-out fold; None without both labels.
+def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
+    """``(_text, _y, _h)`` of every labelled text outside the held-out fold, by the hash ``_h`` within each partition.
 
-    The sample has at most ``SAMPLE_ROWS`` rows of each label, those with the
-    smallest hash of their id, and ``SAMPLE_CHARS`` characters: a text that does
-    not fit any more is left out, and the next ones are tried. A document
-    labelled several times counts as toxic if one label says so.
+    A document labelled several times counts as toxic if one label says so;
+    rows that repeat id and text are one.
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col), FOLDS, HELD_OUT))
-    known = known.groupBy(id_col).agg(F.max(F.when(F.col(label_col) == 1, 1).otherwise(0)).alias("_y"))
-    known = known.withColumn("_h", unit_hash(F.col(id_col), "toxicity"))
-    chosen = None
-    for value, n in SAMPLE_ROWS.items():
-        part = known.where(F.col("_y") == value).orderBy("_h", id_col).limit(n)
-        chosen = part if chosen is None else chosen.unionByName(part)
-    # lengths first: at most sum(SAMPLE_ROWS) rows of ids and numbers come to the driver
-    key = F.xxhash64("_text").alias("_t")
-    texts = docs.select(F.col(id_col).alias("_id"), whole_text(text_col).alias("_text")).select("*", key)
-    chosen = chosen.withColumnRenamed(id_col, "_id")
-    sized = texts.select("_id", "_t", F.length("_text").alias("_n")).join(F.broadcast(chosen), "_id")
-    # an id that several texts have could make more rows than the sample has
-    sized = sized.groupBy("_h", "_id", "_t", "_y").agg(F.max("_n").alias("_n")).orderBy("_h", "_id", "_t").limit(sum(SAMPLE_ROWS.values()))
-    rows = [(r["_id"], r["_t"], r["_y"], r["_n"]) for r in sized.orderBy("_h", "_id", "_t").collect()]
-    if len({r[2] for r in rows}) < 2:
+    known = known.groupBy(F.col(id_col).alias("_id")).agg(F.max(F.when(F.col(label_col) == 1, 1).otherwise(0)).alias("_y"))
+    texts = docs.where(F.col(id_col).isNotNull() & ~held_out(F.col(id_col), FOLDS, HELD_OUT))
+    texts = texts.select(F.col(id_col).alias("_id"), whole_text(text_col).cast("binary").alias("_text"))
+    rows = texts.join(known, "_id").dropDuplicates(["_id", "_text"]).withColumn("_h", F.xxhash64("_id", "_text"))
+    return materialize(rows.sortWithinPartitions("_h").select("_text", "_y", "_h"), "labelled")
+
+
+def texts_of(batches: Iterable[pa.RecordBatch], rows: int) -> Iterator[tuple[list[str], np.ndarray]]:
+    """Texts and labels of ``rows`` rows at a time."""
+    texts, ys = [], []
+    for batch in batches:
+        for text, y in zip(batch.column("_text"), batch.column("_y").to_pylist()):
+            texts.append(text.as_py().decode("utf-8", "replace"))
+            ys.append(y)
+            if len(texts) == rows:
+                yield texts, np.array(ys)
+                texts, ys = [], []
+    if texts:
+        yield texts, np.array(ys)
+
+
+_PARTS = "block int, trainer bigint, part binary"
+
+
+def _parts(found: Iterable[tuple[int, int, object]]) -> pa.RecordBatch:
+    blocks, trainers, parts = zip(*found)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(blocks, pa.int32()), pa.array(trainers, pa.int64()), pa.array([pickle.dumps(p) for p in parts], pa.binary())],
+        names=["block", "trainer", "part"],
+    )
+
+
+def _merged(parts: DataFrame, merge: Callable[[list], object]) -> dict[int, object]:
+    """One value for each block, of the values that the tasks have for it; blocks come to the driver, never a task's rows."""
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by("trainer")
+        found = merge([pickle.loads(p) for p in group["part"].to_pylist()])
+        return pa.table({"block": group["block"][:1], "part": pa.array([pickle.dumps(found)], pa.binary())})
+
+    rows = parts.groupBy("block").applyInArrow(run, "block int, part binary").collect()
+    return {r["block"]: pickle.loads(bytes(r["part"])) for r in rows}
+
+
+def _sums(parts: list[np.ndarray]) -> np.ndarray:
+    return np.sum(parts, axis=0)
+
+
+def _means(parts: list) -> object:
+    """Of a block, the mean of each bucket by how often the tasks touched it; of the other parameters, by the tasks' steps."""
+    if isinstance(parts[0], dict):
+        n = sum(p["steps"] for p in parts)
+        return {k: sum(np.asarray(p[k]) * (p["steps"] / n) for p in parts) for k in parts[0] if k != "steps"}
+    total, weights = np.zeros((BLOCK, DIM + 1)), np.zeros(BLOCK)
+    for at, times, values in parts:
+        total[at] += values * times[:, None]
+        weights[at] += times
+    at = np.flatnonzero(weights)
+    return at.astype(np.int32), (total[at] / weights[at, None]).astype(np.float32)
+
+
+def counted(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """``bucket_counts`` of all the rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hits, totals = bucket_counts(texts_of(batches, BATCH))
+        if totals.any():
+            cut = [(i // BLOCK, 0, hits[:, i : i + BLOCK].astype(np.int32)) for i in range(0, BUCKETS, BLOCK)]
+            yield _parts([*cut, (-1, 0, totals)])
+
+    found = _merged(in_arrow(rows.select("_text", "_y"), run, _PARTS), _sums)
+    totals = found.pop(-1, np.zeros(2, dtype=np.int64))
+    return np.hstack([found[k] for k in sorted(found)]) if found else np.zeros((2, BUCKETS)), totals
+
+
+def trained_round(rows: DataFrame, network: Network, squares: dict, times: int) -> tuple[Network, dict]:
+    """Each partition's steps from the network given, ``times`` through its rows, and the mean of what they come to."""
+    shared = rows.sparkSession.sparkContext.broadcast(pickle.dumps((vars(network), squares)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plain, own = pickle.loads(shared.value)
+        trainer, vocabulary = Trainer(Network(**plain), own), Vocabulary()
+        source, first = texts_of(batches, BATCH), None
+        if times > 1:
+            # rows are only gone through again where there are too few for LEAST_STEPS
+            source = list(source) * times
+        for texts, y in source:
+            docs = vocabulary.numbered(texts)
+            trainer.step(docs, vocabulary.rows, y)
+            first = zlib.crc32(texts[0].encode("utf-8", "replace")) if first is None else first
+        if trainer.steps:
+            net, found = trainer.network, []
+            for i in range(0, BUCKETS, BLOCK):
+                at = np.flatnonzero(trainer.touches[i : i + BLOCK]).astype(np.int32)
+                if len(at):
+                    values = np.hstack([net.embeddings[i + at], own["e"][i + at, None]]).astype(np.float32)
+                    found.append((i // BLOCK, first, (at, trainer.touches[i + at], values)))
+            dense = {"steps": trainer.steps, "weights": net.weights, "start": net.start, **{k: v for k, v in own.items() if k != "e"}}
+            dense |= {f"filters{k}": f for k, f in enumerate(net.filters)} | {f"biases{k}": b for k, b in enumerate(net.biases)}
+            yield _parts([*found, (-1, first, dense)])
+
+    found = _merged(in_arrow(rows.select("_text", "_y"), run, _PARTS), _means)
+    shared.destroy()
+    dense = found.pop(-1)
+    for block, (at, values) in found.items():
+        network.embeddings[block * BLOCK + at] = values[:, :DIM]
+        squares["e"][block * BLOCK + at] = values[:, DIM]
+    network.weights, network.start = dense["weights"], float(dense["start"])
+    network.filters = [dense[f"filters{k}"] for k in range(len(WIDTHS))]
+    network.biases = [dense[f"biases{k}"] for k in range(len(WIDTHS))]
+    return network, {"e": squares["e"], **{k: float(dense[k]) for k in squares if k != "e"}}
+
+
+def thresholds(rows: DataFrame, network: Network) -> dict[str, float]:
+    """The threshold of all rows and of each language with enough of them, from counts of their logits in small steps."""
+    shared = rows.sparkSession.sparkContext.broadcast(pickle.dumps(vars(network)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net, vocabulary = Network(**pickle.loads(shared.value)), Vocabulary()
+        for texts, y in texts_of(batches, BATCH):
+            docs = vocabulary.numbered(texts)
+            logits = pooled_texts(net, docs, vocabulary.rows)[1] @ net.weights + net.start
+            steps = np.rint(np.clip(logits, -LARGEST_LOGIT, LARGEST_LOGIT) / LOGIT_STEP).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([language_of(t) for t in texts], pa.string()), pa.array(steps, pa.int32()), pa.array(y, pa.int32())], names=["lang", "step", "y"])
+
+    found = in_arrow(rows.select("_text", "_y"), run, "lang string, step int, y int").groupBy("lang", "step", "y").agg(F.count(F.lit(1)).alias("n")).collect()
+    shared.destroy()
+    langs = np.array([r["lang"] for r in found])
+    x, y, n = (np.array([r[c] for r in found], dtype=np.int64) for c in ("step", "y", "n"))
+    out = {"": best_threshold(x * LOGIT_STEP, y, n)}
+    for lang in (*LETTERS, "other"):
+        own = langs == lang
+        if min(n[own & (y == 0)].sum(), n[own & (y == 1)].sum()) >= LEAST_CALIBRATION:
+            out[lang] = best_threshold(x[own] * LOGIT_STEP, y[own], n[own])
+    return out
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Network | None:
+    """Learn from all labelled documents outside the held-out fold; None without both labels.
+
+    The labelled texts are written once. Their rows are dealt to at most as
+    many tasks as there are cores, which hold some rows at a time. What comes
+    to the driver, and goes back to the tasks, is the network.
+    """
+    rows = labelled(docs, labels, id_col, text_col, label_col)
+    held = F.pmod("_h", F.lit(CALIBRATION)) == 0
+    sizes = rows.agg(F.count(F.lit(1)).alias("all"), F.sum("_y").alias("toxic"), F.sum((~held).cast("int")).alias("fitted")).first()
+    if not sizes["toxic"] or sizes["toxic"] == sizes["all"]:
         return None
-    places = [(i, t, y, at) for at, (i, t, y) in enumerate(chosen_within(rows, SAMPLE_CHARS))]
-    wanted = docs.sparkSession.createDataFrame(places, texts.select("_id", "_t").schema.add("_y", "integer").add("_at", "integer"))
-    # rows that repeat id and text are one
-    sample = texts.join(F.broadcast(wanted), ["_id", "_t"]).groupBy("_at", "_y").agg(F.first("_text").alias("_text"))
-
-    def learn(t: pa.Table) -> pa.Table:
-        t = t.sort_by("_at")
-        ys = t["_y"].to_pylist()
-        network = train(t["_text"].to_pylist(), ys) if len(set(ys)) == 2 else None
-        # plain arrays, so that no class has to be the same on both sides
-        return pa.table({"network": pa.array([pickle.dumps(network and vars(network))], pa.binary())})
-
-    # one task trains, and frees its memory; the network is some megabytes
-    trained = sample.withColumn("_all", F.lit(0)).groupBy("_all").applyInArrow(learn, "network binary").first()
-    parts = pickle.loads(bytes(trained["network"])) if trained else None
-    return Network(**parts) if parts else None
+    fitted = sizes["fitted"]
+    trainers = max(1, min(rows.sparkSession.sparkContext.defaultParallelism, fitted // ROWS_A_TRAINER))
+    own = rows.where(~held)
+    own = own.coalesce(1).sortWithinPartitions("_h") if trainers == 1 else own.coalesce(trainers)
+    hits, totals = counted(own)
+    network, squares = first_network(hits, totals), Trainer.first_squares()
+    if fitted:
+        per_epoch = -(-fitted // BATCH)
+        if per_epoch * EPOCHS >= LEAST_STEPS:
+            passes = -(-TRAINER_STEPS // max(1, per_epoch // trainers))
+            for _ in range(min(EPOCHS, max(2, passes))):
+                network, squares = trained_round(own, network, squares, 1)
+        else:
+            network, squares = trained_round(own, network, squares, -(-LEAST_STEPS // per_epoch))
+    network.thresholds = thresholds(rows.where(held), network)
+    return network
 
 
 def with_scores(docs: DataFrame, network: Network | None, keep: Sequence[str], name: str = "score", text_col: str = "text") -> DataFrame:
