@@ -80,3 +80,12 @@ def test_clashing_names(spark):
     rows = {r.doc_id: r for r in df.collect()}
     kept = got.collect()
     assert kept and all(rows[r.doc_id] == r for r in kept)
+
+
+def test_no_plan_of_raking_has_more_than_a_few_sweeps(spark, monkeypatch):
+    plans, write = [], mixing.materialize
+    monkeypatch.setattr(mixing, "materialize", lambda df, tag: (plans.append(df._jdf.queryExecution().analyzed().toString()), write(df, tag))[1])
+    df = spark.createDataFrame([("a", "x", 1.0, 0.5, 0.4), ("a", "y", 2.0, 0.5, 0.6), ("b", "x", 3.0, 0.5, 0.4), ("b", "y", 4.0, 0.5, 0.6)],
+                               "s string, l string, w double, s_share double, l_share double")
+    mixing.rake(df, ["s", "l"], most=4)
+    assert plans and max(p.count("Window [") for p in plans) <= 2 * (mixing.SWEEPS_A_PLAN + 1)
