@@ -2,6 +2,8 @@
 
 import hashlib
 import random
+from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -14,8 +16,9 @@ from voxtally.operators.assign import assign_by_size
 from voxtally.operators.bandwidth import SKETCH_ERROR, rank_errors, rank_sketches, sketched_quantiles
 from voxtally.operators.chunks import Steps, all_step_chunks
 from voxtally.operators.conditions import node_lists
-from voxtally.plans import increment
+from voxtally.plans import catalog, increment
 from voxtally.plans.increment import increment_pipeline, steps_pipeline
+from voxtally.session import scratch_dir
 from voxtally.sources import files
 from voxtally.sources.files import dealt_by_size, verified_copy, write_binary
 
@@ -94,6 +97,41 @@ def test_binary_files(spark, tmp_path):
             write_binary(bad, str(tmp_path / "p"))
 
 
+def test_files_in_folders_of_a_bounded_size(spark, tmp_path):
+    data = {f"f{i:02}": bytes([i]) * i for i in range(23)}
+    df = spark.createDataFrame([(n, bytearray(c)) for n, c in data.items()], "name string, content binary").repartition(3)
+    saved = write_binary(df, str(tmp_path / "from"), per_folder=4)
+    place = {r.path.rsplit("/", 1)[1]: r.path.removeprefix(f"file:{tmp_path}/from/") for r in saved.collect()}
+    copied = {r.out_path: (r.md5, r.length) for r in verified_copy(saved, str(tmp_path / "to"), below=f"file://{tmp_path}/from").collect()}
+    assert copied == {f"{tmp_path}/to/{place[n]}": (hashlib.md5(c).hexdigest(), len(c)) for n, c in data.items()}
+    for side in ("from", "to"):
+        found = [p for p in (tmp_path / side).rglob("*") if p.is_file() and not p.name.endswith(".crc")]
+        assert {p.name: p.read_bytes() for p in found} == data and len(found) == len(data)
+        assert {str(p.relative_to(tmp_path / side)) for p in found} == set(place.values())
+        held = [sum(f.is_file() for f in d.iterdir()) for d in {p.parent for p in found}]
+        assert max(held) <= 4 and len(held) <= 23 // 4 + 3
+    with pytest.raises(Exception, match="is not below"):
+        verified_copy(saved, str(tmp_path / "other"), below=f"{tmp_path}/fro")
+    with pytest.raises(ValueError, match="at least one file"):
+        write_binary(df, str(tmp_path / "none"), per_folder=0)
+
+
+def test_texts_do_not_fill_one_folder(spark, tmp_path):
+    n, most = 2010, 1000
+    text = F.when(F.col("id") % 7 > 0, F.concat(F.lit("t"), F.col("id").cast("string")))
+    docs = spark.range(0, n, 1, 1).select(F.col("id").alias("doc_id"), text.alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(1).cast("bigint").alias("n_chars"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    root = Path(scratch_dir(spark).removeprefix("file:"))
+    before = set(root.glob("texts-*"))
+    got = {r.name: (r.md5, r.length) for r in catalog.queries()["snk_copy_verified"](spark, str(tmp_path)).collect()}
+    want = {f"doc-{i}": f"t{i}".encode() if i % 7 else b"" for i in range(n)}
+    assert got == {name: (hashlib.md5(c).hexdigest(), len(c)) for name, c in want.items()}
+    (made,) = set(root.glob("texts-*")) - before
+    for side in ("from", "to"):
+        held = Counter(p.parent for p in (made / side).rglob("doc-*"))
+        assert sum(held.values()) == n and max(held.values()) <= most
+
+
 def test_lists_of_nodes(spark):
     name, empty = list(fixed.DATASETS)[:2]
     legend = spark.createDataFrame([(name, f"c{i:02}.nii") for i in range(47)] + [("other", "x")], "dataset string, chunk string")

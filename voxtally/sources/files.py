@@ -5,6 +5,7 @@ from __future__ import annotations
 import fnmatch
 import hashlib
 import os
+import posixpath
 import re
 import socket
 import threading
@@ -16,6 +17,7 @@ from itertools import islice
 import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -33,6 +35,9 @@ from voxtally.sources.nifti import (
 #: Tasks a core that opening small files may make.
 TASKS_PER_CORE = 4
 
+#: Files in a folder that only one task fills.
+FILES_PER_FOLDER = 1000
+
 
 def scan_binary(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Every file under ``path`` as ``(path, modificationTime, length, content)``.
@@ -299,12 +304,19 @@ def decode_images(files: DataFrame, dtype: str, max_block_bytes: int | None = 64
     return files.select("path", "content").mapInArrow(decode, schema)
 
 
-def write_binary(contents: DataFrame, folder: str) -> DataFrame:
+def write_binary(contents: DataFrame, folder: str, *, per_folder: int | None = None) -> DataFrame:
     """Save ``(name, content)`` rows as files; returns their listing ``(path, length)``.
 
     Each file gets its name in one move. A second file of a name, and a null
     name, fail the job before anything is written.
+
+    ``per_folder`` puts at most so many files into a folder, in folders below
+    ``folder`` that each belong to one run of a task: tasks that fill one
+    folder wait for each other at each file. The listing says where a file
+    is; folders of a task that failed stay and are in no listing.
     """
+    if per_folder is not None and per_folder < 1:
+        raise ValueError("a folder takes at least one file")
     target = qualified(contents.sparkSession, folder)
     bad = contents.groupBy("name").count().where("count > 1 or name is null").first()
     if bad:
@@ -313,17 +325,21 @@ def write_binary(contents: DataFrame, folder: str) -> DataFrame:
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, inner = filesystem(target)
         fs.create_dir(inner, recursive=True)
+        own, place, n = f"/part-{TaskContext.get().partitionId():05}-{uuid.uuid4().hex}", "", 0
         for batch in batches:
-            names = batch.column("name").to_pylist()
-            lengths = []
-            for name, content in zip(names, batch.column("content")):
+            paths, lengths = [], []
+            for name, content in zip(batch.column("name").to_pylist(), batch.column("content")):
+                if per_folder and n % per_folder == 0:
+                    place = f"{own}/{n // per_folder:05}"
+                    fs.create_dir(inner + place, recursive=True)
+                n += 1
                 data = content.as_buffer() if content.is_valid else b""
-                temp = f"{inner}/._{name}-{uuid.uuid4().hex}"
+                temp = f"{inner}{place}/._{name}-{uuid.uuid4().hex}"
                 with fs.open_output_stream(temp) as sink:
                     sink.write(data)
-                fs.move(temp, f"{inner}/{name}")
+                fs.move(temp, f"{inner}{place}/{name}")
+                paths.append(f"{target.rstrip('/')}{place}/{name}")
                 lengths.append(len(data))
-            paths = [f"{target.rstrip('/')}/{n}" for n in names]
             yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(lengths, pa.int64())], names=["path", "length"])
 
     return materialize(contents.select("name", "content").mapInArrow(save, "path string, length bigint"), "files")
@@ -345,6 +361,11 @@ def file_digests(files: DataFrame) -> DataFrame:
     No content column, whose cells end at 2 GB: a task holds one piece.
     """
     dealt = dealt_by_size(files.select("path", "length"), files.sparkSession.sparkContext.defaultParallelism * 3)
+    return _digests(dealt)
+
+
+def _digests(dealt: DataFrame) -> DataFrame:
+    """``(path, md5, length)`` of files that are dealt out already."""
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -355,37 +376,53 @@ def file_digests(files: DataFrame) -> DataFrame:
                 names=["path", "md5", "length"],
             )
 
-    return dealt.mapInArrow(digests, "path string, md5 string, length bigint")
+    return dealt.select("path").mapInArrow(digests, "path string, md5 string, length bigint")
 
 
-def verified_copy(files: DataFrame, target: str, name: Column | None = None) -> DataFrame:
+def verified_copy(files: DataFrame, target: str, name: Column | None = None, *, below: str | None = None) -> DataFrame:
     """Copy listed files ``(path, length)`` and compare both sides: ``(path, out_path, status, md5, length)``.
 
     Empty files are copied where the listing has them; Spark's own leaves them out.
+    All copies lie in ``target`` itself, or, with ``below``, a folder that has
+    all sources, in the folders below ``target`` that they come from below it.
 
     The digest of the source is that of the bytes as they lie there before
     the copy, the one of the copy is read back from the target; a difference
     fails the job. Files appear under their name only when they are whole.
     """
-    wanted = F.col("path") if name is None else name
-    named = files.select("path", "length", basename(wanted).alias("name"))
+    spark = files.sparkSession
+    wanted = basename(F.col("path") if name is None else name)
+    if below is not None:
+        wanted = F.concat(F.regexp_extract(_path_below(qualified(spark, below)), "(?s)^(.*/)?", 0), wanted)
+    named = files.select("path", "length", wanted.alias("name"))
     twice = named.groupBy("name").count().where("count > 1").first()
     if twice:
         raise ValueError(f"two files are named {twice['name']}")
-    before = materialize(file_digests(files), "digests-before")
-    dealt = dealt_by_size(named, files.sparkSession.sparkContext.defaultParallelism * 3)
-    copied = materialize(copy_files(dealt, target), "copied")
-    listed = copied.select(F.col("out_path").alias("path"), "status").join(
-        named.select(F.col("path").alias("source"), "name", "length"), basename(F.col("path")) == F.col("name"))
-    after = materialize(file_digests(listed.select("path", "length")), "digests-after")
+    # dealt out once, for all three passes over the files
+    dealt = dealt_by_size(named, spark.sparkContext.defaultParallelism * 3)
+    before = materialize(_digests(dealt), "digests-before")
+    materialize(copy_files(dealt, target), "copied")
+    goal = qualified(spark, target)
+    copies = dealt.withColumn("path", join_path(F.lit(goal.rstrip("/")), F.col("name")))
+    after = materialize(_digests(copies), "digests-after")
     both = compared_digests(
         before.join(named.select("path", "name"), "path"),
-        after.withColumn("name", basename(F.col("path"))),
+        after.withColumn("name", _path_below(goal)),
     )
     out = join_path(F.lit(target.rstrip("/")), F.col("name"))
     return both.select("path", out.alias("out_path"), F.lit("SUCCESS").alias("status"), "md5", "length")
 
 
+def _path_below(folder: str) -> Column:
+    """What of ``path`` comes after the folder, which must hold it."""
+    # file:/a and file:///a are the same
+    no_host = r"^([^:/]+:)///"
+    start = re.sub(no_host, r"\1/", f"{folder.rstrip('/')}/")
+    path = F.regexp_replace("path", no_host, "$1/")
+    outside = F.raise_error(F.concat(path, F.lit(f" is not below {start}")))
+    return F.when(path.startswith(start), F.substr(path, F.lit(len(start) + 1))).otherwise(outside)
+
+
 def compared_digests(before: DataFrame, after: DataFrame) -> DataFrame:
     """``before``, once every file of it is found with the same digest in ``after``, by ``name``."""
     there = after.select("name", F.col("md5").alias("_md5"), F.col("length").alias("_length"))
@@ -401,34 +438,44 @@ def copy_files(paths: DataFrame, target: str) -> DataFrame:
     """Copy files in the tasks: ``(out_path, status)`` and when, where and by
     which thread.
 
-    ``paths`` has ``path`` and ``name``, the name under ``target``. A missing
-    file fails its task, with what its folder holds in the message.
+    ``paths`` has ``path`` and ``name``, the name under ``target``, which may
+    lie in folders there. A missing file fails its task, with what its folder
+    holds in the message.
     """
     goal = qualified(paths.sparkSession, target)
 
-    def copy_one(path: str, folder: str, name: str, out_fs: pafs.FileSystem) -> str:
+    def copy_one(path: str, out: str, out_fs: pafs.FileSystem) -> None:
         fs, inner = filesystem(path)
-        if not fs.get_file_info(inner).is_file:
+        folder, name = posixpath.split(out)
+        temp = f"{folder}/._{name}-{uuid.uuid4().hex}"
+        try:
+            opened = fs.open_input_stream(inner)
+        except OSError as error:
+            if fs.get_file_info(inner).is_file:
+                raise
             parent = pafs.FileSelector(inner.rsplit("/", 1)[0], allow_not_found=True)
             near = sorted(i.base_name for i in fs.get_file_info(parent))
-            raise FileNotFoundError(f"{path}; its folder has {near}")
-        temp = f"{folder}/._{name}-{uuid.uuid4().hex}"
-        with fs.open_input_stream(inner) as source, out_fs.open_output_stream(temp) as sink:
+            raise FileNotFoundError(f"{path}; its folder has {near}") from error
+        with opened as source, out_fs.open_output_stream(temp) as sink:
             while piece := source.read(8 * 1024 * 1024):
                 sink.write(piece)
-        out_fs.move(temp, f"{folder}/{name}")
-        return f"{folder}/{name}"
+        out_fs.move(temp, out)
 
     def copy(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out_fs, folder = filesystem(goal)
         out_fs.create_dir(folder, recursive=True)
+        there = folder
         node, executor = socket.gethostname(), threading.get_ident()
         for pdf in batches:
             rows = []
             for path, name in zip(pdf["path"], pdf["name"]):
                 began = time.time()
-                out = copy_one(path, folder, name, out_fs)
-                rows.append((out, "SUCCESS", began, time.time(), node, executor))
+                out = f"{folder}/{name}"
+                if (parent := posixpath.dirname(out)) != there:
+                    out_fs.create_dir(parent, recursive=True)
+                    there = parent
+                copy_one(path, out, out_fs)
+                rows.append((f"{goal.rstrip('/')}/{name}", "SUCCESS", began, time.time(), node, executor))
             yield pd.DataFrame(rows, columns=COPIED.names)
 
     return paths.select("path", "name").mapInPandas(copy, COPIED)
