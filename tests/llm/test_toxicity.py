@@ -125,3 +125,44 @@ def test_counts_and_means_of_several_tasks_are_those_of_one(spark):
     assert at.tolist() == [1, 2] and (values[:, 0] == [1, 2]).all()
     few = toxicity.best_threshold(np.array([1.0, 1, 2, 2]), np.array([0, 1, 0, 1]), np.array([9, 1, 2, 8]))
     assert few == toxicity.best_threshold(np.repeat([1.0, 1, 2, 2], [9, 1, 2, 8]), np.repeat([0, 1, 0, 1], [9, 1, 2, 8]))
+
+
+def test_words_are_hashed_together_with_the_same_hashes(monkeypatch):
+    rng = np.random.default_rng(4)
+    letters = list("abAZ09.,!?-_…«»¿¡ßäöÉİΣσςœ€漢字😀'\"()ŉﬃ") + ["é", "\ud800"]
+    words = ["".join(rng.choice(letters, n)) for n in rng.choice([1, 2, 3, 4, 5, 6, 7, 9, 20, 64], 3000)]
+    words += ["ΑΣ", "ΣΑ", "...", "=", "filth!", "x" * 5000, "." * 100 + "ab", "€" * 65]
+    want = [toxicity.hashes(w) for w in words]
+    alone, plainly = [], toxicity.hashes
+    monkeypatch.setattr(toxicity, "hashes", lambda w: alone.append(w) or plainly(w))
+    got = toxicity.hash_rows(iter(words))
+    assert got.dtype == np.int32 and got.tolist() == want
+    # one at a time only words that are very long without their punctuation; lower case may add a letter
+    assert {"x" * 5000, "€" * 65} <= set(alone) and "filth!" not in alone and min(map(len, alone)) > toxicity.LONG_WORD // 2
+    assert toxicity.hash_rows([]).shape == (0, 1 + len(toxicity.STEMS))
+
+
+def test_known_words_are_not_hashed_again_nor_copied_for_each_batch(monkeypatch):
+    asked = []
+
+    def rows_of(words):
+        asked.append(list(words))
+        return np.array([[len(w)] for w in words], dtype=np.int32).reshape(-1, 1)
+
+    vocabulary, spaces = toxicity.Vocabulary(rows_of), set()
+    for i in range(200):
+        (doc,) = vocabulary.numbered([f"again {'x' * i} again"])
+        assert vocabulary.rows[doc, 0].tolist() == ([5, i, 5] if i else [5, 5])
+        spaces.add(vocabulary.rows.base.__array_interface__["data"][0])
+    assert sum(map(len, asked)) == 200 and len(spaces) < 12
+    monkeypatch.setattr(toxicity, "KNOWN_WORDS", 3)
+    (doc,) = vocabulary.numbered(["ab c ab"])
+    assert vocabulary.rows[doc, 0].tolist() == [2, 1, 2] and len(vocabulary.rows) == 2
+
+
+def test_largest_values_alone_are_those_with_places():
+    rng = np.random.default_rng(5)
+    n = toxicity.first_network(rng.integers(0, 9, (2, toxicity.BUCKETS)), np.array([50, 50]))
+    places = rng.normal(size=(60, sum(toxicity.WIDTHS) * toxicity.FILTERS)).astype(np.float32)
+    bounds = np.array([0, 0, 1, 3, 6, 6, 40, 60])
+    assert (n.largest(places, bounds) == n.pooled(places, bounds)[0]).all()

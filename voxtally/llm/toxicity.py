@@ -18,9 +18,10 @@ from __future__ import annotations
 
 import pickle
 import zlib
+from collections import defaultdict
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
-from itertools import chain, islice
+from itertools import chain, count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +55,12 @@ KNOWN_WORDS = 100_000
 #: Texts are scored in steps of about so many words, longer ones in pieces of so many.
 WORDS_PER_STEP = 20_000
 FOLDS, HELD_OUT = 5, 0
+#: What words lose at both ends.
+OUTER = "\"'.,;:!?()[]{}*#$%&<>-_…«»¿¡"
+#: Longer words are hashed one by one, others together.
+LONG_WORD = 64
+#: crc32 of each byte, as the state that the byte adds to.
+CRC_TABLE = np.array([zlib.crc32(bytes([i ^ 0xFF])) ^ 0xFF000000 for i in range(256)], dtype=np.uint32)
 #: Letters that tell a language, fixed values.
 LETTERS = {"de": "äöüß", "es": "ñíóáú¿¡", "fr": "éèêçàâùîœ"}
 
@@ -66,14 +73,44 @@ def language_of(text: str) -> str:
 
 def hashes(word: str) -> list[int]:
     """Buckets of a word: itself and its stems, without case and outer punctuation."""
-    plain = word.lower().strip("\"'.,;:!?()[]{}*#$%&<>-_…«»¿¡")
+    plain = word.lower().strip(OUTER)
     parts = [f"={plain}", *[f"{n}^{plain[:n]}" for n in STEMS]]
     return [zlib.crc32(p.encode("utf-8", "surrogatepass")) % BUCKETS for p in parts]
 
 
+def crc32s(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, first: bytes) -> np.ndarray:
+    """crc32 of ``first`` and then ``lengths`` bytes from ``starts``, each of at most some bytes: one byte of all at a time."""
+    order = np.argsort(-lengths, kind="stable")
+    at, lengths = starts[order], lengths[order]
+    state = np.full(len(at), zlib.crc32(first) ^ 0xFFFFFFFF, dtype=np.uint32)
+    for j in range(lengths.max(initial=0)):
+        n = np.searchsorted(-lengths, -j)  # those longer than j
+        state[:n] = CRC_TABLE[(state[:n] ^ data[at[:n] + j]) & 0xFF] ^ (state[:n] >> 8)
+    out = np.empty_like(state)
+    out[order] = ~state
+    return out
+
+
 def hash_rows(words: Iterable[str]) -> np.ndarray:
-    """The buckets of each word, one row a word."""
-    return np.fromiter(chain.from_iterable(map(hashes, words)), dtype=np.int32).reshape(-1, 1 + len(STEMS))
+    """The ``hashes`` of each word, one row a word; words are without white space."""
+    words = list(words)
+    if not words:
+        return np.zeros((0, 1 + len(STEMS)), dtype=np.int32)
+    plain = [w.strip(OUTER) for w in "\n".join(words).lower().split("\n")]
+    long = [i for i, w in enumerate(plain) if len(w) > LONG_WORD]
+    for i in long:
+        plain[i] = ""
+    data = np.frombuffer("\n".join([*plain, ""]).encode("utf-8", "surrogatepass"), dtype=np.uint8)
+    letters = np.flatnonzero((data & 0xC0) != 0x80)
+    ends = np.flatnonzero(data[letters] == ord("\n"))
+    begins = np.concatenate([[0], ends[:-1] + 1])
+    starts = letters[begins]
+    parts = [(b"=", ends), *[(b"%d^" % n, np.minimum(begins + n, ends)) for n in STEMS]]
+    rows = np.stack([crc32s(data, starts, letters[stop] - starts, first) for first, stop in parts], axis=1)
+    rows = (rows % BUCKETS).astype(np.int32)
+    for i in long:
+        rows[i] = hashes(words[i])
+    return rows
 
 
 @dataclass
@@ -87,8 +124,21 @@ class Network:
 
     def projections(self, words: np.ndarray) -> np.ndarray:
         """What words, given as hash rows, add to each filter at each of its places."""
-        e = self.embeddings[words].sum(1)
-        return np.hstack([e @ f[i] for f in self.filters for i in range(len(f))]).astype(np.float32)
+        e = self.embeddings.take(words[:, 0], axis=0)
+        for part in words.T[1:]:
+            e += self.embeddings.take(part, axis=0)
+        return (e @ np.hstack([f[i] for f in self.filters for i in range(len(f))])).astype(np.float32)
+
+    def values(self, places: np.ndarray) -> Iterator[np.ndarray]:
+        """For each width, the values of its filters from each place on, also across the texts' bounds."""
+        at = 0
+        for f, b in zip(self.filters, self.biases):
+            length = max(0, len(places) - len(f) + 1)
+            values = np.zeros((length, FILTERS), dtype=np.float32) + b.astype(np.float32)
+            for i in range(len(f)):
+                values += places[i : i + length, (at + i) * FILTERS : (at + i + 1) * FILTERS]
+            at += len(f)
+            yield values
 
     def pooled(self, places: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Largest filter values of each text, at least zero, and the places they come from (-1: none).
@@ -99,16 +149,10 @@ class Network:
         n = len(bounds) - 1
         best = np.zeros((n, len(self.weights)), dtype=np.float32)
         origin = np.full((n, len(self.weights)), -1, dtype=np.int64)
-        at = 0
-        for k, (f, b) in enumerate(zip(self.filters, self.biases)):
-            width, cols = len(f), slice(k * FILTERS, (k + 1) * FILTERS)
-            length = max(0, len(places) - width + 1)
-            values = np.zeros((length, FILTERS), dtype=np.float32) + b.astype(np.float32)
-            for i in range(width):
-                values += places[i : i + length, (at + i) * FILTERS : (at + i + 1) * FILTERS]
-            at += width
+        for k, (f, values) in enumerate(zip(self.filters, self.values(places))):
+            cols = slice(k * FILTERS, (k + 1) * FILTERS)
             for t in range(n):
-                low, high = bounds[t], bounds[t + 1] - width + 1
+                low, high = bounds[t], bounds[t + 1] - len(f) + 1
                 if high > low:
                     where = values[low:high].argmax(0)
                     top = values[low + where, np.arange(FILTERS)]
@@ -116,29 +160,49 @@ class Network:
                     origin[t, cols] = np.where(top > 0, low + where, -1)
         return best, origin
 
+    def largest(self, places: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """The largest filter values alone."""
+        best = np.zeros((len(bounds) - 1, len(self.weights)), dtype=np.float32)
+        for k, (f, values) in enumerate(zip(self.filters, self.values(places))):
+            for t, (low, high) in enumerate(zip(bounds[:-1].tolist(), (bounds[1:] - len(f) + 1).tolist())):
+                if high > low:
+                    best[t, k * FILTERS : (k + 1) * FILTERS] = values[low:high].max(0, initial=0)
+        return best
+
     def logits(self, places: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        return self.pooled(places, bounds)[0] @ self.weights + self.start
+        return self.largest(places, bounds) @ self.weights + self.start
 
 
 class Vocabulary:
-    """Numbers and hash rows of the words met so far."""
+    """Numbers of the words met so far, and a row for each: its hashes, or what ``rows_of`` gives for new words."""
 
-    def __init__(self):
+    def __init__(self, rows_of: Callable[[list[str]], np.ndarray] = hash_rows):
+        self._rows_of = rows_of
         self._forget()
 
     def _forget(self) -> None:
-        self._numbers: dict[str, int] = {}
-        self.rows = np.zeros((0, 1 + len(STEMS)), dtype=np.int32)
+        self._numbers: dict[str, int] = defaultdict(count().__next__)
+        self.rows = self._space = self._rows_of([])
 
-    def numbered(self, texts: Sequence[str]) -> list[np.ndarray]:
+    def numbered(self, texts: Iterable[str]) -> list[np.ndarray]:
         """The numbers of the texts' words. Those given before end when too many words are known."""
+        return self.numbers([t.split() for t in texts])
+
+    def numbers(self, docs: Sequence[list[str]]) -> list[np.ndarray]:
+        """``numbered`` for texts that are split into words."""
         if len(self._numbers) > KNOWN_WORDS:
             self._forget()
-        number, known = self._numbers, len(self._numbers)
-        docs = [np.array([number.setdefault(w, len(number)) for w in t.split()], dtype=np.int32) for t in texts]
-        if len(number) > known:
-            self.rows = np.vstack([self.rows, hash_rows(islice(number, known, None))])
-        return docs
+        number, known = self._numbers.__getitem__, len(self._numbers)
+        found = [np.fromiter(map(number, words), dtype=np.int32, count=len(words)) for words in docs]
+        total = len(self._numbers)
+        if total > known:
+            if total > len(self._space):
+                space = np.empty((2 * total, self._space.shape[1]), dtype=self._space.dtype)
+                space[:known] = self.rows
+                self._space = space
+            self._space[known:total] = self._rows_of(list(islice(self._numbers, known, None)))
+            self.rows = self._space[:total]
+        return found
 
 
 def bucket_counts(batches: Iterable[tuple[Sequence[str], np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -264,29 +328,12 @@ class Scorer:
 
     def __init__(self, network: Network):
         self._network = network
-        self._forget()
-
-    def _forget(self) -> None:
-        self._rows: dict[str, int] = {}
-        self._places = np.zeros((0, sum(WIDTHS) * FILTERS), dtype=np.float32)
-
-    def _known(self, words: list[str]) -> np.ndarray:
-        """What the words add to the filters, one row a word."""
-        new = {w for w in words if w not in self._rows}
-        if len(new) + len(self._rows) > KNOWN_WORDS:
-            self._forget()
-            new = set(words)
-        if new:
-            fresh = sorted(new)
-            self._rows.update(zip(fresh, range(len(self._rows), len(self._rows) + len(fresh))))
-            added = self._network.projections(hash_rows(fresh))
-            self._places = np.vstack([self._places, added])
-        get = self._rows.__getitem__
-        return self._places[np.fromiter(map(get, words), dtype=np.int64, count=len(words))]
+        self._places = Vocabulary(lambda words: network.projections(hash_rows(words)))
 
     def _pooled(self, pieces: list[list[str]]) -> np.ndarray:
         bounds = np.concatenate([[0], np.cumsum([len(p) for p in pieces])]).astype(np.int64)
-        return self._network.pooled(self._known([w for p in pieces for w in p]), bounds)[0]
+        (words,) = self._places.numbers([list(chain.from_iterable(pieces))])
+        return self._network.largest(self._places.rows[words], bounds)
 
     def scores(self, texts: Sequence[str]) -> list[float]:
         """The score of each text. Memory goes by the words of a step, not by the length of a text."""
