@@ -155,6 +155,9 @@ def test_known_words_are_not_hashed_again_nor_copied_for_each_batch(monkeypatch)
         assert vocabulary.rows[doc, 0].tolist() == ([5, i, 5] if i else [5, 5])
         spaces.add(vocabulary.rows.base.__array_interface__["data"][0])
     assert sum(map(len, asked)) == 200 and len(spaces) < 12
+    monkeypatch.setattr(toxicity, "WORDS_PER_STEP", 7)
+    (doc,) = vocabulary.numbered([" ".join(f"{i:0{1 + i % 9}}y" for i in range(100))])
+    assert max(map(len, asked[200:])) == 7 and vocabulary.rows[doc, 0].tolist() == [len(f"{i:0{1 + i % 9}}y") for i in range(100)]
     monkeypatch.setattr(toxicity, "KNOWN_WORDS", 3)
     (doc,) = vocabulary.numbered(["ab c ab"])
     assert vocabulary.rows[doc, 0].tolist() == [2, 1, 2] and len(vocabulary.rows) == 2

@@ -186,9 +186,9 @@ class Vocabulary:
 
     def numbered(self, texts: Iterable[str]) -> list[np.ndarray]:
         """The numbers of the texts' words. Those given before end when too many words are known."""
-        return self.numbers([t.split() for t in texts])
+        return self.numbers(map(str.split, texts))
 
-    def numbers(self, docs: Sequence[list[str]]) -> list[np.ndarray]:
+    def numbers(self, docs: Iterable[list[str]]) -> list[np.ndarray]:
         """``numbered`` for texts that are split into words."""
         if len(self._numbers) > KNOWN_WORDS:
             self._forget()
@@ -200,7 +200,11 @@ class Vocabulary:
                 space = np.empty((2 * total, self._space.shape[1]), dtype=self._space.dtype)
                 space[:known] = self.rows
                 self._space = space
-            self._space[known:total] = self._rows_of(list(islice(self._numbers, known, None)))
+            fresh = islice(self._numbers, known, None)
+            for at in range(known, total, WORDS_PER_STEP):
+                # what it takes to make rows goes by a step's words, also for one huge text
+                some = list(islice(fresh, WORDS_PER_STEP))
+                self._space[at : at + len(some)] = self._rows_of(some)
             self.rows = self._space[:total]
         return found
 
