@@ -15,7 +15,7 @@ from voxtally.operators import conditions as operators_conditions
 from voxtally.operators.assign import assign_by_size
 from voxtally.operators.bandwidth import SKETCH_ERROR, rank_errors, rank_sketches, sketched_quantiles
 from voxtally.operators.chunks import Steps, all_step_chunks
-from voxtally.operators.conditions import node_lists
+from voxtally.operators.conditions import in_blocks, node_lists, with_lists
 from voxtally.plans import catalog, increment
 from voxtally.plans.increment import increment_pipeline, steps_pipeline
 from voxtally.session import scratch_dir
@@ -167,6 +167,43 @@ def test_lists_meet_conditions_by_their_rows(spark, monkeypatch):
     assert digests == sorted((*r[:5], hashlib.md5(r[5].encode()).hexdigest()) for r in whole)
 
 
+def test_conditions_in_blocks(spark):
+    rows = [(i, "b" if i % 3 else "a", "x" * (i % 5) or None) for i in range(100)] * 2 + [(1, None, "n"), (2, "other", "n")]
+    df = spark.createDataFrame(rows, "id int, dataset string, more string").coalesce(1)
+    got = in_blocks(df, {"a": 4, "b": 7, "c": 1}).collect()
+    assert sorted(tuple(c) for r in got for c in r["_block"]) == sorted(tuple(r) for r in df.where("dataset in ('a', 'b')").collect())
+    assert all(c.dataset == r.dataset for r in got for c in r["_block"])
+    assert Counter((r.dataset, len(r["_block"])) for r in got) == {("a", 4): 17, ("b", 7): 18, ("b", 6): 1}
+    assert len({r["_at"] for r in got}) == len(got)
+    assert in_blocks(df, {}).count() == 0
+
+
+@pytest.mark.parametrize("shared", [1 << 25, 0])
+def test_lists_of_conditions_take_little_space(spark, tmp_path, monkeypatch, shared):
+    """The rows are the product of both tables, but a file does not say a list anew for each condition."""
+    monkeypatch.setattr(operators_conditions, "SHARED_BYTES", shared)
+    monkeypatch.setattr(operators_conditions, "PAIRS_PER_TASK", 1 << 20)
+    monkeypatch.setattr(operators_conditions, "LISTS_PER_TASK", 500)
+    a, b, empty = list(fixed.DATASETS)[:3]
+    lists = spark.range(0, 1707, 1, 3).select(
+        F.when(F.col("id") < 1607, a).otherwise(b).alias("dataset"), F.pmod("id", F.lit(15)).cast("int").alias("grp"),
+        (F.col("id") / 15).cast("int").alias("segment"), F.lit(20).cast("bigint").alias("n_paths"), F.md5(F.col("id").cast("string")).alias("paths"))
+    name = F.element_at(F.array(F.lit(a), F.lit(b), F.lit(empty), F.lit(None)), F.pmod("id", F.lit(4)).cast("int") + 1)
+    # keys come twice, or are null
+    conditions = spark.range(0, 6400, 1, 2).select(F.when(F.col("id") % 100 > 1, F.col("id") % 5000).alias("key"), name.alias("dataset"))
+    with_lists(conditions, lists).write.parquet(str(tmp_path / "out"))
+    got, want = spark.read.parquet(str(tmp_path / "out")), conditions.join(F.broadcast(lists), "dataset")
+    assert got.columns == want.columns
+
+    def summed(df):
+        row = F.xxhash64(*df.columns).cast("decimal(38,0)")
+        return df.groupBy("dataset").agg(F.count(F.lit(1)), F.sum(row), F.sum(row * F.pmod(row, F.lit(1009)))).orderBy("dataset").collect()
+
+    assert summed(got) == summed(want) and got.count() == 1600 * (1607 + 100)
+    size = sum(p.stat().st_size for p in (tmp_path / "out").glob("*.parquet"))
+    assert size * 8 < 4 * got.count()
+
+
 def test_sketches_merge_and_keep_to_their_error(spark):
     rows = spark.range(0, 60_000, 1, 6).select(
         F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("engine"), F.lit("x").alias("fs"),
