@@ -200,8 +200,8 @@ def test_lists_of_conditions_take_little_space(spark, tmp_path, monkeypatch, sha
         return df.groupBy("dataset").agg(F.count(F.lit(1)), F.sum(row), F.sum(row * F.pmod(row, F.lit(1009)))).orderBy("dataset").collect()
 
     assert summed(got) == summed(want) and got.count() == 1600 * (1607 + 100)
-    size = sum(p.stat().st_size for p in (tmp_path / "out").glob("*.parquet"))
-    assert size * 8 < 4 * got.count()
+    files = [p.stat().st_size for p in (tmp_path / "out").glob("*.parquet")]
+    assert sum(files) * 8 < 4 * got.count() and len(files) <= 5
 
 
 def test_sketches_merge_and_keep_to_their_error(spark):
